@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import linededup, mixing, tokencount
+from eonmap.llm import avi, linededup, mixing, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def op7_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.text_digests(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> bytes:
     """Bytes of a public vocabulary file on the driver."""
     import public_tokenizers
@@ -79,7 +83,7 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_line_dedup, op8_token_count, op10_mix_sources]
+    found = [op3_line_dedup, op7_avi_clips, op8_token_count, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
