@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import avi, linededup, mixing, tokencount
+from eonmap.llm import avi, chatmask, linededup, mixing, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,35 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+#: A conversation that is added to the table: both its rows say a text full of marks.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    return chatmask.digests(chatmask.format_chats(rows.unionByName(probe), tokenizer_file("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
+
+
+OP5_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, length(replace(replace(role, '\', '\\'), '<|', '\<|')) + length(role) - length(replace(role, chr(10), ''))
+            + length(replace(replace(text, '\', '\\'), '<|', '\<|')) + 8 + 1 + 8 as chars
+  from turns
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+
 def op7_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.text_digests(table(spark, sf_dir, "documents"))
 
@@ -83,9 +112,9 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_line_dedup, op7_avi_clips, op8_token_count, op10_mix_sources]
+    found = [op3_line_dedup, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": OP10_SQL}
+    return {"op5_chat_format": OP5_SQL, "op10_mix_sources": OP10_SQL}
