@@ -8,13 +8,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import avi, chatmask, linededup, mixing, tokencount
+from eonmap.llm import avi, chatmask, langid, linededup, mixing, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    out = langid.predict(docs, model, keep=["doc_id"])
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "background", "mixture")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs)
@@ -112,7 +119,7 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_line_dedup, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
+    found = [op1_language_id, op3_line_dedup, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
