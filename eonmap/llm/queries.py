@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import avi, chatmask, langid, linededup, mixing, tokencount
+from eonmap.llm import avi, chatmask, langid, linededup, mixing, tokencount, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "background", "mixture")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs)
@@ -119,7 +126,7 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_line_dedup, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
+    found = [op1_language_id, op2_url_filter, op3_line_dedup, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
