@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import avi, chatmask, langid, linededup, mixing, tokencount, urltree
+from eonmap.llm import avi, chatmask, htmlcrf, langid, linededup, mixing, tokencount, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(table(spark, sf_dir, "pages"))
+
+
 #: A conversation that is added to the table: both its rows say a text full of marks.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -126,7 +130,7 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_url_filter, op3_line_dedup, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
+    found = [op1_language_id, op2_url_filter, op3_line_dedup, op4_html_text, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
