@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import avi, chatmask, htmlcrf, langid, linededup, mixing, tokencount, urltree
+from eonmap.llm import avi, chatmask, decontam, htmlcrf, langid, linededup, mixing, tokencount, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ from sized group by conv_id
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.text_digests(table(spark, sf_dir, "documents"))
 
@@ -130,7 +134,7 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_url_filter, op3_line_dedup, op4_html_text, op5_chat_format, op7_avi_clips, op8_token_count, op10_mix_sources]
+    found = [op1_language_id, op2_url_filter, op3_line_dedup, op4_html_text, op5_chat_format, op6_decontaminate, op7_avi_clips, op8_token_count, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
