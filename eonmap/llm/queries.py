@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eonmap.llm import avi, chatmask, decontam, htmlcrf, langid, linededup, mixing, tokencount, urltree
+from eonmap.llm import avi, chatmask, decontam, htmlcrf, langid, linededup, mixing, omh, tokencount, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = omh.near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", "n_words")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -134,7 +139,7 @@ from rows r join rule t on r.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_url_filter, op3_line_dedup, op4_html_text, op5_chat_format, op6_decontaminate, op7_avi_clips, op8_token_count, op10_mix_sources]
+    found = [op1_language_id, op2_url_filter, op3_line_dedup, op4_html_text, op5_chat_format, op6_decontaminate, op7_avi_clips, op8_token_count, op9_near_dedup, op10_mix_sources]
     return {f.__name__: f for f in found}
 
 
