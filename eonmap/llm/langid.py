@@ -170,8 +170,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"))
     rows = rows.where("lang is not null and text is not null")
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n")).alias("share"))
-    some = rows.join(per, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    per = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    share = F.lit(0.0)
+    for name, n in per:
+        share = F.when(F.col("lang") == name, min(1.0, train_docs / n)).otherwise(share)
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
