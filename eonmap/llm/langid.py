@@ -168,7 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     of id and text is under a threshold. What comes to the driver is a count for each language and
     bucket, however large the input. Rows without a label or text are not read.
     """
-    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"))
+    rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("h"))
     rows = rows.where("lang is not null and text is not null")
     per = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     share = F.lit(0.0)
