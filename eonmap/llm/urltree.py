@@ -75,10 +75,12 @@ def grow(tree: DataFrame, min_share: float = MIN_SHARE, like: float = LIKE) -> D
         child = state.groupBy("host", "template", own.alias("seg")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *counts)
         node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("bad").alias("nbad"), *[F.sum(f"k{k}").alias(f"nk{k}") for k in KINDS])
         both = child.join(node, ["host", "template"])
-        apart = sum((F.abs(F.col(f"k{k}") / F.col("n") - F.col(f"nk{k}") / F.col("nn")) for k in KINDS), F.lit(0.0)) / 2
-        slack = F.lit(like) + 1 / F.sqrt("n")
-        alike = (apart < slack) & (F.abs(F.col("bad") / F.col("n") - F.col("nbad") / F.col("nn")) < slack) & (F.col("n") < F.col("nn"))
-        rare = (F.col("n") / F.col("nn") < min_share) & (F.abs(F.col("bad") / F.col("n") - F.col("nbad") / F.col("nn")) < slack)
+        # a child is held against its siblings together
+        n, rest = F.col("n"), F.nullif(F.col("nn") - F.col("n"), F.lit(0))
+        apart = sum((F.abs(F.col(f"k{k}") / n - (F.col(f"nk{k}") - F.col(f"k{k}")) / rest) for k in KINDS), F.lit(0.0)) / 2
+        slack = F.lit(like) + 1 / F.sqrt(n) + 1 / F.sqrt(rest)
+        same_rate = F.abs(F.col("bad") / n - (F.col("nbad") - F.col("bad")) / rest) < slack
+        alike, rare = F.coalesce((apart < slack) & same_rate, F.lit(False)), F.coalesce((n / F.col("nn") < min_share) & same_rate, F.lit(False))
         name = F.when((F.col("seg") != END) & (rare | alike), WILD).otherwise(F.col("seg"))
         named = both.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), name.alias("name"))
         state = state.join(named, (state["host"] == F.col("h")) & (state["template"] == F.col("t")) & (own == F.col("s")))
