@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once for each row, however often ``f`` uses it.
+
+    The optimizer may copy a plain column's expression into lambdas and filters, where it would be
+    computed again for every element; a lambda's own variable is never replaced.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key for a row that is stable under recomputation; equal (id, text) rows share it."""
     return F.xxhash64(doc_id.cast("string"), text)

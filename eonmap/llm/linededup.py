@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eonmap.llm.common import materialise, row_key
+from eonmap.llm.common import bind, materialise, row_key
 
 #: Multiplier of the rolling hash over line hashes; any odd value does.
 ROLL = 31
@@ -28,23 +28,25 @@ def is_long(line: Column, long_words: int) -> Column:
     return line.rlike(rf"^\s*+(?:\S++\s++){{{long_words - 1}}}\S")
 
 
-def with_chunks(docs: DataFrame, text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """Adds ``_chunks``: the chunks of ``text`` in order, null for null.
+def chunks_of(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
+    """The chunks of a text in order, null for null.
 
     Inside a chunk every line but the first has the mark C, so that no content can look like a cut
     and ``unmark`` restores the exact text. All steps are linear in the length of the text.
     """
-    lines = docs.withColumn("_lines", F.split(text, "\n"))
-    facts = lines.withColumn("_hash", F.transform("_lines", lambda s: F.xxhash64(s))).withColumn(
-        "_long", F.transform("_lines", lambda s: is_long(s, long_words)))
+    def mark(x: Column) -> Column:
+        def marked(s: Column, i: Column) -> Column:
+            rolled = F.xxhash64(F.get(x["hash"], i - 1), F.lit(ROLL), F.get(x["hash"], i))
+            starts = F.get(x["long"], i) | F.get(x["long"], i - 1) | (F.pmod(rolled, F.lit(divisor)) == 0)
+            return F.concat(F.when((i == 0) | starts, "B").otherwise("C"), s)
 
-    def marked(s: Column, i: Column) -> Column:
-        rolled = F.xxhash64(F.get("_hash", i - 1), F.lit(ROLL), F.get("_hash", i))
-        starts = F.get("_long", i) | F.get("_long", i - 1) | (F.pmod(rolled, F.lit(divisor)) == 0)
-        return F.concat(F.when((i == 0) | starts, "B").otherwise("C"), s)
+        return F.array_join(F.transform(x["lines"], marked), "\n")
 
-    whole = F.array_join(F.transform("_lines", marked), "\n")
-    return facts.withColumn("_chunks", F.split(F.substr(whole, F.lit(2)), "\nB")).drop("_lines", "_hash", "_long")
+    def facts(lines: Column) -> Column:
+        return F.struct(lines.alias("lines"), F.transform(lines, lambda s: F.xxhash64(s)).alias("hash"), F.transform(lines, lambda s: is_long(s, long_words)).alias("long"))
+
+    whole = bind(F.split(text, "\n"), lambda lines: bind(facts(lines), mark))
+    return F.split(F.substr(whole, F.lit(2)), "\nB")
 
 
 def unmark(chunk: Column) -> Column:
@@ -70,7 +72,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, key = F.col(f"`{text_col}`"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), key.alias("_key"), text.alias("_text"))
     # the outer form, since for the inner one Spark would copy the whole expression into a filter
-    seen = with_chunks(own, F.col("_text"), divisor, long_words).select("_id", "_key", F.posexplode_outer("_chunks").alias("_pos", "_chunk"))
+    seen = own.select("_id", "_key", F.posexplode_outer(chunks_of(F.col("_text"), divisor, long_words)).alias("_pos", "_chunk"))
     seen = materialise(seen.where(counts(F.col("_chunk"), long_words)).withColumn("_h", F.xxhash64("_chunk")))
     again = seen.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     # only chunks whose hash is seen again are moved with their bytes
@@ -82,9 +84,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     whole = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("_key")).join(gone, "_key", "left")
     # texts that lose nothing are not cut again
-    whole = with_chunks(whole, F.when(F.col("_gone").isNotNull(), text), divisor, long_words)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_gone"))
-    left = unmark(F.array_join(F.transform(kept, lambda i: F.get("_chunks", i)), "\n"))
+    def rest(chunks: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("_gone"))
+        return unmark(F.array_join(F.transform(kept, lambda i: F.get(chunks, i)), "\n"))
+
+    left = bind(chunks_of(F.when(F.col("_gone").isNotNull(), text), divisor, long_words), rest)
     new = F.when(F.col("_gone").isNull(), text).otherwise(left)
     return whole.select(
         *[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
