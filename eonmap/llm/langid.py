@@ -12,7 +12,6 @@ the iteration is a few array operations over all words of the batch.
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +36,8 @@ MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter or a mark on one, for all code points."""
-    out = np.zeros(0x110000, bool)
-    out[:] = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
-    return out
+    """Whether a code point is a letter, for all code points."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 class Alphabet:
