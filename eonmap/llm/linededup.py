@@ -70,26 +70,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = [c for c in docs.columns if c not in ("n_removed", "lines_removed")]
     text, key = F.col(f"`{text_col}`"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    own = docs.select(F.col(f"`{id_col}`").alias("_id"), key.alias("_key"), text.alias("_text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("_id"), key.alias("__ld_key"), text.alias("_text"))
     # the outer form, since for the inner one Spark would copy the whole expression into a filter
-    seen = own.select("_id", "_key", F.posexplode_outer(chunks_of(F.col("_text"), divisor, long_words)).alias("_pos", "_chunk"))
+    seen = own.select("_id", "__ld_key", F.posexplode_outer(chunks_of(F.col("_text"), divisor, long_words)).alias("_pos", "_chunk"))
     seen = materialise(seen.where(counts(F.col("_chunk"), long_words)).withColumn("_h", F.xxhash64("_chunk")))
     again = seen.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     # only chunks whose hash is seen again are moved with their bytes
     some = materialise(seen.join(again, "_h", "left_semi"))
-    first = some.groupBy("_h", "_chunk").agg(F.min(F.struct("_id", "_key", "_pos")).alias("_first"), F.count("*").alias("n")).where("n > 1")
-    gone = some.join(first, ["_h", "_chunk"]).where(~F.col("_first").eqNullSafe(F.struct("_id", "_key", "_pos")))
-    gone = gone.groupBy("_key").agg(F.collect_set(F.struct("_pos", F.size(F.split("_chunk", "\n")).alias("n"))).alias("_l"))
-    gone = gone.select("_key", F.col("_l._pos").alias("_gone"), F.aggregate("_l", F.lit(0), lambda a, x: a + x["n"]).alias("_n_lines"))
+    first = some.groupBy("_h", "_chunk").agg(F.min(F.struct("_id", "__ld_key", "_pos")).alias("_first"), F.count("*").alias("n")).where("n > 1")
+    gone = some.join(first, ["_h", "_chunk"]).where(~F.col("_first").eqNullSafe(F.struct("_id", "__ld_key", "_pos")))
+    gone = gone.groupBy("__ld_key").agg(F.collect_set(F.struct("_pos", F.size(F.split("_chunk", "\n")).alias("n"))).alias("_l"))
+    gone = gone.select("__ld_key", F.col("_l._pos").alias("__ld_gone"), F.aggregate("_l", F.lit(0), lambda a, x: a + x["n"]).alias("__ld_lines"))
 
-    whole = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("_key")).join(gone, "_key", "left")
+    whole = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__ld_key")).join(gone, "__ld_key", "left")
     # texts that lose nothing are not cut again
     def rest(chunks: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("_gone"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("__ld_gone"))
         return unmark(F.array_join(F.transform(kept, lambda i: F.get(chunks, i)), "\n"))
 
-    left = bind(chunks_of(F.when(F.col("_gone").isNotNull(), text), divisor, long_words), rest)
-    new = F.when(F.col("_gone").isNull(), text).otherwise(left)
+    left = bind(chunks_of(F.when(F.col("__ld_gone").isNotNull(), text), divisor, long_words), rest)
+    new = F.when(F.col("__ld_gone").isNull(), text).otherwise(left)
     return whole.select(
         *[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"), F.coalesce("_n_lines", F.lit(0)).alias("lines_removed"))
+        F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed"), F.coalesce("__ld_lines", F.lit(0)).alias("lines_removed"))
