@@ -264,3 +264,33 @@ def test_hot_group_is_one_class(spark):
     rows = [(i, " ".join(base[:i % 80] + [f"x{i}"] + base[i % 80 + 1:])) for i in range(400)]
     got = omh.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("class_id")).distinct().collect()
     assert len(got) == 1
+
+
+def test_near_copies_behind_a_shared_passage(spark):
+    rng = random.Random(30)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=4))
+    passage, texts = [word() for _ in range(60)], []
+    for _ in range(60):
+        base = [word() for _ in range(30)]
+        copy = list(base)
+        for i in rng.sample(range(30), 9):
+            copy[i] = word()
+        texts += [passage + base, passage + copy]
+    got = omh.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i - i % 2 for i in range(120)}
+
+
+def test_texts_alike_share_a_rare_gram():
+    rng = random.Random(12)
+    hasher = omh.Hasher()
+    for n in [*range(1, 40), 90, 150]:
+        for _ in range(12):
+            a = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(n)]
+            b = list(a)
+            for _ in range(n // 4):
+                at = rng.randrange(len(b) + 1)
+                b[at:at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y", "z"]])
+            if b and omh.alike(" ".join(a), " ".join(b)):
+                counts = np.sort(hasher(list({*a, *b})).view(np.int64))
+                text, gram = omh.rare_grams([hasher(a), hasher(b)], omh.SIMILARITY, (counts, np.ones(len(counts), np.int64)))
+                assert set(gram[text == 0]) & set(gram[text == 1])
