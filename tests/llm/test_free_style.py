@@ -294,3 +294,15 @@ def test_texts_alike_share_a_rare_gram():
                 counts = np.sort(hasher(list({*a, *b})).view(np.int64))
                 text, gram = omh.rare_grams([hasher(a), hasher(b)], omh.SIMILARITY, (counts, np.ones(len(counts), np.int64)))
                 assert set(gram[text == 0]) & set(gram[text == 1])
+
+
+def test_short_and_evenly_edited_copies(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=4))
+    texts = []
+    for n, step in [(10, 0), (12, 0), (150, 6), (60, 6)] * 12:
+        base = [word() for _ in range(n)]
+        edited = [word() if (i % step == step - 1 if step else i == n // 2) else w for i, w in enumerate(base)]
+        texts += [base, edited]
+    got = omh.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i - i % 2 for i in range(len(texts))}
