@@ -192,6 +192,26 @@ def resolve_containment(pairs: Sequence[tuple[int, int]]) -> dict[int, int]:
     return out
 
 
+def contained_into(pairs: DataFrame) -> DataFrame:
+    """(small, large) -> id, into: what ``resolve_containment`` gives for the pairs in their order.
+
+    A unit goes into the least large one that is not dropped before it. Each round decides the units
+    whose large ones with smaller ids are decided; the rounds grow with the longest chain of those.
+    """
+    own = materialise(pairs.select("small", "large").distinct())
+    state = own.select(F.col("small").alias("id")).distinct().withColumn("dropped", F.lit(None).cast("boolean"))
+    while True:
+        of = state.select(F.col("id").alias("large"), F.lit(True).alias("has"), "dropped")
+        # whether the large one is there when the small one's turn comes; null if not known yet
+        there = F.when((F.col("large") > F.col("small")) | F.col("has").isNull(), True).otherwise(~F.col("dropped"))
+        seen = own.join(of, "large", "left").select("small", "large", there.alias("there"))
+        known = F.when(F.max("there"), True).when(F.count("there") == F.count("*"), False)
+        state = materialise(seen.groupBy("small").agg(known.alias("dropped")).withColumnRenamed("small", "id"))
+        if state.where("dropped is null").isEmpty():
+            of = state.select(F.col("id").alias("large"), F.lit(True).alias("has"), "dropped")
+            return own.join(of, "large", "left").where(there).groupBy(F.col("small").alias("id")).agg(F.min("large").alias("into"))
+
+
 def absorbed(into: dict[int, int]) -> dict[int, list[int]]:
     """absorber -> all it holds, also through others that it absorbed."""
     out: dict[int, list[int]] = {}

@@ -352,7 +352,7 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     """Nodes (node, members), edges (a, b) and colours (node, colour) of the states that share borders.
 
     Copies become one; members of one chronology are one node; a unit inside a contemporary one goes
-    into it. What the driver holds is a list of containments and a graph, both checked for size.
+    into it. What the driver holds is a graph, checked for size.
     """
     spark = relations.sparkSession
     states = relations.where(relational.admin_boundary(F.col("tags"), ["2"]) & ~F.col("tags")["type"].eqNullSafe(F.lit("chronology")))
@@ -373,8 +373,7 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     lean = overlaid(pairs.select("a", "b", "a_km2", "b_km2", "a_geom", "b_geom"))
     inside = lean.where(F.col("shared_km2") >= CONTAINED * F.least("a_km2", "b_km2")).select(
         F.when(F.col("a_km2") <= F.col("b_km2"), F.col("a")).otherwise(F.col("b")).alias("small"), F.when(F.col("a_km2") <= F.col("b_km2"), F.col("b")).otherwise(F.col("a")).alias("large"))
-    into = graph.resolve_containment([tuple(r) for r in inside.orderBy("small", "large").limit(graph.MOST_EDGES).collect()])
-    dropped = spark.createDataFrame(list(into.items()) or [(-1, -1)], "id bigint, into bigint")
+    dropped = graph.contained_into(inside)
     node_of = rows.select("id").join(chron.select(F.col("member_id").alias("id"), F.col("chrono_id").alias("node")), "id", "left").select("id", F.coalesce("node", "id").alias("node"))
     home = rows.select("id", "ways", "lo", "hi").join(dropped, "id", "left").withColumn("at", F.coalesce("into", "id")).join(node_of.withColumnRenamed("id", "at"), "at")
     home = tables.materialise(home)

@@ -167,3 +167,12 @@ def test_components(spark):
     assert {got[i] for i in range(1, 41)} == {1} and got[101] == 100
     chron = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (2, 0, 6), (2, 1, 7), (2, 2, 8), (3, 0, 9)], "chrono_id long, pos int, member_id long")
     assert [tuple(r) for r in graph.merged_chronologies(chron).orderBy("chrono_id", "pos").collect()] == [(2, 0, 6), (2, 1, 7), (2, 2, 8), (2, 3, 5), (3, 0, 9)]
+
+
+def test_containment_without_a_list(spark):
+    rng = np.random.default_rng(5)
+    for n in (8, 12):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (n, 2)) if a != b})
+        got = graph.contained_into(spark.createDataFrame(pairs, "small long, large long")).collect()
+        assert {r["id"]: r["into"] for r in got} == graph.resolve_containment(pairs)
+    assert graph.contained_into(spark.createDataFrame([], "small long, large long")).count() == 0
