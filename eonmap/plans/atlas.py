@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from eonmap.functions import dates, geometry, text
 from eonmap.operators import temporal, topology
-from eonmap.plans.features import GEOM, cells, from_geom, to_geom, with_computed
+from eonmap.plans.features import GEOM, cells, from_geom, meeting, to_geom, with_computed
+from eonmap.sources import tables
 
 VALUES = ["fill", "d", "title", "layer"]
 #: Radii in degrees: a border with another country, a match on the other map, and of the mesh's weights.
@@ -60,19 +61,31 @@ def project(rows: DataFrame, mesh: geometry.Mesh | None = None) -> DataFrame:
 def clip_to(rows: DataFrame, land: DataFrame) -> DataFrame:
     """Replaces geom by its parts inside land boxes (name, box with straight sides, as columns x0, y0, x1, y1).
 
-    Land is a short list of convex windows; a concave coast is given as several.
+    Polygons and windows meet on grid cells, so that there may be any number of windows; a concave
+    coast is given as several.
     """
-    windows = [np.array([(r["x0"], r["y0"]), (r["x1"], r["y0"]), (r["x1"], r["y1"]), (r["x0"], r["y1"])]) for r in land.limit(10_000).collect()]
+    own = tables.materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
+    flat = lambda axis: F.flatten(F.transform("polygon", lambda ring: F.transform(ring, lambda p: p[axis])))
+    polygons = own.select("__row", F.posexplode("geom").alias("pos", "polygon"))
+    polygons = polygons.withColumn("box", F.array(F.array_min(flat("x")), F.array_min(flat("y")), F.array_max(flat("x")), F.array_max(flat("y"))))
+    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    windows = land.select(*sides).withColumn("box", F.array(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1")))
+    pairs = meeting(polygons, windows, []).select("a___row", "a_pos", "a_polygon", "b_x0", "b_y0", "b_x1", "b_y1")
 
     def cut(columns: list[list]) -> list[list]:
         out = []
-        for g in columns[0]:
-            parts = [[p for r in rings if len(p := geometry.clip_convex(r if geometry.signed_area2(r) > 0 else r[::-1], w)) >= 3] for rings in to_geom(g) for w in windows]
-            out.append(from_geom([rings for rings in parts if rings]))
+        for polygon, x0, y0, x1, y1 in zip(*columns, strict=True):
+            w = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+            parts = [p for r in to_geom([polygon])[0] if len(p := geometry.clip_convex(r if geometry.signed_area2(r) > 0 else r[::-1], w)) >= 3]
+            out.append(from_geom([parts] if parts else []))
         return [out]
 
     point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    return with_computed(rows, ["geom"], cut, [("geom", GEOM, pa.list_(pa.list_(pa.list_(point))))])
+    made = with_computed(pairs, ["a_polygon", "b_x0", "b_y0", "b_x1", "b_y1"], cut, [("parts", GEOM, pa.list_(pa.list_(pa.list_(point))))], ["a_polygon"])
+    made = made.groupBy(F.col("a___row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("a_pos", "b_x0", "b_y0", "b_x1", "b_y1", "parts"))).alias("cuts"))
+    made = made.select("__row", F.flatten(F.col("cuts.parts")).alias("clipped"))
+    geom = F.coalesce("clipped", F.array().cast(GEOM)).alias("geom")
+    return own.join(made, "__row", "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != "geom"], geom)
 
 
 def features(segments: DataFrame, mesh: geometry.Mesh | None = None) -> DataFrame:

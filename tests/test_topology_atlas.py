@@ -86,6 +86,15 @@ def test_clip(spark):
     assert abs(geometry.signed_area2(np.array([(p["x"], p["y"]) for p in g[0][0]]))) == 6
 
 
+def test_clip_to_many_windows(spark):
+    df = spark.createDataFrame([(1, [[ring((0, 0), (4, 0), (4, 4), (0, 4))]]), (2, [[ring((50, 0), (54, 0), (54, 4), (50, 4))]])], f"id long, geom {atlas.GEOM}")
+    n = 10_500
+    land = spark.range(n).selectExpr(f"id * 4.0D / {n} as x0", "-1.0D as y0", f"(id + 1) * 4.0D / {n} as x1", "9.0D as y1")
+    got = {r["id"]: r["geom"] for r in atlas.clip_to(df, land).collect()}
+    assert len(got[1]) == n and got[2] == []
+    assert abs(sum(geometry.signed_area2(np.array([(p["x"], p["y"]) for p in g[0]])) for g in got[1]) - 32) < 1e-6
+
+
 def test_edtf():
     I = edtf.interval  # noqa: E741
     assert I("1948-05") == ((1948, 5, 1), (1948, 5, 31)) and I("1948~") == ((1947, 1, 1), (1949, 12, 31)) and I("1944/1950") == ((1944, 1, 1), (1950, 12, 31))
