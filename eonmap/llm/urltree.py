@@ -66,7 +66,7 @@ KINDS = range(5)
 
 def grow(tree: DataFrame, min_share: float = MIN_SHARE, like: float = LIKE) -> DataFrame:
     """(host, shape, n, bad) -> host, shape, template, n, bad. ``shape``: segments joined by ``/``."""
-    state = materialise(tree.withColumn("segs", F.split("shape", "/")).withColumn("template", F.lit("")))
+    state = materialise(tree.withColumn("segs", F.split("shape", "/", LEVELS + 1)).withColumn("template", F.lit("")))
     depth = state.agg(F.max(F.size("segs"))).first()[0] or 0  # LEVELS + 1 at most
     for level in range(depth):
         own = F.coalesce(F.get("segs", F.lit(level)), F.lit(END))

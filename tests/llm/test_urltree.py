@@ -54,3 +54,17 @@ def test_edges(spark):
     got = judge(spark, [deep, deep, None, None])
     assert len(got) == 4 and got[0]["verdict"] == "allow" and got[2]["host"] == ""
     assert judge(spark, []) == {}
+
+
+def test_levels_bound_the_rounds(spark, monkeypatch):
+    rounds, real = [], urltree.materialise
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) <= urltree.LEVELS + 2
+        return real(df)
+
+    monkeypatch.setattr(urltree, "materialise", counted)
+    tree = spark.createDataFrame([("d.com", "/".join(f"p{i}" for i in range(3000)), 1, 0)], "host string, shape string, n long, bad long")
+    urltree.grow(tree)
+    assert len(rounds) == urltree.LEVELS + 2
