@@ -33,7 +33,37 @@ def materialise(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later step reads."""
+    for table in tables:
+        path = getattr(table, "stored_at", None) if "stored_at" in vars(table) else None
+        if path:
+            jvm, context = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
+            hpath = jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(context._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+#: A key is hot if it holds more than one of so many of all rows, so that there are fewer hot keys than that.
+HOT = 200
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of stored ``rows`` with ``facts``, of which ``key`` is unique.
+
+    The facts of hot keys, fewer than ``HOT``, are broadcast; the others are joined by a shuffle, in
+    which no key stands out.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    hot = [r[0] for r in counts.where(F.col("n") > F.lit(max(rows.count() / HOT, HOT))).select(key).collect()]
+    if not hot:
+        return rows.join(facts, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key).unionByName(rows.where(~is_hot).join(facts.where(~is_hot), key))
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -214,13 +214,48 @@ def test_banded_distance_against_full_table():
         assert omh.distance(a, b, most) == (d if d <= most else most + 1)
 
 
+def sketches(texts):
+    each, found = omh.sketch(texts)
+    return np.split(found, np.cumsum(each)[:-1])
+
+
 def test_sketch_against_plain_sampling():
     rng = random.Random(8)
     texts = [np.array([rng.randint(1, 9) for _ in range(n)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 4, 5, 6, 40, 300)]
-    one = [omh.sketch([t]) for t in texts]
-    assert np.array_equal(omh.sketch(texts), np.concatenate(one))
-    swapped = np.concatenate([texts[5][150:], texts[5][:150]])
-    assert (omh.sketch([swapped]) != one[5]).mean() > 0.2  # the order of samples counts
+    got, m = sketches(texts), 2**64
+    assert all(np.array_equal(got[i], sketches([t])[0]) for i, t in enumerate(texts))
+    mix = lambda x: int(omh._mix(np.array([x % m], np.uint64))[0])
+    for t, samples in zip(texts, got, strict=True):
+        grams, _, _ = omh.grams_of([t], omh.K)
+        plain = []
+        for i in range(omh.ROUNDS):
+            bins = {}
+            for place, g in enumerate(map(int, grams)):
+                v = mix(g + 0x632BE59BD9B4E019 * (i + 1))
+                bins.setdefault((v >> 40) * omh.BINS >> 24, []).append((v % 2**omh.HASH_BITS, place, g))
+            for _, members in sorted(bins.items()):
+                if len(members) > 1:
+                    (_, _, first), (_, _, second) = sorted(sorted(members)[:2], key=lambda x: x[1])
+                    plain.append(mix(mix(first + i + 1) + second))
+        assert plain == samples.view(np.uint64).tolist()
+    swapped = sketches([np.concatenate([texts[5][150:], texts[5][:150]])])[0]
+    assert len(np.setdiff1d(swapped, got[5])) / len(swapped) > 0.2  # the order of samples counts
+
+
+def test_recall_of_samples_by_similarity():
+    rng = np.random.default_rng(14)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (60, 150, 400):
+        for similarity, least in ((0.8, 0.9), (0.85, 0.97), (0.9, 0.99)):
+            edits, texts = round(n * (1 - similarity)), []
+            for trial in range(200):
+                a = draw(n)
+                b = a.copy()
+                at = np.arange(edits) * n // edits if trial % 2 else rng.choice(n, edits, replace=False)
+                b[at] = draw(edits)
+                texts += [a, b]
+            got = sketches(texts)
+            assert np.mean([len(np.intersect1d(got[i], got[i + 1])) > 0 for i in range(0, 400, 2)]) >= least
 
 
 def test_near_classes_against_all_pairs(spark):
