@@ -1,12 +1,18 @@
 """Line dedup by content-defined chunks: only DataFrame functions, no Python on the executors.
 
-A document is cut into chunks of lines where a rolling hash over the hashes of two neighbouring
-lines meets a condition. Cuts depend on nearby content alone, so a passage is cut alike wherever it
-stands and whatever was put in before it. Chunks seen again anywhere in the corpus are compared
-byte by byte and removed from all documents but the first.
-
-A chunk counts if it has two lines or more. A line of ``long_words`` words or more is a wrapped
-passage of several lines in one: it always is a chunk of its own, and counts too.
+A text is a row of lines; physical lines that are longer than ``WRAP`` characters are wrapped at the
+ends of sentences, so that a passage counts alike whether it stands in many short lines or in a few
+long ones. A rolling hash over the hashes of two neighbouring lines chooses the cuts between chunks.
+A cut depends on the two lines beside it alone, so a passage is cut alike wherever it stands and
+whatever was put in before it.
+
+Cuts seen again anywhere in the corpus (by the hash of their two lines) are held against the first
+of them: from the cut outwards, the chunk before and the chunk after are compared with the first's,
+line by line and byte by byte. The lines that agree, two at least, are the repeated chunk, and are
+removed. So the ends of a passage, whose chunks also hold lines of the surroundings, go as well, and
+a passage is left whole only if none of its line pairs is a cut: one pair of three.
+
+Every removed line stands earlier in the corpus, so that the first of all occurrences stays.
 """
 
 from __future__ import annotations
@@ -14,53 +20,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eonmap.llm.common import bind, materialise, row_key
+from eonmap.llm.common import bind, hot_join, materialise, release, row_key
 
 #: Multiplier of the rolling hash over line hashes; any odd value does.
 ROLL = 31
-#: One line pair in so many starts a chunk.
-DIVISOR = 2
-LONG_WORDS = 50
+#: A pair of lines is a cut if its rolling hash modulo ``DIVISOR`` is less than ``CUTS``.
+DIVISOR, CUTS = 3, 2
+#: Characters of a physical line beyond which it is wrapped; least characters of the sentence that ends a wrapped line.
+WRAP, SENTENCE = 160, 40
+#: Stands between wrapped lines while they are made; a line that holds it is not wrapped.
+MARK = "\u0001"
+#: A line's end; blank lines belong to the line before.
+NEWLINE, SENTENCE_END = r"\n(?![\r\n])", r"(?<=[.!?] |[。！？])"
 
 
-def is_long(line: Column, long_words: int) -> Column:
-    """Whether a line has so many words; possessive, so linear in its length."""
-    return line.rlike(rf"^\s*+(?:\S++\s++){{{long_words - 1}}}\S")
+def lines_of(text: Column) -> Column:
+    """The lines of a text. A physical line's first has a line end before it, so that
+    ``joined`` restores the exact text. All steps are linear in the length of the text."""
+    def logical(line: Column) -> Column:
+        sentences = F.transform(F.split(line, SENTENCE_END), lambda s: F.when(F.length(s) >= SENTENCE, F.concat(s, F.lit(MARK))).otherwise(s))
+        wraps = (F.length(line) > WRAP) & ~F.contains(line, F.lit(MARK))
+        some = F.when(wraps, F.split(F.array_join(sentences, ""), MARK)).otherwise(F.array(line))
+        return F.transform(some, lambda s, i: F.when(i == 0, F.concat(F.lit("\n"), s)).otherwise(s))
 
+    return F.flatten(F.transform(F.split(text, NEWLINE), logical))
 
-def chunks_of(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
-    """The chunks of a text in order, null for null.
 
-    Inside a chunk every line but the first has the mark C, so that no content can look like a cut
-    and ``unmark`` restores the exact text. All steps are linear in the length of the text.
-    """
-    def mark(x: Column) -> Column:
-        def marked(s: Column, i: Column) -> Column:
-            rolled = F.xxhash64(F.get(x["hash"], i - 1), F.lit(ROLL), F.get(x["hash"], i))
-            starts = F.get(x["long"], i) | F.get(x["long"], i - 1) | (F.pmod(rolled, F.lit(divisor)) == 0)
-            return F.concat(F.when((i == 0) | starts, "B").otherwise("C"), s)
+def joined(lines: Column) -> Column:
+    return F.substr(F.array_join(lines, ""), F.lit(2))
+
 
-        return F.array_join(F.transform(x["lines"], marked), "\n")
+def contents(lines: Column) -> Column:
+    """Lines without white space at their ends, as they are compared."""
+    return F.transform(lines, lambda s: F.btrim(s, F.lit(" \t\r\n")))
 
-    def facts(lines: Column) -> Column:
-        return F.struct(lines.alias("lines"), F.transform(lines, lambda s: F.xxhash64(s)).alias("hash"), F.transform(lines, lambda s: is_long(s, long_words)).alias("long"))
 
-    whole = bind(F.split(text, "\n"), lambda lines: bind(facts(lines), mark))
-    return F.split(F.substr(whole, F.lit(2)), "\nB")
+def cuts_of(text: Column, divisor: int = DIVISOR, cuts: int = CUTS) -> Column:
+    """The cuts of a text in order: pos (the line after the cut), lo and hi (first line of the chunk
+    before, end of the chunk after) and hash (of the two lines beside the cut, which aren't blank)."""
+    def rolled(lines: Column) -> Column:
+        def at(hashes: Column) -> Column:
+            pair = lambda h, i: F.struct(i.alias("pos"), F.when(
+                (i > 0) & (F.get(lines, i - 1) != "") & (F.get(lines, i) != ""), F.xxhash64(F.get(hashes, i - 1), F.lit(ROLL), h)).alias("hash"))
+            return F.filter(F.transform(hashes, pair), lambda c: F.pmod(c["hash"], F.lit(divisor)) < cuts)
 
+        found = bind(F.transform(lines, lambda s: F.xxhash64(s)), at)
+        return bind(found, lambda some: F.transform(some, lambda c, i: F.struct(
+            c["pos"].alias("pos"), F.coalesce(F.get(some, i - 1)["pos"], F.lit(0)).alias("lo"),
+            F.coalesce(F.get(some, i + 1)["pos"], F.size(lines)).alias("hi"), c["hash"].alias("hash"))))
 
-def unmark(chunk: Column) -> Column:
-    return F.replace(chunk, F.lit("\nC"), F.lit("\n"))
+    return bind(contents(lines_of(text)), rolled)
 
 
-def counts(chunk: Column, long_words: int = LONG_WORDS) -> Column:
-    """Whether a chunk is one that may be removed: several lines, or one long line."""
-    return F.contains(chunk, F.lit("\nC")) | is_long(chunk, long_words)
+def agreeing(a: Column, b: Column) -> Column:
+    """How many of the first elements of two arrays are equal."""
+    return bind(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)), lambda at: F.when(at == 0, F.size(a)).otherwise(at.cast("int") - 1))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """All columns of ``docs``, with the text less its repeated chunks, and n_removed, lines_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, cuts: int = CUTS) -> DataFrame:
+    """All columns of ``docs``, with the text less its repeated chunks, and n_removed (cuts at which
+    something repeated stands) and lines_removed (lines, of those that ``lines_of`` gives).
 
     Order of occurrences: id (null first), then a hash of id and text, then place. The first stays.
     Nulls: a null text stays null; null ids are ids like others. Rows of equal id and text count as
@@ -72,24 +91,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, key = F.col(f"`{text_col}`"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), key.alias("__ld_key"), text.alias("_text"))
     # the outer form, since for the inner one Spark would copy the whole expression into a filter
-    seen = own.select("_id", "__ld_key", F.posexplode_outer(chunks_of(F.col("_text"), divisor, long_words)).alias("_pos", "_chunk"))
-    seen = materialise(seen.where(counts(F.col("_chunk"), long_words)).withColumn("_h", F.xxhash64("_chunk")))
-    again = seen.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    # only chunks whose hash is seen again are moved with their bytes
-    some = materialise(seen.join(again, "_h", "left_semi"))
-    first = some.groupBy("_h", "_chunk").agg(F.min(F.struct("_id", "__ld_key", "_pos")).alias("_first"), F.count("*").alias("n")).where("n > 1")
-    gone = some.join(first, ["_h", "_chunk"]).where(~F.col("_first").eqNullSafe(F.struct("_id", "__ld_key", "_pos")))
-    gone = gone.groupBy("__ld_key").agg(F.collect_set(F.struct("_pos", F.size(F.split("_chunk", "\n")).alias("n"))).alias("_l"))
-    gone = gone.select("__ld_key", F.col("_l._pos").alias("__ld_gone"), F.aggregate("_l", F.lit(0), lambda a, x: a + x["n"]).alias("__ld_lines"))
+    seen = own.select("__ld_key", F.explode_outer(cuts_of(F.col("_text"), divisor, cuts)).alias("_c"))
+    seen = materialise(seen.where("_c is not null").select("__ld_key", "_c.pos", "_c.lo", "_c.hi", F.col("_c.hash").alias("_hash")))
+    again = materialise(seen.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"))
+    flags = hot_join(seen, again, "_hash").groupBy("__ld_key").agg(F.collect_set(F.struct("pos", "lo", "hi", "_hash")).alias("_flags"))
+
+    def sides(lines: Column) -> Column:
+        return F.transform("_flags", lambda c: F.struct(
+            c["_hash"].alias("_hash"), c["pos"].alias("pos"), F.reverse(F.slice(lines, c["lo"] + 1, c["pos"] - c["lo"])).alias("before"),
+            F.slice(lines, c["pos"] + 1, c["hi"] - c["pos"]).alias("after")))
+
+    # only texts with cuts that are seen again are moved, and of them only the chunks beside those
+    around = own.join(flags, "__ld_key").select("_id", "__ld_key", F.explode_outer(bind(contents(lines_of(F.col("_text"))), sides)).alias("_c"))
+    around = materialise(around.select("_c._hash", F.struct("_id", "__ld_key", "_c.pos").alias("_place"), F.struct("_c.before", "_c.after").alias("_sides")))
+    first = around.groupBy("_hash").agg(F.min(F.struct("_place", "_sides")).alias("_first"))
+    held = hot_join(around, first, "_hash").where(~F.col("_place").eqNullSafe(F.col("_first._place")))
+    span = held.select("_place.*", agreeing(F.col("_sides.before"), F.col("_first._sides.before")).alias("up"), agreeing(F.col("_sides.after"), F.col("_first._sides.after")).alias("down"))
+    gone = span.where("up > 0 and down > 0").groupBy("__ld_key").agg(F.collect_set(F.struct((F.col("pos") - F.col("up")).alias("lo"), (F.col("pos") + F.col("down") - 1).alias("hi"))).alias("_l"))
+    gone = materialise(gone.select("__ld_key", F.size("_l").alias("__ld_cuts"), F.array_distinct(F.flatten(F.transform("_l", lambda x: F.sequence(x["lo"], x["hi"])))).alias("__ld_gone")))
+    release(seen, again, around)
 
     whole = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__ld_key")).join(gone, "__ld_key", "left")
     # texts that lose nothing are not cut again
-    def rest(chunks: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("__ld_gone"))
-        return unmark(F.array_join(F.transform(kept, lambda i: F.get(chunks, i)), "\n"))
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone"))
+        return joined(F.transform(kept, lambda i: F.get(lines, i)))
 
-    left = bind(chunks_of(F.when(F.col("__ld_gone").isNotNull(), text), divisor, long_words), rest)
+    left = bind(lines_of(F.when(F.col("__ld_gone").isNotNull(), text)), rest)
     new = F.when(F.col("__ld_gone").isNull(), text).otherwise(left)
     return whole.select(
         *[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("n_removed"), F.coalesce("__ld_lines", F.lit(0)).alias("lines_removed"))
+        F.coalesce("__ld_cuts", F.lit(0)).alias("n_removed"), F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("lines_removed"))
