@@ -315,7 +315,7 @@ def test_near_copies_behind_a_shared_passage(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i - i % 2 for i in range(120)}
 
 
-def test_texts_alike_share_a_rare_gram():
+def test_texts_alike_share_a_rare_word():
     rng = random.Random(12)
     hasher = omh.Hasher()
     for n in [*range(1, 40), 90, 150]:
@@ -327,8 +327,8 @@ def test_texts_alike_share_a_rare_gram():
                 b[at:at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y", "z"]])
             if b and omh.alike(" ".join(a), " ".join(b)):
                 counts = np.sort(hasher(list({*a, *b})).view(np.int64))
-                text, gram = omh.rare_grams([hasher(a), hasher(b)], omh.SIMILARITY, (counts, np.ones(len(counts), np.int64)))
-                assert set(gram[text == 0]) & set(gram[text == 1])
+                text, word = omh.rare_words([hasher(a), hasher(b)], omh.SIMILARITY, (counts, np.ones(len(counts), np.int64)))
+                assert set(word[text == 0]) & set(word[text == 1])
 
 
 def test_short_and_evenly_edited_copies(spark):

@@ -9,7 +9,7 @@ def test_stages(spark, tmp_path):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rng.randint(1, 4)))
     line = lambda n=12: " ".join(word() for _ in range(n))
-    item, passage = line(30), line(60)
+    item, passage = line(30), "\n".join(line() for _ in range(6))
     rows = [(i, "\n".join(line() for _ in range(6)), "en", f"s{i % 3}", 1) for i in range(60)]
     rows += [(100, rows[0][1], "en", "s0", 1), (101, rows[1][1].replace(rows[1][1].split()[3], "xx", 1), "en", "s1", 1)]
     rows += [(200, f"{line()}\n{item}\n{line()}", "en", "s2", 1), (300, "12 34 !!", "en", "s0", 1), (301, None, None, None, None)]
