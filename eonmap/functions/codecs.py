@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eonmap.operators.numbering import numbered
+
 #: Steps of the coordinate grid over the globe, and the grid of topology in degrees.
 LON_STEPS, LAT_STEPS, TOPOLOGY_GRID = 4_000_000, 2_000_000, 1e-5
 
@@ -33,15 +35,10 @@ def deltas(xs: Column) -> Column:
     return F.transform(xs, lambda x, i: x - F.coalesce(F.when(i > 0, F.get(xs, i - 1)), F.lit(0)))
 
 
-def running_sums(ds: Column) -> Column:
-    """The inverse of ``deltas``."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, d: Column) -> Column:
-        at = (acc["at"] + d).cast("bigint")
-        return F.struct(F.concat(acc["out"], F.array(at)).alias("out"), at.alias("at"))
-
-    return F.aggregate(ds, start, step, lambda acc: acc["out"])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def running_sums(ds: pd.Series) -> pd.Series:
+    """The inverse of ``deltas``; null stays null. An expression would copy its array at every step."""
+    return ds.map(lambda d: None if d is None else np.cumsum(d, dtype=np.int64))
 
 
 # ------------------------------------------------------------- varint rings
@@ -109,11 +106,11 @@ def tag_tables(tags: DataFrame, id_col: str, tags_col: str) -> tuple[DataFrame,
     where = F.struct(id_col, "pos")
     pair = pairs.groupBy("key", "value").agg(F.count("*").alias("n"), F.min(where).alias("at"))
     value = pairs.groupBy("value").agg(F.count("*").alias("n"), F.min(where).alias("at"))
-    by_use = Window.orderBy(F.desc("n"), "at")
-    pair = pair.where("n > 1").withColumn("index", F.row_number().over(by_use) - 1).select("key", "value", "index")
-    value = value.where("n > 1").withColumn("index", F.row_number().over(by_use) - 1).select("value", "index")
-    key = pairs.select("key").distinct().withColumn("index", F.row_number().over(Window.orderBy("key")) - 1)
-    return pair, key, value
+    def indexed(rows: DataFrame, order: list, columns: list[str]) -> DataFrame:
+        return numbered(rows, order, "number").select(*columns, (F.col("number") - 1).alias("index"))
+
+    by_use = [F.desc("n"), F.col("at"), F.col("value")]
+    return indexed(pair.where("n > 1"), by_use, ["key", "value"]), indexed(pairs.select("key").distinct(), ["key"], ["key"]), indexed(value.where("n > 1"), by_use, ["value"])
 
 
 def encode_tags(tags: DataFrame, id_col: str, tags_col: str, tables: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:

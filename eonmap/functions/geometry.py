@@ -221,38 +221,39 @@ def simplify_line(points: np.ndarray, tolerance: float) -> list[int]:
 
 
 def simplify_ring(points: np.ndarray, tolerance: float, least: int = 2) -> list[int]:
-    """Indices that Visvalingam-Whyatt keeps of a closed ring (first point = last).
+    """Indices that Visvalingam-Whyatt keeps of a line, or of a ring (first point = last), which stays closed.
 
-    The point with the smallest triangle goes first, until triangles have ``tolerance`` squared or
-    ``least`` points are left. The ring stays closed.
+    The point with the smallest triangle goes first, as long as its area is no more than
+    ``tolerance`` and more than ``least`` points are left. A line keeps both its ends.
     """
-    n = len(points) - 1
-    if n < 3:
+    if len(points) < 3:
         return list(range(len(points)))
-    before, after, alive = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)], [True] * n
+    closed = bool(np.all(points[0] == points[-1]))
+    n = len(points) - closed
+    before, after, alive = [i - 1 for i in range(n)], [i + 1 for i in range(n)], [True] * n
+    if closed:
+        before[0], after[-1] = n - 1, 0
 
     def size(i: int) -> float:
         (x0, y0), (x1, y1), (x2, y2) = points[before[i]], points[i], points[after[i]]
         return abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) / 2
 
-    heap = [(size(i), i) for i in range(n)]
+    inner = range(n) if closed else range(1, n - 1)
+    heap = [(size(i), i) for i in inner]
     heapq.heapify(heap)
-    current, left, reached = dict((i, s) for s, i in heap), n, 0.0
-    while heap and left > least:
+    current, left = dict((i, s) for s, i in heap), n
+    while heap and left > least and heap[0][0] <= tolerance:
         s, i = heapq.heappop(heap)
         if not alive[i] or current[i] != s:
             continue
-        reached = max(reached, s)
-        if reached >= tolerance * tolerance:
-            break
         alive[i], left = False, left - 1
         a, b = before[i], after[i]
         after[a], before[b] = b, a
-        for j in (a, b):
-            current[j] = max(size(j), reached)
+        for j in {a, b} & current.keys():
+            current[j] = max(size(j), s)  # no less than what went before
             heapq.heappush(heap, (current[j], j))
     kept = [i for i in range(n) if alive[i]]
-    return [*kept, n if kept and kept[0] == 0 else kept[0]] if kept else []
+    return [*kept, n if kept[0] == 0 else kept[0]] if closed else kept
 
 
 # ------------------------------------------------------------- validity and overlay
@@ -289,6 +290,8 @@ def crossings(a: np.ndarray, b: np.ndarray, block: int = 2_000_000) -> tuple[np.
         ii.append(i + s)
         jj.append(j)
         pp.append(a[i + s, 0] + t * (a[i + s, 1] - a[i + s, 0]))
+    if not ii:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 2))
     return np.concatenate(ii), np.concatenate(jj), np.concatenate(pp)
 
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from eonmap.functions.dates import bind
 
 # What marks a year range, a family of rulers and a ruler's title; names of countries
 # that differ between the two atlases; tags that the viewer shows.
 YEAR = r"c?\d+(?:BCE?|CE?|AD)?"
-DYNASTY = "Dynasty Caliphate House Family"
-TITLES = ("Pharaoh King Queen Emperor Empress Sultan Caliph Emir Khan Tsar Czar Shah Shogun Pope Duke Earl Count Baron Governor "
-          "President Regent Lord Prince Princess Archon Doge Elector Viceroy Vizier")
+RANGE = rf"(?i){YEAR}\s*-\s*(?:{YEAR}|Present)"
+SPAN = r"(?i)^\s*(?:c?\d|Before\s)"
+FAMILY = r"(?i)\b(?:Dynasty|Caliphate|House|Family)\b"
+TITLES = ("Pharaoh", "King", "Queen", "Emperor", "Empress", "Sultan", "Caliph", "Emir", "Khan", "Tsar", "Czar", "Shah", "Shogun", "Pope",
+          "Duke", "Earl", "Count", "Baron", "Governor", "President", r"Prime\s+Minister", "Regent", "Lord", "Prince", "Princess",
+          "Archon", "Doge", "Elector", "Viceroy", "Vizier")
 ALIASES = {
     "america": "united states of america", "alaska": "united states of america", "aleutians": "united states of america",
     "hawaii": "united states of america", "britain": "united kingdom", "czech": "czechia", "slovak": "slovakia",
@@ -23,66 +26,60 @@ ALIASES = {
     "kossovo": "kosovo", "ivory coast": "côte d'ivoire", "central africa": "central african republic",
     "zaire": "democratic republic of the congo", "congo2": "republic of congo", "swazi": "eswatini", "surinam": "suriname",
     "saudi": "saudi arabia", "korea": "south korea", "timor": "east timor", "papua": "papua new guinea",
-    "luxemburg": "luxembourg", "mbini": "equatorial guinea", "bissau": "guinea-bissau", "south sudan": "south sudan",
+    "luxemburg": "luxembourg", "mbini": "equatorial guinea", "bissau": "guinea-bissau",
 }
 SHOWN_TAGS = ("admin_level boundary type place disputed wikidata wikipedia color color:id whmid group title:raw leader dynasty note span").split()
 SHOWN_PREFIXES = "start_date end_date start_event end_event source note fixme".split()
 SITE = "https://www.openhistoricalmap.org"
 
-_RANGE = re.compile(rf"{YEAR}\s*-\s*(?:{YEAR}|Present)", re.I)
-_SPAN = re.compile(r"\s*(?:c?\d|Before\s)", re.I)
-_FAMILY = re.compile(rf"\b(?:{'|'.join(DYNASTY.split())})\b", re.I)
-_TITLE = re.compile(rf"\b(?:{'|'.join(TITLES.split())}|Prime\s+Minister)\b", re.I)
-TITLE_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "span", "leader", "dynasty", "note")])
-
 
-def title_parts(title: str | None) -> tuple[str | None, str | None, str | None, str | None, str | None]:
-    """name, span, leader, dynasty and note of an atlas title, whose parts stand between commas.
+def parse_title(title: Column | str) -> Column:
+    """struct(name, span, leader, dynasty, note) of an atlas title, whose parts stand between commas.
 
-    Up to the span, parts belong to the name. After it a dated part is a dynasty, or a ruler with a
-    title; a title at the start of its part takes the part before it as the ruler's name. All other
-    parts are notes. A dated part before any span ends the name as well.
+    The name ends at the first part that starts like a year (the span) or holds a range of years.
+    Of the parts after it, the first with a range and a family word is the dynasty, and the first
+    with a range and a title the leader; more of these are dropped. The last free part before both
+    is the leader's own name. All other parts are notes, in order; a free part before both counts
+    from where the next such part follows, and a name without a leader comes last. Null for null.
     """
-    if title is None:
-        return None, None, None, None, None
-    parts = [p for p in (x.strip() for x in title.strip().rstrip(".,; ").split(",")) if p.strip(" .")]
-    name: list[str] = []
-    notes: list[str] = []
-    held: str | None = None
-    span = leader = dynasty = None
-    in_name = True
-    for p in parts:
-        dated = bool(_RANGE.search(p))
-        if in_name and name and _SPAN.match(p):
-            span, in_name = p, False
-            continue
-        if in_name and not (name and dated):
-            name.append(p)
-            continue
-        in_name = False
-        if dated and _FAMILY.search(p):
-            dynasty = p
-        elif dated and leader is None and (m := _TITLE.search(p)):
-            own_name = held is not None and m.start() == 0
-            leader = f"{held}, {p}" if own_name else p
-            if own_name:
-                held = None
-        else:
-            if held is not None:
-                notes.append(held)
-            held = p
-            continue
-        if held is not None:
-            notes.append(held)
-            held = None
-    if held is not None:
-        notes.append(held)
-    return ", ".join(name), span, leader, dynasty, ", ".join(notes) or None
-
-
-@F.pandas_udf(TITLE_SCHEMA)
-def parse_title(titles: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([title_parts(t) for t in titles], columns=["name", "span", "leader", "dynasty", "note"])
+    edges = " \t\r\n"
+    parts = F.transform(F.split(title, ","), lambda p: F.rtrim(F.btrim(p, F.lit(edges)), F.lit(".,")))
+    never = F.lit(2**31 - 1)
+
+    def first(places: Column) -> Column:
+        return F.coalesce(F.get(places, F.lit(0))["i"], never)
+
+    def of(parts: Column) -> Column:
+        dated = lambda p: p.rlike(RANGE)
+        ends = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.rlike(SPAN).alias("span"), dated(p).alias("dated"))), lambda x: x["span"] | x["dated"])
+        return bind(F.struct(parts.alias("parts"), F.coalesce(F.get(ends, F.lit(0))["i"], F.size(parts)).alias("at"), F.coalesce(F.get(ends, F.lit(0))["span"], F.lit(False)).alias("span")), told)
+
+    def told(x: Column) -> Column:
+        start = x["at"] + x["span"].cast("int")
+        ruler = rf"(?i)\b(?:{'|'.join(TITLES)})\b"
+        kind = lambda p: F.when(~p.rlike(RANGE), "free").when(p.rlike(FAMILY), "family").when(p.rlike(ruler), "ruler").otherwise("dated")
+        rest = F.filter(F.transform(x["parts"], lambda p, i: F.struct(i.alias("i"), p.alias("p"), kind(p).alias("kind"))), lambda y: y["i"] >= start)
+        return bind(F.struct(x["parts"].alias("parts"), x["at"].alias("at"), x["span"].alias("span"), rest.alias("rest")), named)
+
+    def named(x: Column) -> Column:
+        kinds = lambda k: F.filter(x["rest"], lambda y: y["kind"] == k)
+        known = F.least(first(kinds("ruler")), first(kinds("family")))
+        early = F.filter(kinds("free"), lambda y: y["i"] < known)
+        return bind(F.struct(*[x[c].alias(c) for c in ("parts", "at", "span", "rest")], known.alias("known"), early.alias("early"),
+                             F.get(kinds("ruler"), F.lit(0))["p"].alias("ruler"), F.get(kinds("family"), F.lit(0))["p"].alias("family")), whole)
+
+    def whole(x: Column) -> Column:
+        note = lambda i, p: F.struct(i.alias("i"), p.alias("p"))
+        later = F.transform(F.filter(x["rest"], lambda y: (y["kind"] == "dated") | ((y["kind"] == "free") & (y["i"] > x["known"]))), lambda y: note(y["i"], y["p"]))
+        moved = F.transform(x["early"], lambda y, n: note(F.coalesce(F.get(x["early"], n + 1)["i"], never), y["p"]))
+        notes = F.array_sort(F.concat(later, F.filter(moved, lambda y: (y["i"] < never) | x["ruler"].isNull())))
+        own = F.get(x["early"], F.size(x["early"]) - 1)["p"]
+        return F.struct(
+            F.array_join(F.slice(x["parts"], 1, x["at"]), ", ").alias("name"), F.when(x["span"], F.get(x["parts"], x["at"])).alias("span"),
+            F.when(x["ruler"].isNotNull(), F.concat_ws(", ", own, x["ruler"])).alias("leader"), x["family"].alias("dynasty"),
+            F.nullif(F.array_join(F.transform(notes, lambda y: y["p"]), ", "), F.lit("")).alias("note"))
+
+    return bind(F.filter(parts, lambda p: p != ""), of)
 
 
 def base_name(title: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eonmap.operators.numbering import key_pairs
 from eonmap.sources.tables import materialise
 
 Adjacency = dict[int, set[int]]
@@ -63,8 +64,7 @@ def node_edges(node_ways: DataFrame, node_ranges: DataFrame) -> DataFrame:
 
     node_ways: node, way_id. node_ranges: node, start, end (date keys); a node may have several.
     """
-    own = node_ways.select("node", "way_id").distinct()
-    near = own.withColumnRenamed("node", "a").join(own.withColumnRenamed("node", "b"), "way_id").where("a < b").select("a", "b").distinct()
+    near = key_pairs(node_ways, "way_id", "node").select("a", "b").distinct()
     ra = node_ranges.select(F.col("node").alias("a"), F.col("start").alias("sa"), F.col("end").alias("ea"))
     rb = node_ranges.select(F.col("node").alias("b"), F.col("start").alias("sb"), F.col("end").alias("eb"))
     return near.join(ra, "a").join(rb, "b").where("sa < eb and sb < ea").select("a", "b").distinct()
@@ -78,18 +78,22 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def degree_stats(degree: DataFrame) -> DataFrame:
     """least, upper_median, most, isolated of a (node, degree) table."""
-    w, n = Window.orderBy("degree", "node"), F.count("*").over(Window.partitionBy(F.lit(0)))
-    ranked = degree.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    return ranked.agg(F.min("degree").alias("least"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("degree"))).alias("upper_median"),
-                      F.max("degree").alias("most"), F.sum((F.col("degree") == 0).cast("int")).alias("isolated"))
+    # a row for each degree, not for each node, meets in one task
+    sizes = degree.groupBy("degree").agg(F.count("*").alias("n"))
+    upto = sizes.withColumn("_upto", F.sum("n").over(Window.orderBy("degree"))).withColumn("_half", F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) / 2))
+    return upto.agg(F.min("degree").alias("least"), F.min(F.when(F.col("_upto") > F.col("_half"), F.col("degree"))).alias("upper_median"),
+                    F.max("degree").alias("most"), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("n"))), F.lit(0)).alias("isolated"))
 
 
 def collect_graph(nodes: DataFrame, edges: DataFrame, most: int = MOST_EDGES) -> Adjacency:
-    """The graph as a dictionary; an error if it has more than ``most`` edges."""
+    """The graph as a dictionary; an error if it has more than ``most`` edges, or twice as many nodes."""
+    there = nodes.select("node").limit(2 * most + 1).collect()
+    if len(there) > 2 * most:
+        raise ValueError(f"more than {2 * most} nodes; colour the components one by one")
     found = edges.select("a", "b").limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} edges; colour the components one by one")
-    adj: Adjacency = {r[0]: set() for r in nodes.select("node").limit(2 * most).collect()}
+    adj: Adjacency = {r[0]: set() for r in there}
     for a, b in found:
         adj.setdefault(a, set()).add(b)
         adj.setdefault(b, set()).add(a)
@@ -193,23 +197,38 @@ def resolve_containment(pairs: Sequence[tuple[int, int]]) -> dict[int, int]:
 
 
 def contained_into(pairs: DataFrame) -> DataFrame:
-    """(small, large) -> id, into: what ``resolve_containment`` gives for the pairs in their order.
+    """(small, large, rank) -> id, into: what ``resolve_containment`` gives for the pairs by rank.
 
-    A unit goes into the least large one that is not dropped before it. Each round decides the units
-    whose large ones with smaller ids are decided; the rounds grow with the longest chain of those.
+    A pair that has the least rank of all open pairs of both its units is settled in a round: the
+    small one goes into the large one, and all other pairs of the small one are closed. Without a
+    column ``rank`` the order is that of (small, large).
     """
-    own = materialise(pairs.select("small", "large").distinct())
-    state = own.select(F.col("small").alias("id")).distinct().withColumn("dropped", F.lit(None).cast("boolean"))
+    rank = F.col("rank") if "rank" in pairs.columns else F.struct("small", "large")
+    open_pairs = materialise(pairs.select("small", "large", rank.alias("rank")).groupBy("small", "large").agg(F.min(F.struct("rank", "small", "large")).alias("rank")))
+    out = None
+    while not open_pairs.isEmpty():
+        ends = open_pairs.select(F.explode(F.array("small", "large")).alias("unit"), "rank").groupBy("unit").agg(F.min("rank").alias("least"))
+        side = lambda c: ends.select(F.col("unit").alias(c), F.col("least").alias(f"{c}_least"))
+        settled = open_pairs.join(side("small"), "small").join(side("large"), "large").where("rank = small_least and rank = large_least").select("small", "large")
+        settled = materialise(settled)
+        gone = settled.select("small")
+        left = open_pairs.join(gone, "small", "left_anti").join(gone.withColumnRenamed("small", "large"), "large", "left_anti")
+        open_pairs = materialise(left.select("small", "large", "rank"))
+        out = settled if out is None else out.unionByName(settled)
+    if out is None:
+        out = open_pairs.select("small", "large")
+    return out.select(F.col("small").alias("id"), F.col("large").alias("into"))
+
+
+def final_home(into: DataFrame) -> DataFrame:
+    """(id, into) -> id, into: the unit at the end of each chain. The chains halve in every round."""
+    now = materialise(into.select("id", "into"))
     while True:
-        of = state.select(F.col("id").alias("large"), F.lit(True).alias("has"), "dropped")
-        # whether the large one is there when the small one's turn comes; null if not known yet
-        there = F.when((F.col("large") > F.col("small")) | F.col("has").isNull(), True).otherwise(~F.col("dropped"))
-        seen = own.join(of, "large", "left").select("small", "large", there.alias("there"))
-        known = F.when(F.max("there"), True).when(F.count("there") == F.count("*"), False)
-        state = materialise(seen.groupBy("small").agg(known.alias("dropped")).withColumnRenamed("small", "id"))
-        if state.where("dropped is null").isEmpty():
-            of = state.select(F.col("id").alias("large"), F.lit(True).alias("has"), "dropped")
-            return own.join(of, "large", "left").where(there).groupBy(F.col("small").alias("id")).agg(F.min("large").alias("into"))
+        step = now.select(F.col("id").alias("into"), F.col("into").alias("next"))
+        new = materialise(now.join(step, "into", "left").select("id", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")))
+        if new.where("moved").isEmpty():
+            return new.select("id", "into")
+        now = new.select("id", "into")
 
 
 def absorbed(into: dict[int, int]) -> dict[int, list[int]]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eonmap.operators.numbering import key_pairs, numbered
+
 # ------------------------------------------------------------- tags
 #: Prefixes of keys that don't tell duplicates apart.
 LOOSE_PREFIXES = ("wikipedia", "source", "fixme")
@@ -80,16 +82,14 @@ def keepers(rows: DataFrame, by: Sequence[str], preferred: Column, id_col: str)
 
 def shared_key_edges(pairs: DataFrame, key: str, node: str, least: int = 1) -> DataFrame:
     """a, b, shared: nodes that share ``least`` keys or more, a < b."""
-    own = pairs.select(key, node).distinct()
-    both = own.withColumnRenamed(node, "a").join(own.withColumnRenamed(node, "b"), key).where("a < b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return key_pairs(pairs, key, node).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def value_counts(rows: DataFrame, value: str, pos: str | None = None) -> DataFrame:
     """value, n, rank: most frequent first, ties by first appearance (or by value)."""
     tie = F.min(pos) if pos else F.min(value)
     out = rows.groupBy(value).agg(F.count("*").alias("n"), tie.alias("_tie"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_tie"))).drop("_tie")
+    return numbered(out, [F.desc("n"), F.col("_tie")], "rank").drop("_tie")
 
 
 # ------------------------------------------------------------- metrics

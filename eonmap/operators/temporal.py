@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a list that is broadcast.
+FEW = 10_000
+
 
 def _bin(c: Column, width: int) -> Column:
     return F.floor(c / F.lit(width)).cast("bigint")
@@ -36,10 +39,18 @@ def overlap_pairs(rows: DataFrame, keys: Sequence[str], id_col: str, start: str,
 def range_join(a: DataFrame, b: DataFrame, a_start: str, a_end: str, b_start: str, b_end: str) -> DataFrame:
     """Rows of two tables whose half-open ranges overlap, and ``shared``, the length of the overlap.
 
-    ``b`` is a short list, such as eras: it is sent to all executors by Spark where its size allows.
+    A list ``b`` of ``FEW`` rows or fewer, such as eras, is sent to all executors. A longer one meets
+    ``a`` in bins of the whole time, a thousand of them; a pair comes from the bin of the later start.
     """
     shared = F.least(F.col(a_end), F.col(b_end)) - F.greatest(F.col(a_start), F.col(b_start))
-    return a.join(b, (F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end))).withColumn("shared", shared)
+    meet = (F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end))
+    if b.limit(FEW + 1).count() <= FEW:
+        return a.join(F.broadcast(b), meet).withColumn("shared", shared)
+    lo, hi = b.agg(F.min(b_start).cast("double"), F.max(b_end).cast("double")).first()
+    bin_of = lambda c: F.floor((F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)) - lo) * 1000 / max(hi - lo, 1e-9)).cast("int")
+    laid = lambda df, s, e: df.where(F.col(s) < F.col(e)).withColumn("_bin", F.explode(F.sequence(bin_of(s), bin_of(e))))
+    both = laid(a, a_start, a_end).join(laid(b, b_start, b_end), "_bin").where(meet & (F.col("_bin") == F.greatest(bin_of(a_start), bin_of(b_start))))
+    return both.drop("_bin").withColumn("shared", shared)
 
 
 def outside_parent(members: DataFrame, parents: DataFrame, key: str, pos: str, m_start: str, m_end: str, p_start: str, p_end: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eonmap.functions.codecs import TOPOLOGY_GRID, snap
+from eonmap.operators.numbering import numbered
 from eonmap.sources.tables import materialise
 
 
@@ -31,12 +32,7 @@ def ring_vertices(rings: DataFrame, grid: float = TOPOLOGY_GRID) -> DataFrame:
 def number_nodes(vertices: DataFrame) -> DataFrame:
     """Adds node: numbers from 1 in the order in which places are first seen."""
     first = vertices.groupBy("qlon", "qlat").agg(F.min(F.struct("feature", "ring", "pos")).alias("at"))
-    # ranks over a range partitioning: counts of the partitions before, then a number inside
-    nodes = materialise(first.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id()))
-    sizes = nodes.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    number = F.row_number().over(Window.partitionBy("part").orderBy("at")) + F.col("before")
-    return vertices.join(nodes.join(before, "part").select("qlon", "qlat", number.alias("node")), ["qlon", "qlat"])
+    return vertices.join(numbered(first, ["at"], "node").drop("at"), ["qlon", "qlat"])
 
 
 def with_next(vertices: DataFrame) -> DataFrame:
@@ -82,7 +78,7 @@ def share_ways(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     form = pieces.withColumn("form", canonical(F.col("nodes")))
     first = form.groupBy("form").agg(F.min(F.struct("feature", "ring", "piece")).alias("at"))
-    ways = materialise(first.select("form", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("way")))
+    ways = materialise(numbered(first, ["at"], "way").select("form", "way"))
     refs = form.join(ways, "form").select("feature", "ring", "piece", "way", (F.col("nodes") == F.col("form")).alias("forward"))
     return ways.select("way", F.col("form").alias("nodes")), refs
 

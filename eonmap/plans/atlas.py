@@ -67,10 +67,10 @@ def clip_to(rows: DataFrame, land: DataFrame) -> DataFrame:
     own = tables.materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
     flat = lambda axis: F.flatten(F.transform("polygon", lambda ring: F.transform(ring, lambda p: p[axis])))
     polygons = own.select("__row", F.posexplode("geom").alias("pos", "polygon"))
-    polygons = polygons.withColumn("box", F.array(F.array_min(flat("x")), F.array_min(flat("y")), F.array_max(flat("x")), F.array_max(flat("y"))))
+    polygons = polygons.withColumn("box", F.array(F.array_min(flat("x")), F.array_min(flat("y")), F.array_max(flat("x")), F.array_max(flat("y")))).withColumnRenamed("polygon", "geom")
     sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     windows = land.select(*sides).withColumn("box", F.array(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1")))
-    pairs = meeting(polygons, windows, []).select("a___row", "a_pos", "a_polygon", "b_x0", "b_y0", "b_x1", "b_y1")
+    pairs = meeting(polygons, windows, [], ["__row", "pos"], []).select("a___row", "a_pos", F.col("a_geom").alias("a_polygon"), "b_x0", "b_y0", "b_x1", "b_y1")
 
     def cut(columns: list[list]) -> list[list]:
         out = []

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eonmap.functions import codecs, dates, edtf, geometry, text
-from eonmap.operators import graph, relational, temporal
+from eonmap.operators import graph, numbering, relational, temporal
 from eonmap.sources import tables
 
 RING = "array<struct<x:double,y:double>>"
@@ -24,6 +24,13 @@ GEOM = f"array<array<{RING}>>"
 TIMELESS_KEYS = ("natural", "waterway", "water")
 TIMELESS_VALUES = ("wood wetland beach cave_entrance peak cliff coastline tree_row water scrub grassland heath bare_rock glacier stream river pond basin lake").split()
 COVERAGE_LEVELS, DECADE_LEVELS = ("1", "2", "3", "4"), ("2", "4")
+#: The year after which a date is far away; an EDTF text of two dots; names and forms of warnings and faults.
+FAR_FUTURE = 2050
+TWO_DOTS = r"^(-?\d[\d-]*)?\.\.(-?\d[\d-]*)?$"
+WARNINGS = {"open_ring": ("nonclosed-ring", "OpenRingWarning(node_id_start=%d, node_id_end=%d)"),
+            "uncontained_inner": ("uncontained-inner-ring", "UncontainedInnerRingWarning(way_id=%d)"),
+            "missing_way": ("invalid-way-reference", "MissingWayWarning(way_id=%d)")}
+FAULTS = {"Nested shells": "nested-shells", "Ring Self-intersection": "ring-self-intersect", "Self-intersection": "self-intersect"}
 #: Share of a unit's area inside another from which it is contained.
 CONTAINED = 0.90
 
@@ -56,17 +63,19 @@ def with_computed(rows: DataFrame, inputs: Sequence[str], f: Callable[[list[list
 
 
 # ------------------------------------------------------------- geometry of relations
-def relation_geometry(relations: DataFrame, way_pts: DataFrame, any_outer: bool = False) -> DataFrame:
-    """id, geom, warnings (kind, a, b): polygons of the relations' member ways.
+def relation_geometry(relations: DataFrame, way_pts: DataFrame, any_outer: bool = False, leave_open: bool = False) -> DataFrame:
+    """id, geom, warnings (kind, a, b), polygons (rings of signed way ids) of the relations' member ways.
 
-    A relation with its ways is one row, which bounds what a task holds at a time.
+    Ways are taken in the order of the members. A relation without ways has an empty geometry. A
+    relation with its ways is one row, which bounds what a task holds at a time. leave_open: rings
+    that don't close are left as they are, without a made-up way.
     """
     parts = relational.split_members(F.col("members"), any_outer)
-    refs = relations.select("id", F.explode(F.concat(
+    refs = relations.select("id", F.posexplode_outer(F.concat(
         F.transform(parts["outer"], lambda r: F.struct(r.alias("way"), F.lit("outer").alias("role"))),
-        F.transform(parts["inner"], lambda r: F.struct(r.alias("way"), F.lit("inner").alias("role"))))).alias("m")).select("id", "m.*")
+        F.transform(parts["inner"], lambda r: F.struct(r.alias("way"), F.lit("inner").alias("role"))))).alias("pos", "m")).select("id", "pos", "m.*")
     pts = way_pts.select(F.col("id").alias("way"), "pts")
-    rows = refs.join(pts, "way", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("way", "role", "pts"))).alias("ways"))
+    rows = refs.join(pts, "way", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("way").isNotNull(), F.struct("pos", "way", "role", "pts")))).alias("ways"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -74,11 +83,23 @@ def relation_geometry(relations: DataFrame, way_pts: DataFrame, any_outer: bool
             for ways in b["ways"]:
                 nodes = {w["way"]: [p["node_id"] for p in w["pts"]] for w in ways if w["pts"] is not None}
                 coords = {w["way"]: np.array([(p["lon"], p["lat"]) for p in w["pts"]], float) for w in ways if w["pts"] is not None}
-                polygons, warns = geometry.assemble_polygons([w["way"] for w in ways if w["role"] == "outer"], [w["way"] for w in ways if w["role"] == "inner"], nodes, coords)
-                out.append((from_geom(geometry.polygon_points(polygons, coords)), [{"kind": w.kind, "a": w.a, "b": w.b} for w in warns], [r for p in polygons for r in p]))
-            yield pd.DataFrame({"id": b["id"], "geom": [x[0] for x in out], "warnings": [x[1] for x in out], "rings": [x[2] for x in out]})
+                polygons, warns = geometry.assemble_polygons([w["way"] for w in ways if w["role"] == "outer"], [w["way"] for w in ways if w["role"] == "inner"], nodes, coords, leave_open)
+                out.append((from_geom(geometry.polygon_points(polygons, coords)), [{"kind": w.kind, "a": w.a, "b": w.b} for w in warns], polygons))
+            yield pd.DataFrame({"id": b["id"], "geom": [x[0] for x in out], "warnings": [x[1] for x in out], "polygons": [x[2] for x in out]})
 
-    return rows.mapInPandas(build, f"id bigint, geom {GEOM}, warnings array<struct<kind:string,a:bigint,b:bigint>>, rings array<array<bigint>>")
+    return rows.mapInPandas(build, f"id bigint, geom {GEOM}, warnings array<struct<kind:string,a:bigint,b:bigint>>, polygons array<array<array<bigint>>>")
+
+
+def areas(relations: DataFrame, way_pts: DataFrame, ways: DataFrame) -> DataFrame:
+    """ftype, id, tags, geom of what covers land: closed ways of three corners or more, and relations
+    of type multipolygon or boundary whose rings all close. Tags area=no make a way a line."""
+    ring = way_pts.select("id", "pts").where((F.size("pts") >= 4) & (F.col("pts")[0]["node_id"] == F.element_at("pts", -1)["node_id"]))
+    corner = F.transform(F.slice("pts", 1, F.size("pts") - 1), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    closed = ways.where(~F.col("tags")["area"].eqNullSafe(F.lit("no")) & (F.size("tags") > 0)).select("id", "tags").join(ring, "id")
+    closed = closed.select(F.lit("w").alias("ftype"), "id", "tags", F.array(F.array(corner)).alias("geom"))
+    some = relations.where(F.col("tags")["type"].isin("multipolygon", "boundary"))
+    drawn = relation_geometry(some, way_pts, any_outer=True).where((F.size("geom") > 0) & ~F.exists("warnings", lambda w: w["kind"] == "open_ring"))
+    return closed.unionByName(some.select("id", "tags").join(drawn.select("id", "geom"), "id").select(F.lit("r").alias("ftype"), "id", "tags", "geom"))
 
 
 def measured(rows: DataFrame) -> DataFrame:
@@ -100,20 +121,27 @@ def cells(box: Column, degrees: float) -> Column:
     return F.flatten(F.transform(span(box[0], box[2]), lambda x: F.transform(span(box[1], box[3]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], degrees: float = 5.0) -> DataFrame:
-    """Pairs of rows of two tables (columns a_*, b_*) with equal keys and boxes that meet.
+def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str], b_id: Sequence[str], where: str = "true", degrees: float = 5.0) -> DataFrame:
+    """Pairs of rows of two tables (columns a_*, b_*) with equal keys and boxes that meet, that hold ``where``.
 
-    Each pair comes once: from the cell that holds the lower left corner of the common box.
+    ``a_id`` and ``b_id`` name the columns that tell the rows of each table apart. Boxes are laid out over grid
+    cells without their geometries, which join the pairs afterwards, once for each. A pair comes
+    once: from the cell that holds the lower left corner of the common box.
     """
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.explode(cells(F.col("box"), degrees)).alias("cell"))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.explode(cells(F.col("box"), degrees)).alias("cell_b"))
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    left = side(a.drop("geom"), "a").withColumn("cell", F.explode(cells(F.col("a_box"), degrees)))
+    right = side(b.drop("geom"), "b").withColumn("cell_b", F.explode(cells(F.col("b_box"), degrees)))
     on = F.col("cell") == F.col("cell_b")
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
     lo = [F.greatest(F.col("a_box")[i], F.col("b_box")[i]) for i in (0, 1)]
     hi = [F.least(F.col("a_box")[i], F.col("b_box")[i]) for i in (2, 3)]
     once = (F.col("cell.cx") == F.floor(lo[0] / degrees)) & (F.col("cell.cy") == F.floor(lo[1] / degrees))
-    return left.join(right, on).where((lo[0] <= hi[0]) & (lo[1] <= hi[1]) & once).drop("cell", "cell_b")
+    pairs = left.join(right, on).where((lo[0] <= hi[0]) & (lo[1] <= hi[1]) & once & F.expr(where)).drop("cell", "cell_b")
+    for df, p, ids in ((a, "a", a_id), (b, "b", b_id)):
+        if "geom" in df.columns:
+            pairs = pairs.join(side(df.select(*ids, "geom"), p), [f"{p}_{c}" for c in ids])
+    return pairs
 
 
 def overlaid(pairs: DataFrame) -> DataFrame:
@@ -137,7 +165,9 @@ def example(kind: str, line: Column) -> Column:
 def date_quality(objects: DataFrame, fixed_timeless: bool = False) -> tuple[DataFrame, DataFrame]:
     """Examples (type, ftype, fid, text) and counters (type, count) for dated objects (ftype, id, tags).
 
-    fixed_timeless: test timeless features by their values; by default by the keys, which never holds.
+    An object with an unreadable date gives its first such date (and a range in its name), and
+    nothing else. fixed_timeless: test timeless features by their values; by default by the keys,
+    which hardly ever holds. Nulls and empty texts are missing dates; an empty table gives zeros.
     """
     tag = lambda k: F.col("tags")[k]
     rows = objects.where(relational.has_any_key(F.col("tags"), ["start_date", "end_date", "start_date:edtf", "end_date:edtf"]))
@@ -145,32 +175,38 @@ def date_quality(objects: DataFrame, fixed_timeless: bool = False) -> tuple[Data
         F.nullif(tag(k), F.lit("")).alias(c) for k, c in (("start_date", "start"), ("end_date", "end"), ("start_date:edtf", "start_e"), ("end_date:edtf", "end_e"))])
     rows = rows.withColumn("ps", dates.parse_date(F.col("start"))).withColumn("pe", dates.parse_date(F.col("end")))
     bad = lambda raw, p: F.col(raw).isNotNull() & F.col(p).isNull()
-    rows = rows.withColumn("broken", bad("start", "ps") | bad("end", "pe"))
+    rows = rows.withColumn("wrong", F.when(bad("start", "ps"), F.col("start")).when(bad("end", "pe"), F.col("end")))
+    fine, has_s, has_e = F.col("wrong").isNull(), F.col("start").isNotNull(), F.col("end").isNotNull()
     rows = edtf.with_interval(edtf.with_interval(rows, "start_e", "es"), "end_e", "ee")
     timeless = F.lit(False)
     for k in TIMELESS_KEYS:
         timeless = timeless | F.coalesce(tag(k).isin(*(TIMELESS_VALUES if fixed_timeless else TIMELESS_KEYS)), F.lit(False))
-    found = [F.when(bad(c, p), example("date-invalid", F.concat(F.lit(f"{k}="), F.col(c), F.lit(" "), "name"))) for c, p, k in (("start", "ps", "start_date"), ("end", "pe", "end_date"))]
-    key = lambda c: dates.date_key(dates.start_of(F.col(c)))
-    found.append(F.when(~F.col("broken") & (key("ps") > key("pe")), example("start-after-end", F.concat(dates.format_range(F.col("start"), F.col("end")), F.lit(" "), "name"))))
-    found.append(F.when(relational.date_range_in_name(tag("name")), example("date-in-name", F.col("name"))))
-    off = []
+    timeless = fine & has_e & ~has_s & timeless
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit(" "), "name")
+    first = lambda c: dates.start_of(F.col(c))
+    found = [F.when(~fine, example("date-invalid", said(F.col("wrong")))), F.when(relational.date_range_in_name(tag("name")), example("date-in-name", tag("name"))),
+             F.when(fine & has_e & ~has_s & ~timeless, example("date-end-no-start", F.lit(""))),
+             F.when(fine & (dates.date_key(first("ps")) > dates.date_key(first("pe"))), example("date-start-after-end", said(F.col("start"), " > ", F.col("end")))),
+             F.when(fine & (F.col("ps")["y"] > FAR_FUTURE), example("date-far-future", said(F.col("start")))),
+             F.when(fine & (F.col("pe")["y"] > FAR_FUTURE), example("date-far-future", said(F.col("end"))))]
+    off, dotted = [], []
     for plain, p, e, i, k in (("start", "ps", "start_e", "es", "start_date"), ("end", "pe", "end_e", "ee", "end_date")):
-        has = F.col(e).isNotNull() & ~F.col("broken")
-        label = F.concat(F.lit(f"{k}:edtf="), F.col(e), F.lit(" "), "name")
-        found.append(F.when(has & F.col(plain).isNull(), example("edtf-without-plain", label)))
-        found.append(F.when(has & F.col(plain).isNotNull() & F.col(i).isNull(), example("edtf-invalid", label)))
+        has = F.col(e).isNotNull() & fine
+        found.append(F.when(has & F.col(plain).isNull(), example("date-edtf-without-plain", said(f"{k}:edtf=", F.col(e)))))
+        unread = has & F.col(plain).isNotNull() & F.col(i).isNull()
+        found.append(F.when(unread, example("date-edtf-invalid", said(f"{k}:edtf=", F.col(e)))))
+        dotted.append((unread & F.col(e).rlike(TWO_DOTS) & (F.col(e) != "..")).cast("int"))
         lo, hi = dates.start_of(F.col(p)), dates.end_of(F.col(p))
         apart = has & F.col(p).isNotNull() & F.col(i).isNotNull() & ~((dates.date_key(lo) <= dates.date_key(F.col(i)["hi"])) & (dates.date_key(F.col(i)["lo"]) <= dates.date_key(hi)))
-        found.append(F.when(apart, example("edtf-mismatch", F.concat(F.lit(f"{k}="), F.col(plain), F.lit(f" vs {k}:edtf="), F.col(e), F.lit(" "), "name"))))
-        off.append(apart & dates.one_day_off(lo, hi, F.col(i)["lo"], F.col(i)["hi"]))
-    rows = rows.withColumn("found", F.filter(F.array(*found), lambda x: x.isNotNull())).withColumn("off", off[0].cast("int") + off[1].cast("int"))
-    examples = rows.select("ftype", "fid", F.explode("found").alias("f")).select("f.type", "ftype", "fid", "f.text")
-    has_e = F.col("start_e").isNotNull() | F.col("end_e").isNotNull()
-    dotted = sum((F.coalesce(F.col(c).rlike(r"^(?:-?\d{4}(?:-\d\d){0,2}\.\.|\.\.-?\d{4})"), F.lit(False)).cast("int") for c in ("start_e", "end_e")), F.lit(0))
-    one = rows.agg(F.count("*").alias("dated-features"), F.coalesce(F.sum((F.col("ftype") == "r").cast("int")), F.lit(0)).alias("dated-relations"),
-                   F.coalesce(F.sum(timeless.cast("int")), F.lit(0)).alias("dated-timeless"), F.coalesce(F.sum((has_e & ~F.col("broken")).cast("int")), F.lit(0)).alias("edtf"),
-                   F.coalesce(F.sum(dotted), F.lit(0)).alias("edtf-dot-dot"), F.coalesce(F.sum("off"), F.lit(0)).alias("edtf-off-by-one"))
+        found.append(F.when(apart, example("date-edtf-mismatch", said(f"{k}=", F.col(plain), f" vs {k}:edtf=", F.col(e)))))
+        off.append((apart & dates.one_day_off(lo, hi, F.col(i)["lo"], F.col(i)["hi"])).cast("int"))
+    total = lambda *xs: F.coalesce(F.sum(sum((F.coalesce(x.cast("int"), F.lit(0)) for x in xs), F.lit(0))), F.lit(0))
+    examples = rows.select("ftype", "fid", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("f.type", "ftype", "fid", "f.text")
+    # all readable objects count as relations, as the counter always did
+    counts = {"dated-relations": total(fine), "dated-features": total(has_s | has_e), "dated-timeless": total(timeless),
+              "date-edtf-features": total(fine & (F.col("start_e").isNotNull() | F.col("end_e").isNotNull())),
+              "date-edtf-invalid-dot-dot": total(*dotted), "date-edtf-mismatch-off-by-one-day": total(*off)}
+    one = rows.agg(*[c.alias(n) for n, c in counts.items()])
     counters = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("type"), F.col(f"`{c}`").cast("bigint").alias("count")) for c in one.columns])).alias("x")).select("x.*")
     return examples, counters
 
@@ -182,28 +218,40 @@ def chronology_members(relations: DataFrame) -> DataFrame:
 
 
 def chronology_quality(relations: DataFrame, objects: DataFrame, width: int = 500_000) -> DataFrame:
-    """type, chrono_id, text: members that overlap, lie outside their chronology, or have no date.
+    """type, chrono_id, text: chronologies without a name, and with members that have no date, overlap, or lie outside.
 
-    objects: ftype, id, tags of all dated objects. Members with an unreadable date are passed over.
+    objects: ftype, id, tags of all objects; those with a date tag are dated. Members with an
+    unreadable date are passed over. Of overlapping pairs the first ten are named, in member order.
     """
-    members = chronology_members(relations).withColumnRenamed("type", "ftype").withColumnRenamed("member", "fid")
+    of = relations.where(F.col("tags")["type"] == "chronology").select(F.col("id").alias("chrono_id"), "tags", relational.display_name(F.col("tags")).alias("name"))
+    title = F.when(F.col("name") != "", F.concat("name", F.lit(" "))).otherwise("")
     start, end = F.nullif(F.col("tags")["start_date"], F.lit("")), F.nullif(F.col("tags")["end_date"], F.lit(""))
-    known = objects.select("ftype", F.col("id").alias("fid"), start.alias("s"), end.alias("e"), relational.display_name(F.col("tags")).alias("name"))
+    of = of.select("chrono_id", "name", title.alias("title"), start.alias("cs"), end.alias("ce"))
+    members = chronology_members(relations).withColumnRenamed("type", "ftype").withColumnRenamed("member", "fid").withColumn("what", F.concat("ftype", F.lit("/"), "fid"))
+    known = objects.where(relational.has_any_key(F.col("tags"), ["start_date", "end_date", "start_date:edtf", "end_date:edtf"])).select("ftype", F.col("id").alias("fid"), start.alias("s"), end.alias("e"))
     broken = (F.col("s").isNotNull() & dates.parse_date(F.col("s")).isNull()) | (F.col("e").isNotNull() & dates.parse_date(F.col("e")).isNull())
     known = known.withColumn("broken", broken)
+    line = lambda kind, rows: rows.join(of, "chrono_id").select(F.lit(kind).alias("type"), "chrono_id", F.concat("title", "text").alias("text"))
     undated = temporal.undated_members(members, known.where("not broken").select("ftype", "fid"), known.where("broken").select("ftype", "fid"), ["ftype", "fid"])
-    r = dates.date_range(F.col("s"), F.col("e"))
-    dated = members.join(known.where("not broken"), ["ftype", "fid"]).withColumn("r", r)
-    dated = dated.withColumn("lo", dates.date_key(F.col("r")["start"])).withColumn("hi", dates.date_key(F.col("r")["end"])).withColumn("label", F.concat(dates.format_range(F.col("s"), F.col("e")), F.lit(" "), "name"))
+    undated = undated.groupBy("chrono_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "what"))), lambda x: x["what"]), ",").alias("text"))
+    dated = members.join(known.where("not broken"), ["ftype", "fid"]).withColumn("r", dates.date_range(F.col("s"), F.col("e")))
+    dated = dated.withColumn("lo", dates.date_key(F.col("r")["start"])).withColumn("hi", dates.date_key(F.col("r")["end"]))
+    dated = dated.withColumn("label", F.concat("what", F.lit(" ("), dates.format_range(F.col("s"), F.col("e")), F.lit(")")))
     pairs = temporal.overlap_pairs(dated.withColumn("id", F.struct("pos", "label")), ["chrono_id"], "id", "lo", "hi", width)
-    shown = pairs.groupBy("chrono_id").agg(F.array_sort(F.collect_list(F.struct(F.least("a.pos", "b.pos").alias("p"), F.greatest("a.pos", "b.pos").alias("q"), F.concat("a.label", F.lit(" / "), "b.label").alias("t")))).alias("ps"))
-    overlap = shown.select(F.lit("member-overlap").alias("type"), "chrono_id", F.array_join(F.transform(F.slice("ps", 1, 10), lambda x: x["t"]), "; ").alias("text"))
-    parent = relations.where(F.col("tags")["type"] == "chronology").select(F.col("id").alias("chrono_id"), dates.date_range(F.col("tags")["start_date"], F.col("tags")["end_date"]).alias("p"))
-    parent = parent.select("chrono_id", dates.date_key(F.col("p")["start"]).alias("plo"), dates.date_key(F.col("p")["end"]).alias("phi"))
+    order = F.struct(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    # the ten first by a window, so that no list of all pairs is held
+    shown = pairs.select("chrono_id", order.alias("o")).withColumn("i", F.row_number().over(Window.partitionBy("chrono_id").orderBy("o.p.pos", "o.q.pos"))).where("i <= 10")
+    shown = shown.groupBy("chrono_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: F.concat(x["o"]["p"]["label"], F.lit(" + "), x["o"]["q"]["label"])), ", ").alias("text"))
+    r = dates.date_range(F.col("cs"), F.col("ce"))
+    parent = of.where("cs is not null or ce is not null").select("chrono_id", r.alias("p"), dates.format_range(F.col("cs"), F.col("ce")).alias("whole"))
+    parent = parent.select("chrono_id", "whole", dates.date_key(F.col("p")["start"]).alias("plo"), dates.date_key(F.col("p")["end"]).alias("phi"))
     outside = temporal.outside_parent(dated.select("chrono_id", "pos", "lo", "hi", "label"), parent, "chrono_id", "pos", "lo", "hi", "plo", "phi")
-    lacking = undated.groupBy("chrono_id").agg(F.count("*").alias("n")).select(F.lit("member-undated").alias("type"), "chrono_id", F.concat(F.col("n").cast("string"), F.lit(" members")).alias("text"))
-    empty = relations.where((F.col("tags")["type"] == "chronology") & (F.size("members") == 0)).select(F.lit("no-members").alias("type"), F.col("id").alias("chrono_id"), F.lit("").alias("text"))
-    return overlap.unionByName(outside.select(F.lit("member-outside-range").alias("type"), "chrono_id", F.col("label").alias("text"))).unionByName(lacking).unionByName(empty)
+    outside = outside.select("chrono_id", F.concat("label", F.lit(" outside "), "whole").alias("text"))
+    nameless = of.where("name = ''").select("chrono_id", F.lit("").alias("text"))
+    out = line("chronology-anonymous", nameless)
+    for kind, rows in (("chronology-undated-member", undated), ("chronology-overlapping-members", shown), ("chronology-member-outside-range", outside)):
+        out = out.unionByName(line(kind, rows))
+    return out
 
 
 def _years(snapshot: str, start: Column, end: Column) -> Column:
@@ -212,17 +260,33 @@ def _years(snapshot: str, start: Column, end: Column) -> Column:
     return dates.fractional_year(until) - dates.fractional_year(dates.start_of(dates.parse_date(start)))
 
 
-def bad_geometry(relations: DataFrame, way_pts: DataFrame, snapshot: str) -> DataFrame:
-    """type, id, text, earth_years of relations whose rings don't close or are invalid, the weightiest first."""
+def bad_geometry(relations: DataFrame, way_pts: DataFrame, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """Examples (type, ftype, fid, text, earth_years), the weightiest first, and counters (type, count)
+    of valid and invalid relations.
+
+    A relation has one row for each kind of warning, with all warnings of the kind. Validity is
+    tested only where there are none, since rings that were closed here are not the data's.
+    """
     geom = measured(relation_geometry(relations, way_pts))
     rows = geom.join(relations.select("id", "tags"), "id")
     tag = lambda k: F.nullif(F.col("tags")[k], F.lit(""))
     weight = F.greatest(F.coalesce(_years(snapshot, tag("start_date"), tag("end_date")), F.lit(0.0)), F.lit(0.0)) * F.col("km2") / geometry.LAND_KM2
-    problems = F.concat(F.transform("warnings", lambda w: F.struct(F.regexp_replace(w["kind"], "_", "-").alias("type"), F.concat(w["kind"], F.lit(" "), w["a"].cast("string")).alias("why"))),
-                        F.when(F.col("fault").isNotNull(), F.array(F.struct(F.lower(F.regexp_replace("fault", " ", "-")).alias("type"), F.col("fault").alias("why")))).otherwise(F.array().cast("array<struct<type:string,why:string>>")))
-    rows = rows.withColumn("earth_years", weight).select("id", "earth_years", "tags", F.explode(problems).alias("p"))
-    label = F.concat(F.format_string("(%.4fey) ", F.col("earth_years")), text.level_prefix(F.col("tags")["admin_level"], relational.display_name(F.col("tags"))), F.col("p.why"))
-    return rows.select("p.type", "id", label.alias("text"), "earth_years").orderBy(F.desc("earth_years"), "id")
+    label = text.level_prefix(F.col("tags")["admin_level"], relational.display_name(F.col("tags")))
+    problem = lambda kind, why: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), why.alias("why"))
+    def warned(kind: str, name: str, form: str) -> Column:
+        own = F.filter("warnings", lambda w: w["kind"] == kind)
+        shown = F.array_join(F.transform(own, lambda w: F.format_string(form, *[w["a"], w["b"]][:form.count("%")])), ", ")
+        return F.when(F.size(own) > 0, problem(name, F.concat(label, shown)))
+
+    found = [warned(kind, name, form) for kind, (name, form) in WARNINGS.items()]
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in FAULTS.items() for x in kv])[F.col("fault")], F.lit("other"))
+    found.append(F.when(F.size("geom") == 0, problem("no-shapely", F.trim(label))).when((F.size("warnings") == 0) & F.col("fault").isNotNull(), problem(kind, F.concat(label, "fault"))))
+    rows = tables.materialise(rows.select("id", weight.alias("earth_years"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found")))
+    line = F.when(F.col("p.why") != "", F.concat(F.format_string("(%.4fey) ", F.col("earth_years")), "p.why")).otherwise(F.format_string("%.4f earth-yr", F.col("earth_years")))
+    examples = rows.select("id", "earth_years", F.explode("found").alias("p")).select("p.type", F.lit("r").alias("ftype"), F.col("id").alias("fid"), line.alias("text"), "earth_years")
+    n = rows.agg(*[F.coalesce(F.sum((F.size("found") == 0).cast("bigint") if ok else (F.size("found") > 0).cast("bigint")), F.lit(0)).alias(c) for c, ok in (("geom-valid", True), ("geom-invalid", False))])
+    counters = n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("type"), F.col(f"`{c}`").alias("count")) for c in n.columns])).alias("x")).select("x.*")
+    return examples.orderBy(F.desc("earth_years"), "fid"), counters
 
 
 # ------------------------------------------------------------- coverage
@@ -251,14 +315,23 @@ def earth_year_examples(rows: DataFrame, k: int = 2500) -> DataFrame:
 
 
 def double_coverage(rows: DataFrame, least: float = 0.0) -> DataFrame:
-    """level, a, b, earth_years: pairs that cover the same land at the same time, the weightiest first."""
-    own = rows.select("level", "id", "lo", "hi", "km2", "box", "geom")
-    pairs = meeting(own, own, ["level"]).where((F.col("a_id") < F.col("b_id")) & (F.col("a_lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("a_hi")))
+    """level, a_type, a, b_type, b, earth_years: pairs that cover the same land at the same time, the weightiest first.
+
+    The one that starts first is b. Pairs that can't have ``least`` earth years are not drawn.
+    """
+    own = rows.select("level", "ftype", "id", "lo", "hi", "km2", "box", "geom")
+    later = "(a_lo > b_lo or (a_lo = b_lo and struct(a_ftype, a_id) > struct(b_ftype, b_id)))"
+    heavy = f"(least(a_hi, b_hi) - greatest(a_lo, b_lo)) * least(a_km2, b_km2) / {geometry.LAND_KM2} >= {least}"
+    pairs = meeting(own, own, ["level"], ["level", "ftype", "id"], ["level", "ftype", "id"], f"{later} and a_lo < b_hi and b_lo < a_hi and {heavy}")
     span = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")
-    pairs = pairs.where(span * F.least("a_km2", "b_km2") / geometry.LAND_KM2 > least).withColumn("span", span)
-    out = overlaid(pairs.select(F.col("a_level").alias("level"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), "span", "a_geom", "b_geom"))
-    out = out.withColumn("earth_years", F.col("span") * F.col("shared_km2") / geometry.LAND_KM2)
-    return out.where(F.col("earth_years") > least).select("level", "a", "b", "earth_years").orderBy(F.desc("earth_years"))
+    out = overlaid(pairs.select(F.col("a_level").alias("level"), F.col("a_ftype").alias("a_type"), F.col("a_id").alias("a"), F.col("b_ftype").alias("b_type"), F.col("b_id").alias("b"), span.alias("span"), "a_geom", "b_geom"))
+    out = out.where("shared_km2 > 0").withColumn("earth_years", F.col("span") * F.col("shared_km2") / geometry.LAND_KM2)
+    return out.select("level", "a_type", "a", "b_type", "b", "earth_years").orderBy(F.desc("earth_years"))
+
+
+def double_coverage_totals(pairs: DataFrame) -> DataFrame:
+    """type (double-covered-admin-2, say) and count: the earth years of all pairs of each level."""
+    return pairs.groupBy(F.concat(F.lit("double-covered-admin-"), "level").alias("type")).agg(F.round(F.sum("earth_years"), 6).alias("count"))
 
 
 def decade_coverage(areas: DataFrame) -> DataFrame:
@@ -270,44 +343,62 @@ def decade_coverage(areas: DataFrame) -> DataFrame:
     s, e = dates.lenient_year(tag("start_date")), dates.lenient_year(tag("end_date"))
     rows = areas.where(F.col("tags")["admin_level"].isin(*DECADE_LEVELS)).dropDuplicates(["ftype", "id"]).select(
         F.col("tags")["admin_level"].alias("level"), "id", "geom", dates.patched_start(s, s, e).alias("s"), e.alias("e"))
-    rows = temporal.expand_decades(measured(rows).where("box is not null"), F.col("s"), F.col("e")).withColumn("cell", F.explode(cells(F.col("box"), 10.0)))
+    pieces = clipped(measured(rows).where("box is not null"), 10.0)
+    pieces = temporal.expand_decades(pieces, F.col("s"), F.col("e"))
 
     def unite(b: pa.Table) -> pa.Table:
-        level, decade, c = (b.column(n)[0].as_py() for n in ("level", "decade", "cell"))
-        x, y = c["cx"] * 10.0, c["cy"] * 10.0
-        window = np.array([(x, y), (x + 10, y), (x + 10, y + 10), (x, y + 10)])
-        parts = [[[geometry.clip_convex(r, window) for r in rings] for rings in to_geom(g)] for g in b.column("geom").to_pylist()]
-        km2 = geometry.union_km2([[[r for r in rings if len(r) >= 3] for rings in g if len(rings[0]) >= 3] for g in parts])
-        return pa.table({"level": [level], "decade": pa.array([decade], pa.int64()), "km2": [km2]})
-
-    one = rows.select("level", "decade", "cell", "geom").groupBy("level", "decade", "cell").applyInArrow(unite, "level string, decade bigint, km2 double")
-    return one.groupBy("level", "decade").agg(F.sum("km2").alias("km2"))
+        km2 = geometry.union_km2([to_geom(g) for g in b.column("geom").to_pylist()])
+        return pa.table({"level": b.column("level")[:1], "decade": b.column("decade")[:1].cast(pa.int64()), "km2": [km2]})
 
+    one = pieces.select("level", "decade", "cell", "geom").groupBy("level", "decade", "cell").applyInArrow(unite, "level string, decade bigint, km2 double")
+    return one.groupBy("level", "decade").agg(F.sum("km2").alias("km2"))
 
-def coverage_gap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """id, earth_years, uncovered, pct: how much of each row of ``a`` no row of ``b`` covers, in space and time.
-
-    Rows have id, name, whmid, lo, hi, km2, box and geom; the first set is never reduced, so rows without partners stay.
-    """
-    pairs = meeting(a.withColumn("k", F.lit(1)), b.withColumn("k", F.lit(1)), ["k"]).where("a_lo < b_hi and b_lo < a_hi")
-    partners = pairs.groupBy(F.col("a_id").alias("id")).agg(F.collect_list(F.struct(F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.col("b_geom").alias("geom"))).alias("others"))
-    rows = a.join(partners, "id", "left").select("id", "name", "whmid", "lo", "hi", "km2", "geom", "others")
 
-    def uncovered(columns: list[list]) -> list[list]:
+def clipped(rows: DataFrame, degrees: float) -> DataFrame:
+    """A row for each grid cell that a row's box touches, with ``cell`` and what of ``geom`` lies in it; empty pieces go."""
+    def cut(columns: list[list]) -> list[list]:
         out = []
-        for lo, hi, km2, g, others in zip(*columns, strict=True):
-            there = [(o["lo"], o["hi"], to_geom(o["geom"])) for o in others or []]
-            marks = sorted({lo, hi, *[x for o in there for x in o[:2] if lo < x < hi]})
-            free, own = 0.0, to_geom(g)
-            for s, e in zip(marks, marks[1:], strict=False):
-                now = [o[2] for o in there if o[0] <= s and e <= o[1]]
-                rest = km2 if not now else geometry.union_km2([own, *now]) - geometry.union_km2(now)
-                free += (e - s) * max(0.0, rest)
-            out.append(free / geometry.LAND_KM2)
+        for cell, g in zip(*columns, strict=True):
+            x, y = cell["cx"] * degrees, cell["cy"] * degrees
+            window = np.array([(x, y), (x + degrees, y), (x + degrees, y + degrees), (x, y + degrees)])
+            part = [[geometry.clip_convex(r, window) for r in rings] for rings in to_geom(g)]
+            out.append(from_geom([[r for r in rings if len(r) >= 3] for rings in part if len(rings[0]) >= 3]))
         return [out]
 
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    some = with_computed(rows.withColumn("cell", F.explode(cells(F.col("box"), degrees))), ["cell", "geom"], cut, [("geom", GEOM, pa.list_(pa.list_(pa.list_(point))))])
+    return some.where(F.size("geom") > 0)
+
+
+def coverage_gap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, name, whmid, earth_years, uncovered, pct: how much of each row of ``a`` no row of ``b`` covers, in space and time.
+
+    Rows have id, name, whmid, lo, hi, km2, box and geom; the first set is never reduced, so rows
+    without partners stay. Both are cut into boxes of ten degrees, and each row's time is cut where
+    a partner starts or ends; one task unites what is there in one box at one time.
+    """
+    own = a.where("lo < hi")
+    mine = tables.materialise(clipped(own.select("id", "lo", "hi", "box", "geom"), 10.0).select("id", "lo", "hi", "cell", "geom"))
+    theirs = tables.materialise(clipped(b.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "box", "geom"), 10.0).select("b", "blo", "bhi", "cell", F.col("geom").alias("other")))
+    pairs = mine.drop("geom").join(theirs.drop("other"), "cell").where("lo < bhi and blo < hi")
+    pairs = tables.materialise(pairs.select("id", "cell", "b", F.greatest("lo", "blo").alias("blo"), F.least("hi", "bhi").alias("bhi")))
+    pieces = temporal.elementary(pairs, ["id", "cell"], "blo", "bhi").select("id", "cell", F.col("lo").alias("plo"), F.col("hi").alias("phi"))
+    there = pieces.join(pairs, ["id", "cell"]).where("blo <= plo and phi <= bhi")
+    drawn = there.join(theirs.select("b", "cell", "other"), ["b", "cell"]).select("id", "cell", "plo", "phi", F.col("other").alias("geom"), F.lit(False).alias("own"))
+    drawn = drawn.unionByName(pieces.join(mine.select("id", "cell", "geom"), ["id", "cell"]).select("id", "cell", "plo", "phi", "geom", F.lit(True).alias("own")))
+
+    def covered(t: pa.Table) -> pa.Table:
+        geoms = [(is_own, to_geom(g)) for is_own, g in zip(t.column("own").to_pylist(), t.column("geom").to_pylist(), strict=True)]
+        now = [g for is_own, g in geoms if not is_own]
+        whole = [g for is_own, g in geoms if is_own]
+        km2 = geometry.union_km2(whole) + geometry.union_km2(now) - geometry.union_km2(whole + now)
+        return pa.table({"id": t.column("id")[:1], "covered": [(t.column("phi")[0].as_py() - t.column("plo")[0].as_py()) * max(0.0, km2) / geometry.LAND_KM2]})
+
+    kind = a.schema["id"].dataType.simpleString()
+    sums = drawn.groupBy("id", "cell", "plo", "phi").applyInArrow(covered, f"id {kind}, covered double").groupBy("id").agg(F.sum("covered").alias("covered"))
     total = (F.col("hi") - F.col("lo")) * F.col("km2") / geometry.LAND_KM2
-    out = with_computed(rows.where("lo < hi").withColumn("earth_years", total), ["lo", "hi", "km2", "geom", "others"], uncovered, [("uncovered", "double", pa.float64())], ["lo", "hi", "km2", "geom", "others"])
+    out = own.select("id", "name", "whmid", total.alias("earth_years")).join(sums, "id", "left")
+    out = out.withColumn("uncovered", F.greatest(F.col("earth_years") - F.coalesce("covered", F.lit(0.0)), F.lit(0.0))).drop("covered")
     return out.withColumn("pct", F.when(F.col("earth_years") > 0, F.round(100 * F.col("uncovered") / F.col("earth_years"), 1)))
 
 
@@ -319,8 +410,8 @@ def gap_by_chronology(gap: DataFrame) -> DataFrame:
 
 
 def region_era(rows: DataFrame, regions: DataFrame, eras: DataFrame) -> DataFrame:
-    """region, era (its start), earth_years. regions: name, geom, box; eras: start, end; both are short lists."""
-    pairs = meeting(rows.withColumn("k", F.lit(1)), regions.withColumn("k", F.lit(1)), ["k"], 10.0)
+    """region, era (its start), earth_years. rows have ids of their own; regions: name (once each), geom, box; eras: start, end; both are short lists."""
+    pairs = meeting(rows.select("id", "lo", "hi", "box", "geom"), regions.select("name", "box", "geom"), [], ["id"], ["name"], degrees=10.0)
     inside = overlaid(pairs.select(F.col("b_name").alias("region"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), "a_geom", "b_geom"))
     timed = temporal.range_join(inside, eras, "lo", "hi", "start", "end")
     return timed.groupBy("region", F.col("start").alias("era")).agg((F.sum(F.col("shared") * F.col("shared_km2")) / geometry.LAND_KM2).alias("earth_years"))
@@ -349,68 +440,117 @@ def duplicate_relations(relations: DataFrame, way_pts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- connectivity
 def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFrame]:
-    """Nodes (node, members), edges (a, b) and colours (node, colour) of the states that share borders.
+    """Nodes (node, members, dropped), edges (a, b) and colours (node, colour) of the states that share borders.
 
     Copies become one; members of one chronology are one node; a unit inside a contemporary one goes
-    into it. What the driver holds is a graph, checked for size.
+    into it, with its ways and its time, and through it into what that went into. Units without
+    area contain nothing and are in nothing. Pairs are taken by the first way that they share, in
+    the order of relations and their members. What the driver holds is a graph, checked for size.
     """
     spark = relations.sparkSession
     states = relations.where(relational.admin_boundary(F.col("tags"), ["2"]) & ~F.col("tags")["type"].eqNullSafe(F.lit("chronology")))
     parts = relational.split_members(F.col("members"))
     tag = lambda k: F.nullif(F.col("tags")[k], F.lit(""))
-    rows = states.select("id", "tags", "members", F.array_sort(F.array_distinct(F.concat(parts["outer"], parts["inner"]))).alias("ways"), tag("start_date").alias("s"), tag("end_date").alias("e"))
+    ways = F.array_distinct(F.concat(parts["outer"], parts["inner"]))
+    rows = states.select("id", "tags", "members", ways.alias("order"), F.array_sort(ways).alias("ways"), tag("start_date").alias("s"), tag("end_date").alias("e"))
     chron = chronology_members(relations).where("type = 'r'").select("chrono_id", "pos", F.col("member").alias("member_id"))
     chron = tables.materialise(graph.merged_chronologies(chron))
     rows = rows.join(chron.select(F.col("member_id").alias("id")).distinct().withColumn("in_chron", F.lit(True)), "id", "left")
     rows = tables.materialise(rows.withColumn("way_key", F.to_json("ways")).withColumn("sk", F.coalesce("s", F.lit(""))).withColumn("ek", F.coalesce("e", F.lit(""))))
-    kept = relational.keepers(rows, ["way_key", "sk", "ek"], F.col("in_chron"), "id")
+    key = ["way_key", "sk", "ek"]
+    kept = relational.keepers(rows, key, F.col("in_chron"), "id").select("keeper", *key)
+    copies = rows.select("id", *key).join(kept, key).where("id <> keeper").select("id", F.col("keeper").alias("into"))
     rows = rows.join(kept.select(F.col("keeper").alias("id")), "id", "left_semi")
     rows = tables.materialise(rows.withColumn("r", dates.date_range(F.col("s"), F.col("e"))).withColumn("lo", dates.date_key(F.col("r")["start"])).withColumn("hi", dates.date_key(F.col("r")["end"])))
-    shapes = measured(relation_geometry(rows, way_pts)).select("id", "km2", "geom").join(rows.select("id", "lo", "hi"), "id")
-    near = relational.shared_key_edges(rows.select("id", F.explode("ways").alias("way")), "way", "id")
+    shapes = measured(relation_geometry(rows, way_pts)).where("km2 > 0").select("id", "km2", "geom").join(rows.select("id", "lo", "hi"), "id")
+    placed = rows.select("id", F.posexplode("order").alias("pos", "way"))
+    seen = placed.groupBy("way").agg(F.min(F.struct("id", "pos")).alias("first"))
+    near = numbering.key_pairs(placed, "way", "id").join(seen, "way").groupBy("a", "b").agg(F.min("first").alias("first"))
     side = lambda p: shapes.select(*[F.col(c).alias(f"{p}_{c}") for c in shapes.columns])
     pairs = near.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where("a_lo < b_hi and b_lo < a_hi")
-    lean = overlaid(pairs.select("a", "b", "a_km2", "b_km2", "a_geom", "b_geom"))
+    lean = overlaid(pairs.select("a", "b", "first", "a_km2", "b_km2", "a_geom", "b_geom"))
+    a_in_b = F.col("a_km2") <= F.col("b_km2")
     inside = lean.where(F.col("shared_km2") >= CONTAINED * F.least("a_km2", "b_km2")).select(
-        F.when(F.col("a_km2") <= F.col("b_km2"), F.col("a")).otherwise(F.col("b")).alias("small"), F.when(F.col("a_km2") <= F.col("b_km2"), F.col("b")).otherwise(F.col("a")).alias("large"))
-    dropped = graph.contained_into(inside)
+        F.when(a_in_b, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(a_in_b, F.col("b")).otherwise(F.col("a")).alias("large"), F.struct("first", "a", "b").alias("rank"))
+    dropped = graph.final_home(graph.contained_into(inside))
     node_of = rows.select("id").join(chron.select(F.col("member_id").alias("id"), F.col("chrono_id").alias("node")), "id", "left").select("id", F.coalesce("node", "id").alias("node"))
     home = rows.select("id", "ways", "lo", "hi").join(dropped, "id", "left").withColumn("at", F.coalesce("into", "id")).join(node_of.withColumnRenamed("id", "at"), "at")
     home = tables.materialise(home)
     edges = tables.materialise(graph.node_edges(home.select("node", F.explode("ways").alias("way_id")), home.select("node", F.col("lo").alias("start"), F.col("hi").alias("end"))))
-    nodes = home.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("members"))
+    gone = copies.join(home.select(F.col("id").alias("into"), "node"), "into").select("id", "node", F.lit(True).alias("gone"))
+    whole = home.select("id", "node", F.col("into").isNotNull().alias("gone")).unionByName(gone)
+    list_of = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("id"))))
+    nodes = whole.groupBy("node").agg(list_of(~F.col("gone")).alias("members"), list_of(F.col("gone")).alias("dropped"))
     colours = graph.welsh_powell(graph.collect_graph(nodes, edges))
     return {"nodes": nodes, "edges": edges.orderBy("a", "b"), "colours": spark.createDataFrame(list(colours.items()) or [], "node bigint, colour int")}
 
 
+def relation_colours(nodes: DataFrame, colours: DataFrame) -> DataFrame:
+    """id, colour, node of every relation of a coloured graph: members and what was dropped into them."""
+    every = nodes.select("node", F.explode(F.concat("members", "dropped")).alias("id"))
+    return every.join(colours, "node").groupBy("id").agg(F.min(F.struct("node", "colour")).alias("c")).select("id", "c.colour", "c.node")
+
+
 # ------------------------------------------------------------- web extract and view
-def web_extract(relations: DataFrame, way_pts: DataFrame, level: str, ring_tolerance: float = 50.0, line_tolerance: float = 10.0) -> dict[str, DataFrame]:
-    """Ways (id, deltas), relations (id, flat tags, rings as base64) of a level, and the tag dictionaries."""
+def web_extract(relations: DataFrame, way_pts: DataFrame, level: str, nodes: DataFrame | None = None, chronology: DataFrame | None = None, colours: DataFrame | None = None,
+                ring_m2: float = 50.0, line_m: float = 10.0) -> dict[str, DataFrame]:
+    """The viewer's tables of a level: ways (id, deltas, before, after), nodes (id, loc, tags), relations
+    (id, flat tags, ways, nodes, chronology) by end, and the dictionaries pairs, keys and values.
+
+    ways of a relation: a list of rings for each polygon, coded in base64; rings that don't close stay
+    open. chronology: entries (id, name, prev, next) from ``chronology_entries``. colours: id, colour,
+    node from ``relation_colours``, which become tags. Tolerances are in metres, of about ten to a
+    step of the grid. Relations without ways or nodes have empty lists.
+    """
     rows = relations.where(relational.admin_boundary(F.col("tags"), [level]))
+    if colours is not None:
+        rows = rows.join(colours, "id", "left")
+        added = F.create_map(F.lit("color"), F.col("colour").cast("string"), F.lit("color:id"), F.col("node").cast("string"))
+        rows = rows.withColumn("tags", F.when(F.col("colour").isNotNull(), F.map_concat(F.map_filter("tags", lambda k, _: ~k.isin("color", "color:id")), added)).otherwise(F.col("tags")))
     parts = relational.split_members(F.col("members"))
     used = rows.select(F.explode(F.concat(parts["outer"], parts["inner"])).alias("id")).distinct()
-    pts = way_pts.join(used, "id", "left_semi")
+    pts = way_pts.join(used, "id", "left_semi").where(F.size("pts") > 0)
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for p in b["pts"]:
                 grid = np.rint(np.array([(q["lon"] * codecs.LON_STEPS / 360, q["lat"] * codecs.LAT_STEPS / 180) for q in p])).astype(np.int64)
-                ring = len(p) > 3 and p[0]["node_id"] == p[-1]["node_id"]
-                kept = geometry.simplify_ring(grid.astype(float), ring_tolerance) if ring else geometry.simplify_line(grid.astype(float), line_tolerance)
+                closed = len(p) >= 2 and bool(np.all(grid[0] == grid[-1]))
+                kept = geometry.simplify_ring(grid.astype(float), ring_m2 / 100) if closed else geometry.simplify_line(grid.astype(float), line_m / 10)
                 out.append(np.diff(grid[kept], axis=0, prepend=0).ravel().tolist())
             yield pd.DataFrame({"id": b["id"], "deltas": out, "before": b["pts"].map(len), "after": [len(o) // 2 for o in out]})
 
     ways = pts.mapInPandas(thin, "id bigint, deltas array<bigint>, before int, after int")
-    rings = relation_geometry(rows, way_pts).select("id", F.transform("rings", lambda r: r).alias("rings"))
-    coded = rings.select("id", F.posexplode_outer("rings").alias("n", "ring")).withColumn("code", F.base64(codecs.ring_to_varint("ring")))
-    coded = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "code"))).alias("c")).select("id", F.transform("c", lambda x: x["code"]).alias("rings"))
+    rings = relation_geometry(rows, way_pts, leave_open=True).select("id", F.posexplode("polygons").alias("polygon", "rings"))
+    coded = rings.select("id", "polygon", F.posexplode("rings").alias("n", "ring")).withColumn("code", F.base64(codecs.ring_to_varint("ring")))
+    coded = coded.groupBy("id", "polygon").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]).alias("codes"))
+    coded = coded.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("polygon", "codes"))), lambda x: x["codes"]).alias("ways"))
     tagged = rows.select("id", relational.kept_tags(F.col("tags")).alias("tags"))
     dictionaries = codecs.tag_tables(tagged, "id", "tags")
     flat = codecs.encode_tags(tagged, "id", "tags", dictionaries)
     order = dates.sort_key(F.coalesce(F.nullif(F.col("tags")["end_date"], F.lit("")), F.lit("2030")))
-    out = rows.select("id", order.alias("o")).join(flat, "id").join(coded, "id", "left").orderBy(F.col("o.y"), F.col("o.m"), F.col("o.d"), "id").drop("o")
-    return {"ways": ways, "relations": out, "pairs": dictionaries[0], "keys": dictionaries[1], "values": dictionaries[2]}
+    out = rows.select("id", order.alias("o"), parts["nodes"].alias("nodes")).join(flat, "id").join(coded, "id", "left")
+    if chronology is not None:
+        out = out.join(chronology, "id", "left")
+    else:
+        out = out.withColumn("chronology", F.lit(None).cast("array<struct<id:bigint,name:string,prev:bigint,next:bigint>>"))
+    empty = F.coalesce("ways", F.array().cast("array<array<string>>")).alias("ways")
+    out = out.orderBy(F.col("o.y"), F.col("o.m"), F.col("o.d"), "id").select("id", "flat", empty, "nodes", "chronology")
+    found = {"ways": ways, "relations": out, "pairs": dictionaries[0], "keys": dictionaries[1], "values": dictionaries[2]}
+    if nodes is not None:
+        wanted = rows.select(F.explode(parts["nodes"]).alias("id")).distinct()
+        found["nodes"] = nodes.join(wanted, "id", "left_semi").select("id", F.array("lon", "lat").alias("loc"), "tags")
+    return found
+
+
+def chronology_entries(relations: DataFrame) -> DataFrame:
+    """id, chronology (id, name, prev, next): for each member relation the chronologies it stands in, by their ids."""
+    rows = chronology_members(relations).where("type = 'r'")
+    names = relations.where(F.col("tags")["type"] == "chronology").select(F.col("id").alias("chrono_id"), relational.display_name(F.col("tags")).alias("name"))
+    near = temporal.neighbours(rows, ["chrono_id"], ["pos"], "member").join(names, "chrono_id")
+    entry = F.struct("chrono_id", "pos", F.struct(F.col("chrono_id").alias("id"), "name", "prev", "next").alias("e"))
+    return near.groupBy(F.col("member").alias("id")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("chronology"))
 
 
 def view_at(relations: DataFrame, decimal_year: float) -> DataFrame:

@@ -29,10 +29,13 @@ def sampled(examples: DataFrame, ranked: bool = False, rank: str | None = None)
     """All examples of a type with few, else a sample: the first of the ranking, or those with the least hashes."""
     n = examples.groupBy("type").agg(F.count("*").alias("_n"))
     order = F.desc(rank) if ranked and rank else F.xxhash64("ftype", "fid", "text", F.lit(SEED))
-    w = Window.partitionBy("type").orderBy(order, "ftype", "fid")
     most = RANKED if ranked else SAMPLE
-    out = examples.join(n, "type").withColumn("_i", F.row_number().over(w))
-    return out.where((F.col("_n") < FEW) | (F.col("_i") <= most)).drop("_n", "_i")
+    # the first of each of many shares of a type, and the first of those
+    out = examples.join(F.broadcast(n), "type").withColumn("_s", F.pmod(F.xxhash64("ftype", "fid", "text"), F.lit(64)))
+    for by in (["type", "_s"], ["type"]):
+        w = Window.partitionBy(*by).orderBy(order, "ftype", "fid", "text")
+        out = out.withColumn("_i", F.row_number().over(w)).where((F.col("_n") < FEW) | (F.col("_i") <= most))
+    return out.drop("_n", "_i", "_s")
 
 
 def same_sample(by_type: dict[str, list]) -> dict[str, list]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from eonmap.sources.tables import materialise
+
 SUMMARY = "type string, count double"
 
 
@@ -16,15 +18,19 @@ def read_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def follow(stream: DataFrame, history: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends each batch to the long history table, a folder a date; a date that comes again is replaced.
+    """Merges each batch into the long history table, a folder a date; a metric that comes again is replaced.
 
-    Replacing whole folders makes a batch that runs twice harmless.
+    A date's files may come in several batches: what is stored of the date and not in the batch
+    stays. Replacing whole folders makes a batch that runs twice harmless.
     """
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy("date", "type").agg(F.max("count").alias("count"))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        last.write.mode("overwrite").partitionBy("date").parquet(history)
+        last = materialise(batch.groupBy("date", "type").agg(F.max("count").alias("count")))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(history)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            stored = spark.read.schema(f"{SUMMARY}, date string").parquet(history).join(last.select("date").distinct(), "date", "left_semi")
+            last = materialise(last.unionByName(stored.join(last, ["date", "type"], "left_anti").select(*last.columns)))
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(history)
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,13 +1,14 @@
 """Queries over a small map: two square neighbours, a copy, an enclave and a chronology."""
 
+import base64
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eonmap.functions import geometry
-from eonmap.operators import graph
+from eonmap.functions import codecs, geometry
+from eonmap.operators import graph, numbering, temporal
 from eonmap.plans import features as Q
 from eonmap.sources import sinks, tables
 
@@ -53,8 +54,47 @@ def test_geometry_and_faults(world):
     rows = {r["id"]: r for r in Q.measured(Q.relation_geometry(world["relations"].where("id < 20"), world["pts"])).collect()}
     assert math.isclose(rows[1]["km2"], square_km2(0, 0), rel_tol=1e-9) and rows[1]["warnings"] == [] and rows[1]["fault"] is None
     assert [w["kind"] for w in rows[5]["warnings"]] == ["open_ring"] and rows[6]["km2"] < rows[1]["km2"]
-    bad = Q.bad_geometry(world["relations"].where("id < 20"), world["pts"], "2026-01-01").collect()
-    assert [(b["type"], b["id"]) for b in bad] == [("open-ring", 5)] and "[3] Open" in bad[0]["text"] and bad[0]["earth_years"] > 0
+    examples, counters = Q.bad_geometry(world["relations"].where("id < 20"), world["pts"], "2026-01-01")
+    bad = examples.collect()
+    assert [(b["type"], b["fid"]) for b in bad] == [("nonclosed-ring", 5)] and bad[0]["earth_years"] > 0
+    assert bad[0]["text"].endswith("[3] Open OpenRingWarning(node_id_start=3, node_id_end=2)")
+    assert {r[0]: r[1] for r in counters.collect()} == {"geom-valid": 5, "geom-invalid": 1}
+
+
+def test_relations_without_shape(spark, world):
+    """Missing ways, no ways at all and rings without area pass through every query."""
+    m = lambda *ws: [("w", w, "outer") for w in ws]
+    rel = [(1, boundary("A", "1900", "1950"), m(98, 99)), (2, boundary("B", "1900", None), []), (3, boundary("C", "1900", "1950"), m(97, 10, 11)), (4, boundary("D", None, None), None)]
+    relations = spark.createDataFrame(rel, tables.RELATIONS)
+    examples, counters = Q.bad_geometry(relations, world["pts"], "2026-01-01")
+    got = {(r["type"], r["fid"]): r["text"] for r in examples.collect()}
+    assert set(got) == {("invalid-way-reference", 1), ("no-shapely", 1), ("no-shapely", 2), ("invalid-way-reference", 3), ("no-shapely", 4)}
+    assert got["invalid-way-reference", 1] == "(0.0000ey) [2] A MissingWayWarning(way_id=98), MissingWayWarning(way_id=99)" and got["no-shapely", 2] == "(0.0000ey) [2] B"
+    assert {r[0]: r[1] for r in counters.collect()} == {"geom-valid": 0, "geom-invalid": 4}
+    drawn = relations.join(Q.relation_geometry(relations, world["pts"]).select("id", "geom"), "id").select(F.lit("r").alias("ftype"), "id", "tags", "geom")
+    rows = Q.coverage_rows(drawn, "2026-01-01")
+    assert {r["id"] for r in rows.collect()} == {1, 2, 3} and Q.double_coverage(rows).count() == 0
+    assert {r["level"] for r in Q.decade_coverage(drawn).collect()} == {"2"}
+    out = Q.connectivity(relations, world["pts"])
+    assert {r["node"] for r in out["nodes"].collect()} == {1, 2, 3, 4} and out["edges"].count() == 0
+    assert Q.web_extract(relations, world["pts"], "2")["relations"].count() == 4
+
+
+def test_a_way_and_a_relation_of_one_id(spark):
+    square = [[[{"x": float(x), "y": float(y)} for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]]]
+    rows = Q.coverage_rows(spark.createDataFrame([(t, 5, boundary("X", "1900", "1910"), square) for t in "rw"], f"ftype string, id long, tags map<string,string>, geom {Q.GEOM}"), "2026-01-01")
+    pairs = Q.double_coverage(rows)
+    assert [(r["a_type"], r["a"], r["b_type"], r["b"]) for r in pairs.collect()] == [("w", 5, "r", 5)]
+    total = Q.double_coverage_totals(pairs).collect()
+    assert [r["type"] for r in total] == ["double-covered-admin-2"] and abs(total[0]["count"] - 10 * square_km2(0, 0) / geometry.LAND_KM2) < 1e-6
+
+
+def test_areas(spark, world):
+    ways = world["ways"].withColumn("tags", F.create_map(F.lit("landuse"), F.lit("x")))
+    typed = world["relations"].where("id in (1, 5, 6)").withColumn("tags", F.map_concat("tags", F.create_map(F.lit("type"), F.lit("boundary"))))
+    got = {(r["ftype"], r["id"]): r for r in Q.measured(Q.areas(typed, world["pts"], ways)).collect()}
+    assert set(got) == {("w", 13), ("r", 1), ("r", 6)}  # relation 5 does not close
+    assert math.isclose(got["r", 1]["km2"] - got["r", 6]["km2"], got["w", 13]["km2"], rel_tol=1e-6)
 
 
 def areas(world):
@@ -68,8 +108,8 @@ def test_coverage(world):
     want = (50 * 2 + 20) * square_km2(0, 0) + 100 * square_km2(1, 0)
     assert abs(got["2"] - want / geometry.LAND_KM2) < 1e-6 and set(got) == {"2", "3", "4"}
     pairs = {(r["a"], r["b"]): r["earth_years"] for r in Q.double_coverage(rows, 1e-9).collect()}
-    assert set(pairs) == {(1, 3), (1, 4), (3, 4)}
-    assert math.isclose(pairs[1, 4], 10 * square_km2(0, 0) / geometry.LAND_KM2, rel_tol=1e-6)
+    assert set(pairs) == {(3, 1), (4, 1), (4, 3)}
+    assert math.isclose(pairs[4, 1], 10 * square_km2(0, 0) / geometry.LAND_KM2, rel_tol=1e-6)
 
 
 def test_decades(world):
@@ -85,38 +125,77 @@ def test_duplicates(world):
     assert [(list(r["ids"]), r["extra"]) for r in got] == [([1, 3], 1)]
 
 
-def test_chronology(world):
+def test_chronology(spark, world):
     objects = world["relations"].select(F.lit("r").alias("ftype"), "id", "tags")
     got = {r["type"]: r["text"] for r in Q.chronology_quality(world["relations"], objects).collect()}
-    assert got["member-overlap"] == "1900-1950 West / 1940-1960 West" and got["member-outside-range"] == "1940-1960 West" and got["member-undated"] == "1 members"
+    assert got == {"chronology-overlapping-members": "Wests r/1 (1900-1950) + r/4 (1940-1960)",
+                   "chronology-member-outside-range": "Wests r/4 (1940-1960) outside 1900-1955", "chronology-undated-member": "Wests r/77"}
+    rel = [(30, {"type": "chronology"}, [("r", 77, ""), ("n", 8, ""), ("r", 1, ""), ("r", 31, "")]), (31, {"start_date": "19xx"}, []), (32, {"type": "chronology", "name": "Z"}, [])]
+    more = world["relations"].unionByName(spark.createDataFrame(rel, tables.RELATIONS))
+    got = {(r["type"], r["chrono_id"]): r["text"] for r in Q.chronology_quality(more, more.select(F.lit("r").alias("ftype"), "id", "tags")).collect() if r["chrono_id"] > 20}
+    assert got == {("chronology-anonymous", 30): "", ("chronology-undated-member", 30): "r/77,n/8"}
+    chron = {r["id"]: r["chronology"] for r in Q.chronology_entries(world["relations"]).collect()}
+    assert [tuple(e) for e in chron[4]] == [(20, "Wests", 1, 77)]
 
 
 def test_date_quality(spark):
-    data = [("n", 1, {"start_date": "190x", "name": "A"}), ("w", 2, {"start_date": "1950", "end_date": "1940"}), ("r", 3, {"end_date": "1948-05-08", "end_date:edtf": "1948-05-09", "name": "C"}),
-            ("r", 4, {"start_date:edtf": "1900"}), ("n", 5, {"start_date": "1900", "start_date:edtf": "1890..1900"}), ("n", 6, {"name": "Rome (100-200)", "start_date": "100"}), ("n", 7, {"name": "no date"})]
+    data = [("n", 1, {"start_date": "190x", "end_date": "bad", "name": "A"}), ("w", 2, {"start_date": "1950", "end_date": "1940"}), ("r", 3, {"end_date": "1948-05-08", "end_date:edtf": "1948-05-09", "name": "C"}),
+            ("r", 4, {"start_date:edtf": "1900"}), ("n", 5, {"start_date": "1900", "start_date:edtf": "1890..1900"}), ("n", 6, {"name": "Rome (100-200)", "start_date": "100"}), ("n", 7, {"name": "no date"}),
+            ("r", 8, {"start_date": "9999", "end_date": "9999"}), ("w", 9, {"end_date": "1900", "natural": "water"}), ("w", 10, {"start_date": "1900", "end_date": "1910", "natural": "water"}),
+            ("n", 11, {"start_date": "1900", "start_date:edtf": "../19000"}), ("n", 12, {"start_date": "x", "start_date:edtf": "1..2"}), ("n", 13, {"end_date": "", "start_date": "5"})]
     examples, counters = Q.date_quality(spark.createDataFrame(data, "ftype string, id long, tags map<string,string>"))
-    got = {(r["type"], r["fid"]) for r in examples.collect()}
-    assert got == {("date-invalid", 1), ("start-after-end", 2), ("edtf-mismatch", 3), ("edtf-without-plain", 4), ("edtf-invalid", 5), ("date-in-name", 6)}
+    rows = [(r["type"], r["fid"], r["text"]) for r in examples.collect()]
+    assert sorted(rows) == sorted([
+        ("date-invalid", 1, "190x A"), ("date-start-after-end", 2, "1950 > 1940 "), ("date-end-no-start", 3, ""), ("date-edtf-mismatch", 3, "end_date=1948-05-08 vs end_date:edtf=1948-05-09 C"),
+        ("date-edtf-without-plain", 4, "start_date:edtf=1900 "), ("date-edtf-invalid", 5, "start_date:edtf=1890..1900 "), ("date-in-name", 6, "Rome (100-200)"),
+        ("date-far-future", 8, "9999 "), ("date-far-future", 8, "9999 "), ("date-edtf-invalid", 11, "start_date:edtf=../19000 "), ("date-invalid", 12, "x ")])
     n = {r[0]: r[1] for r in counters.collect()}
-    assert n["dated-features"] == 6 and n["dated-relations"] == 2 and n["edtf-off-by-one"] == 1 and n["edtf-dot-dot"] == 1 and n["dated-timeless"] == 0
+    assert n == {"dated-relations": 10, "dated-features": 11, "dated-timeless": 1, "date-edtf-features": 4, "date-edtf-invalid-dot-dot": 1, "date-edtf-mismatch-off-by-one-day": 1}
     lines = [r[0] for r in sinks.summary(counters, examples).select("type").collect()]
-    assert lines == sorted(n) + sorted(t for t, _ in got)
+    assert lines == sorted(n) + sorted({t for t, _, _ in rows})
+    assert {r[1] for r in Q.date_quality(spark.createDataFrame([], "ftype string, id long, tags map<string,string>"))[1].collect()} == {0}
 
 
 def test_connectivity(world):
     out = Q.connectivity(world["relations"], world["pts"])
-    nodes = {r["node"]: list(r["members"]) for r in out["nodes"].collect()}
-    assert nodes == {20: [1, 4], 2: [2]}
+    nodes = {r["node"]: (r["members"], r["dropped"]) for r in out["nodes"].collect()}
+    assert nodes == {20: ([4], [1, 3]), 2: ([2], [])}  # 1 lies in 4, 3 is a copy of 1
     assert [tuple(r) for r in out["edges"].collect()] == [(2, 20)]
     colours = {r["node"]: r["colour"] for r in out["colours"].collect()}
     assert colours[2] != colours[20] and graph.clashes(out["edges"], out["colours"]).count() == 0
+    every = {r["id"]: (r["colour"], r["node"]) for r in Q.relation_colours(out["nodes"], out["colours"]).collect()}
+    assert every == {i: (colours[n], n) for i, n in ((1, 20), (3, 20), (4, 20), (2, 2))}
+
+
+def test_donations_follow_chains(spark):
+    """A strip in a block, the block in a country: the country touches what the strip touched."""
+    xy = [(0, 0), (4, 0), (4, 3), (0, 3), (4.4, 0), (4.4, 3), (4.5, 0), (4.5, 3), (8, 0), (8, 3)]
+    nodes = spark.createDataFrame([(i, float(x), float(y), {}) for i, (x, y) in enumerate(xy)], tables.NODES)
+    refs = {1: [1, 2], 2: [2, 3, 0, 1], 3: [1, 4], 4: [4, 5], 5: [5, 2], 6: [4, 6], 7: [6, 7], 8: [7, 5], 9: [6, 8, 9, 7], 10: [0, 1]}
+    pts = tables.way_points(spark.createDataFrame([(i, r, {}) for i, r in refs.items()], tables.WAYS), nodes)
+    m = lambda *ws: [("w", w, "outer") for w in ws]
+    # 1: strip x 4.4-4.5; 2: block x 4-4.5, 3: country x 0-4.5, drawn with the same ways; 4: neighbour x 4.5-8
+    rel = [(1, boundary("Strip", "1900", "1950"), m(4, 6, 7, 8)), (2, boundary("Block", "1900", "1950"), m(1, 3, 6, 7, 8, 5)), (3, boundary("Country", "1900", "1950"), m(2, 3, 6, 8, 5, 7)), (4, boundary("East", "1900", "1950"), m(7, 9))]
+    out = Q.connectivity(spark.createDataFrame(rel, tables.RELATIONS), pts)
+    assert {r["node"]: (r["members"], r["dropped"]) for r in out["nodes"].collect()} == {3: ([3], [1, 2]), 4: ([4], [])}
+    assert [tuple(r) for r in out["edges"].collect()] == [(3, 4)]
 
 
 def test_extract_and_view(spark, world):
-    out = Q.web_extract(world["relations"], world["pts"], "2", 0.0, 0.0)
-    assert {r["id"] for r in out["relations"].collect()} == {1, 2, 3, 4} and out["pairs"].count() > 2
+    more = world["relations"].withColumn("members", F.when(F.col("id") == 2, F.concat("members", F.array(F.struct(F.lit("n").alias("type"), F.lit(6).cast("long").alias("ref"), F.lit("label").alias("role"))))).otherwise(F.col("members")))
+    graph_of = Q.connectivity(more, world["pts"])
+    out = Q.web_extract(more, world["pts"], "2", world["nodes"], Q.chronology_entries(more), Q.relation_colours(graph_of["nodes"], graph_of["colours"]), 0.0, 0.0)
+    rows = {r["id"]: r for r in out["relations"].collect()}
+    assert set(rows) == {1, 2, 3, 4} and out["pairs"].count() > 2 and [r["id"] for r in out["nodes"].collect()] == [6]
+    assert rows[2]["nodes"] == [6] and rows[1]["chronology"][0]["next"] == 4 and rows[2]["chronology"] is None
+    tags = {r["id"]: r["tags"] for r in codecs.decode_tags(out["relations"].select("id", "flat"), (out["pairs"], out["keys"], out["values"])).collect()}
+    assert tags[3]["color:id"] == "20" and tags[2]["color"] != tags[3]["color"] == tags[1]["color"]
+    ring = codecs.decode_rings([base64.b64decode(rows[1]["ways"][0][0])])[0]
+    assert sorted(map(abs, ring)) == [10, 11]
     way = {r["id"]: r["deltas"] for r in out["ways"].collect()}
     assert way[10] == [11111, 0, 0, 11111]
+    opened = Q.web_extract(world["relations"], world["pts"], "3")["relations"].first()
+    assert [len(p) for p in opened["ways"]] == [1] and codecs.decode_rings([base64.b64decode(opened["ways"][0][0])])[0].tolist() in ([11], [-11])
     rel = spark.createDataFrame([(1, "1900", "1950", 2), (2, "1950", "1960", None), (3, None, None, None)], "id long, start_date string, end_date string, next long")
     at = lambda t: {r["id"] for r in Q.view_at(rel, t).collect()}
     assert at(1950.3) == {1, 3} and at(1950.7) == {2, 3} and at(1960.9) == {2, 3} and at(1961.1) == {3}
@@ -175,4 +254,31 @@ def test_containment_without_a_list(spark):
         pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (n, 2)) if a != b})
         got = graph.contained_into(spark.createDataFrame(pairs, "small long, large long")).collect()
         assert {r["id"]: r["into"] for r in got} == graph.resolve_containment(pairs)
+        rng.shuffle(pairs)
+        got = graph.contained_into(spark.createDataFrame([(int(a), int(b), i) for i, (a, b) in enumerate(pairs)], "small long, large long, rank int"))
+        into = graph.resolve_containment([(int(a), int(b)) for a, b in pairs])
+        assert {r["id"]: r["into"] for r in got.collect()} == into
+        assert {r["id"]: r["into"] for r in graph.final_home(got).collect()} == {v: k for k, vs in graph.absorbed(into).items() for v in vs}
     assert graph.contained_into(spark.createDataFrame([], "small long, large long")).count() == 0
+
+
+def test_numbers_and_pairs(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("v"))
+    got = [r["n"] for r in numbering.numbered(rows, [F.desc("v")], "n").orderBy(F.desc("v")).collect()]
+    assert got == list(range(1, 5001))
+    members = spark.createDataFrame([(k, i) for k, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)] + [(1, 5)], "key int, node long")
+    pairs = [tuple(r) for r in numbering.key_pairs(members, "key", "node", 7).collect()]
+    assert sorted(pairs) == sorted((k, a, b) for k, n in ((1, 40), (2, 3)) for b in range(n) for a in range(b))
+    degree = spark.createDataFrame([(i, d) for i, d in enumerate([0, 0, 1, 3, 3, 9])], "node long, degree long")
+    assert tuple(graph.degree_stats(degree).first()) == (0, 3, 9, 2)
+    with pytest.raises(ValueError, match="nodes"):
+        graph.collect_graph(spark.range(5).withColumnRenamed("id", "node"), spark.createDataFrame([], "a long, b long"), 2)
+
+
+def test_long_lists_of_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    draw = lambda n: [(i, float(a), float(a + d)) for i, (a, d) in enumerate(zip(rng.integers(0, 500, n), rng.integers(-1, 60, n), strict=True))]
+    a, b = draw(120), draw(80)
+    monkeypatch.setattr(temporal, "FEW", 10)
+    got = temporal.range_join(spark.createDataFrame(a, "i int, s double, e double"), spark.createDataFrame(b, "j int, lo double, hi double"), "s", "e", "lo", "hi").collect()
+    assert sorted((r["i"], r["j"], r["shared"]) for r in got) == sorted((i, j, min(e, hi) - max(s, lo)) for i, s, e in a for j, lo, hi in b if s < hi and lo < e and s < e and lo < hi)

@@ -54,6 +54,16 @@ def test_simplify():
     kept = G.simplify_ring(ring, 0.5)
     assert np.array_equal(ring[kept[0]], ring[kept[-1]]) and 1 not in kept and len(kept) == 5
     assert len(G.simplify_ring(ring, 1e9)) == 3
+    points = lambda *xy: np.array(xy, float)
+    assert G.simplify_ring(points((0, 0), (5, 0), (10, 0)), 0.0) == [0, 2] and G.simplify_ring(points((0, 0), (5, 10), (10, 0)), 1.0) == [0, 1, 2]
+    assert G.simplify_ring(points((0, 0), (5, 1), (10, 0)), 10.0) == [0, 2] and G.simplify_ring(points((0, 0), (5, 1), (10, 0)), 4.9) == [0, 1, 2]
+    flat = G.simplify_ring(points((0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (0, 0)), 1.0)
+    assert len(flat) == 3 and flat[0] != flat[1]
+    assert [len(G.simplify_ring(points(*[(0, 0)] * n), 1.0)) for n in (1, 2)] == [1, 2] and G.simplify_ring(np.zeros((0, 2)), 1.0) == []
+
+
+def test_nothing_is_valid_and_crosses_nothing():
+    assert G.why_invalid([]) is None and G.overlay_km2([], []) == (0.0, 0.0, 0.0) and G.union_km2([]) == 0.0
 
 
 def test_overlay_of_boxes():

@@ -20,10 +20,22 @@ from eonmap.functions import codecs, text
     ("Central Africa, French Colonies, gained 1626-1914, lost 1958-1962", ("Central Africa, French Colonies", None, None, None, "gained 1626-1914, lost 1958-1962")),
     ("Virginia, British Colony, 1607 - 1683, shown as part of America after 1683.", ("Virginia, British Colony", "1607 - 1683", None, None, "shown as part of America after 1683")),
     ("Denmark, 935 - Present.", ("Denmark", "935 - Present", None, None, None)),
+    ("Kish., c2900 - 2350BCE.", ("Kish", "c2900 - 2350BCE", None, None, None)),
+    ("A, 900 - 950, Snefru, The Pharaoh 900 - 950", ("A", "900 - 950", "Snefru, The Pharaoh 900 - 950", None, None)),
+    ("A, 900 - 950, X, gained 910-920, King 900 - 950", ("A", "900 - 950", "X, King 900 - 950", None, "gained 910-920")),
+    ("A, 900 - 950, One Dynasty 900 - 910, Two Dynasty 911 - 950, tail", ("A", "900 - 950", None, "One Dynasty 900 - 910", "tail")),
+    ("A, 900 - 950, p, gained 1-2, q", ("A", "900 - 950", None, None, "gained 1-2, p, q")),
+    ("900 - 950, King 900 - 950", ("", "900 - 950", "King 900 - 950", None, None)),
+    ("Egypt, Old Kingdom, 2925 - c2150BCE + -50 years, Snefru, Pharaoh c2575 - c2551BCE, Fourth Dynasty of Egypt c2575 - c2465BCE.",
+     ("Egypt, Old Kingdom", "2925 - c2150BCE + -50 years", "Snefru, Pharaoh c2575 - c2551BCE", "Fourth Dynasty of Egypt c2575 - c2465BCE", None)),
+    ("Cordoba, 756 - 1070, Abd-ar-Rahman III, Emir (Caliph 929) 912 - 961, Ummayad Dynasty 756 - 1031.",
+     ("Cordoba", "756 - 1070", "Abd-ar-Rahman III, Emir (Caliph 929) 912 - 961", "Ummayad Dynasty 756 - 1031", None)),
+    ("", ("", None, None, None, None)),
     (None, (None,) * 5),
 ])
-def test_titles(title, want):
-    assert text.title_parts(title) == want
+def test_titles(spark, title, want):
+    got = spark.createDataFrame([(title,)], "t string").select(text.parse_title("t").alias("t")).first()["t"]
+    assert tuple(got) == want if title is not None else got is None or tuple(got) == want
 
 
 def test_parameters_of_a_view():
