@@ -38,6 +38,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialise_by(df: DataFrame, column: str) -> DataFrame:
+    """``materialise``, with rows dealt by a column into as many buckets as shuffles have partitions.
+
+    Later joins on the column read the table where it stands: only their other side is moved.
+    """
+    spark = df.sparkSession
+    name, n = f"eonmap_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    out = spark.table(name)
+    out.stored_at, out.stored_as = path, name
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that no later step reads."""
     for table in tables:
@@ -46,6 +62,8 @@ def release(*tables: DataFrame) -> None:
             jvm, context = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
             hpath = jvm.org.apache.hadoop.fs.Path(path)
             hpath.getFileSystem(context._jsc.hadoopConfiguration()).delete(hpath, True)
+            if "stored_as" in vars(table):
+                table.sparkSession.sql(f"drop table if exists {table.stored_as}")
 
 
 #: A key is hot if it holds more than one of so many of all rows, so that there are fewer hot keys than that.

@@ -331,6 +331,20 @@ def test_texts_alike_share_a_rare_word():
                 assert set(word[text == 0]) & set(word[text == 1])
 
 
+def test_bins_bound_the_edits():
+    rng = random.Random(15)
+    hasher = omh.Hasher()
+    for _ in range(300):
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.randint(1, 400))]
+        b = list(a)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y"]])
+        if b:
+            x, y = omh.word_bins([hasher(a), hasher(b)]).reshape(2, -1).astype(int)
+            assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= omh.distance(a, b, 1000)
+
+
 def test_short_and_evenly_edited_copies(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choices("abcdefghijklm", k=4))
