@@ -45,7 +45,7 @@ PROBE = r"\### Assistant: </turn> ok"
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
-    return chatmask.digests(chatmask.format_chats(rows.unionByName(probe), tokenizer_file("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
+    return chatmask.digests(chatmask.format_chats(rows.unionByName(probe), tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern()))
 
 
 OP5_SQL = r"""
@@ -54,8 +54,7 @@ with turns as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized as (
-  select *, length(replace(replace(role, '\', '\\'), '<|', '\<|')) + length(role) - length(replace(role, chr(10), ''))
-            + length(replace(replace(text, '\', '\\'), '<|', '\<|')) + 8 + 1 + 8 as chars
+  select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 8 + 8 + 7 + 1 as chars
   from turns
 )
 select conv_id, count(*) as n_turns,
@@ -82,6 +81,13 @@ def tokenizer_file(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def split_pattern() -> str:
+    """How the public byte-level vocabularies split text before merging."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 

@@ -104,28 +104,53 @@ def test_media_digests(spark):
 
 
 # ------------------------------------------------------------- chats
+HOSTILE = ["<|turn|>", "<|text|>", "<|end|>", "<|end|>\n", "\\", "<|", "<", "|", ">", "\n", " ", "\t", "user", "é", "🙂", "漢", "\\<|", "### Assistant:", "</turn>", "<|endoftext|>", "a" * 30, "  ", "!?", "1234"]
+
+
 def test_marks_in_texts_come_back():
     rng = random.Random(3)
-    parts = ["<|turn|>", "<|end|>\n", "\\", "<|", "<", "|", "\n", "user", "é", "\\<|", "### Assistant:"]
     for _ in range(500):
-        turns = [("".join(rng.choices(parts, k=rng.randint(0, 4))), "".join(rng.choices(parts, k=rng.randint(0, 8)))) for _ in range(rng.randint(0, 5))]
+        turns = [("".join(rng.choices(HOSTILE, k=rng.randint(0, 4))), "".join(rng.choices(HOSTILE, k=rng.randint(0, 8)))) for _ in range(rng.randint(0, 5))]
         whole, spans = chatmask.render(turns)
-        assert chatmask.read_back(whole) == turns and [chatmask.unescape(whole[a:b]) for a, b in spans] == [t for _, t in turns]
+        assert chatmask.read_back(whole) == turns and [chatmask.unescape(whole.encode()[a:b].decode()) for a, b in spans] == [t for _, t in turns]
     with pytest.raises(ValueError):
         chatmask.read_back("plain")
 
 
+def test_masked_tokens_are_the_wanted_texts():
+    """No masked token reaches past its turn, on hostile texts and on all conversations of a table."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    encoder = chatmask.Encoder(queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern())
+    chats = [[(rng.choice(["user", "assistant"]), "".join(rng.choices(HOSTILE, k=rng.randint(0, 9)))) for _ in range(rng.randint(1, 6))] for _ in range(600)]
+    table = pq.read_table("/root/testdata/sf0.01/conversations.parquet").to_pandas().sort_values(["conv_id", "turn"])
+    chats += [[(r or "", t or "") for r, t in zip(g["role"], g["text"], strict=True)] for _, g in table.groupby("conv_id")]
+    chats.append([("assistant", queries.PROBE), ("assistant", ""), ("assistant", " \n "), ("user", "x"), ("assistant", "word " * 20000)])
+    for turns in chats:
+        whole, spans = chatmask.render(turns)
+        ids, edges = encoder(whole)
+        raw = whole.encode()
+        assert edges[-1] == len(raw) and encoder.encoding.decode(ids.tolist()) == whole
+        mask = chatmask.loss_mask(edges, [s for s, (r, _) in zip(spans, turns, strict=True) if r == "assistant"])
+        got = [chatmask.unescape(raw[a:b].decode()) for a, b in chatmask.masked_runs(edges, mask)]
+        assert got == [t for r, t in turns if r == "assistant" and t]
+
+
 def test_chat_digests(spark):
     rows = [(1, 1, "assistant", "  hi 🙂\n\n"), (1, 0, "user", "q"), (1, 2, "assistant", "<|endoftext|> \\ x"), (2, 0, "user", None), (None, None, None, "z"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (4, 0, "assistant", "word " * 20000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, mask int")
-    chats = chatmask.format_chats(df, queries.tokenizer_file("byte_bpe_50k.json"))
+    model = queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern()
+    chats = chatmask.format_chats(df, *model)
     got = {r["conv_id"]: r for r in chatmask.digests(chats).collect()}
     loss = "  hi 🙂\n\n<|endoftext|> \\ x"
     turns = "user\nq\nassistant\n  hi 🙂\n\n\nassistant\n<|endoftext|> \\ x\n"
     assert got[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[1]["loss_chars"] == len(loss)
     assert got[1]["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest() and got[1]["n_turns"] == 3
     assert got[2]["loss_chars"] == 0 and got[None]["n_turns"] == 1 and got[3]["n_turns"] == 2 and got[4]["loss_chars"] == 100000
-    assert 0 < got[1]["loss_tokens"] < got[1]["n_tokens"]
+    one = {r["conv_id"]: r for r in chats.collect()}[1]
+    assert len(one["mask"]) == len(one["token_ids"]) and 0 < sum(one["mask"]) < len(one["mask"]) and len(one["loss_spans"]) == 2
+    assert chatmask.digests(chatmask.format_chats(df.limit(0), *model)).count() == 0
 
 
 # ------------------------------------------------------------- pages
