@@ -135,14 +135,6 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(shared_key_edges(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
 
 
-@query()
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that orders join, all of them; the number of rounds depends on the data."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    hub = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("b"))
-    return graph.components(lines.join(hub, "l_orderkey").select(F.col("l_partkey").alias("a"), "b"))
-
-
 @query("""
 with t as (select o_orderkey, year(o_orderdate) - (o_orderkey % 300)::int as lo, year(o_orderdate) as hi from orders),
 x as (select o_orderkey, unnest(range(cast(ceil(lo / 10.0) * 10 as int), hi + 1, 10)) as decade from t)
@@ -169,31 +161,6 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.fill_forward(rows, ["user_id"], ["ts", "event_id"], ["value"]).select("event_id", "value")
 
 
-@query("""
-with s as (select user_id, event_type, ts, lead(ts) over (partition by user_id order by ts, event_id) as until from events)
-select user_id, event_type, ts from s where ts <= (select quantile_disc(ts, 0.5) from events where event_id is not null)
-  and (until is null or until > (select quantile_disc(ts, 0.5) from events where event_id is not null))""")
-def state_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    n = events.count()
-    middle = events.orderBy("ts").offset((n + 1) // 2 - 1).limit(1).select(F.col("ts").alias("at"))
-    segments = temporal.neighbours(events, ["user_id"], ["ts", "event_id"], "ts").select("user_id", "event_type", "ts", F.col("next").alias("until"))
-    at = middle.first()[0]
-    return temporal.time_slice(segments, "ts", "until", F.lit(at).cast("timestamp_ntz")).select("user_id", "event_type", "ts")
-
-
-@query("""
-with t as (select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m') as s, lead(o_orderkey) over w as nxt, lead(strftime(o_orderdate, '%Y-%m')) over w as ns
-           from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))
-select o_orderkey, nxt as next, coalesce(s = ns, false) as shared from t""")
-def midpoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = temporal.neighbours(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    rows = rows.select("o_orderkey", "next", month.alias("text"), dates.decimal_earliest(month).alias("lo"), dates.decimal_latest(month).alias("hi"))
-    out = temporal.split_shared_bounds(rows, "o_orderkey", "next", "text", "text", "lo", "hi")
-    return out.select("o_orderkey", "next", F.col("eff_end").isNotNull().alias("shared"))
-
-
 @query("""
 select strftime(ts, '%Y-%m-%d') as day, event_type as type, count(*) as n,
        count(*) - lag(count(*)) over (partition by event_type order by strftime(ts, '%Y-%m-%d')) as delta,
@@ -293,11 +260,3 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, trim(split_part(text, ',', 1)) as base from documents")
 def base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.base_name(F.col("text")).alias("base"))
-
-
-@query("""
-select p_partkey, p_name || ', ' || p_size || ' - 1200' as title, p_name as name, p_size || ' - 1200' as span from part""")
-def title_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat("p_name", F.lit(", "), F.col("p_size").cast("string"), F.lit(" - 1200"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", title.alias("title")).withColumn("t", text.parse_title("title"))
-    return rows.select("p_partkey", "title", "t.name", "t.span")

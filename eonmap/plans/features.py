@@ -378,9 +378,10 @@ def coverage_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     a partner starts or ends; one task unites what is there in one box at one time.
     """
     own = a.where("lo < hi")
-    mine = tables.materialise(clipped(own.select("id", "lo", "hi", "box", "geom"), 10.0).select("id", "lo", "hi", "cell", "geom"))
-    theirs = tables.materialise(clipped(b.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "box", "geom"), 10.0).select("b", "blo", "bhi", "cell", F.col("geom").alias("other")))
-    pairs = mine.drop("geom").join(theirs.drop("other"), "cell").where("lo < bhi and blo < hi")
+    mine = tables.materialise(clipped(own.select("id", "lo", "hi", "box", "geom"), 10.0).select("id", "lo", "hi", "cell", F.col("box").alias("at"), "geom"))
+    theirs = tables.materialise(clipped(b.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "box", "geom"), 10.0).select("b", "blo", "bhi", "cell", "box", F.col("geom").alias("other")))
+    inside = "at[0] < box[2] and box[0] < at[2] and at[1] < box[3] and box[1] < at[3]"
+    pairs = mine.drop("geom").join(theirs.drop("other"), "cell").where(f"lo < bhi and blo < hi and {inside}")
     pairs = tables.materialise(pairs.select("id", "cell", "b", F.greatest("lo", "blo").alias("blo"), F.least("hi", "bhi").alias("bhi")))
     pieces = temporal.elementary(pairs, ["id", "cell"], "blo", "bhi").select("id", "cell", F.col("lo").alias("plo"), F.col("hi").alias("phi"))
     there = pieces.join(pairs, ["id", "cell"]).where("blo <= plo and phi <= bhi")
