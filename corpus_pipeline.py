@@ -13,36 +13,46 @@ from eonmap.llm.common import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text that no learned language explains, from which it is rejected.
 BACKGROUND = 0.9
+#: Share of a text's characters that repeats earlier documents, from which the rest is no document of its own.
+REPEATED = 0.8
 
 
+# All stages but the last return ``COLUMNS``; other columns of their input go. Rows with null or
+# repeated ids are rows like others; an empty table gives an empty one.
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learned language stay, with the language found; texts without letters, and those
-    that the background explains better than any language, go."""
+    """Texts in a learned language stay, with the language found; null texts, texts without letters, and
+    those that the background explains better than any language, go."""
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.predict(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("background") < BACKGROUND)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from all documents but the first; documents left without text go."""
-    out = linededup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Repeated passages go from all documents but the first. A document of which ``REPEATED`` of the
+    characters or more go is a copy of others, and goes as a whole: the scraps left of it would no
+    longer be like what it was copied from. Null and empty texts stay as they are."""
+    was = F.greatest(F.length("was"), F.lit(1))
+    out = linededup.dedup_lines(docs.select(*COLUMNS, F.col("text").alias("was")))
+    out = out.where((F.col("n_removed") == 0) | ((F.trim("text") != "") & (F.length("text") > (1 - REPEATED) * was)))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the least id."""
+    """One document of each class of near copies stays: the one with the least id, null first; of
+    repeated rows one. Null texts and texts without a word are classes of their own."""
     return omh.one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item of ``benchmark``, as it is or edited, go."""
+    """Documents that hold a test item of ``benchmark``, as it is or edited, go; null texts stay."""
     leaks = decontam.find_leaks(docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
     keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     return keyed.join(leaks.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size in words, copies, taken words, target."""
+    """The documents that the mix takes: doc_id, source, size in words, copies, taken words, target.
+    Sources may be null; repeated rows are taken alike."""
     return mixing.mix(docs).where("copies > 0").select("doc_id", "source", "size", "copies", "taken", "target")
 
 
