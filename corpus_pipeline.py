@@ -31,9 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from all documents but the first. A document of which ``REPEATED`` of the
     characters or more go is a copy of others, and goes as a whole: the scraps left of it would no
     longer be like what it was copied from. Null and empty texts stay as they are."""
-    was = F.greatest(F.length("was"), F.lit(1))
-    out = linededup.dedup_lines(docs.select(*COLUMNS, F.col("text").alias("was")))
-    out = out.where((F.col("n_removed") == 0) | ((F.trim("text") != "") & (F.length("text") > (1 - REPEATED) * was)))
+    out = linededup.dedup_lines(docs.select(*COLUMNS, F.length("text").alias("was")))
+    out = out.where((F.col("n_removed") == 0) | ((F.trim("text") != "") & (F.length("text") > (1 - REPEATED) * F.col("was"))))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
