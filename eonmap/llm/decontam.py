@@ -4,7 +4,8 @@ Word n-grams of the test items that are rare under the corpus's own word frequen
 document that holds a seed is aligned, around it, with the item: the local alignment score over the
 score of a perfect copy says how much of the item stands there, copied, edited or paraphrased. The
 frequencies are counted over all documents, and come from single words, so that an item which leaked
-into very many documents does not make its own n-grams common.
+into very many documents does not make its own n-grams common. An item too short for an n-gram is
+found where its words stand in order.
 
 The items stand in the memory of every worker, a block of bounded size at a time.
 """
@@ -43,6 +44,7 @@ class Items:
     ids: list
     words: list[np.ndarray]
     vocabulary: dict[str, int]
+    has_short: bool = False
 
 
 @dataclass
@@ -63,7 +65,7 @@ def numbers(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
 def number(items: list[tuple]) -> Items:
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall((t or "").lower())], np.int64) for _, t in items]
-    return Items([i for i, _ in items], words, vocabulary)
+    return Items([i for i, _ in items], words, vocabulary, any(0 < len(w) < N for w in words))
 
 
 def codes_of(words: np.ndarray, v: int) -> np.ndarray:
@@ -102,8 +104,25 @@ def choose_seeds(items: Items, counts: np.ndarray, bits: float = BITS, least: in
     return Seeds(codes, np.r_[first, len(order)], item[order], place[order])
 
 
+def short_places(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(item, start, end): where the words of each item of fewer than ``N`` words first stand."""
+    out = []
+    for i, w in enumerate(items.words):
+        if 0 < len(w) < N <= len(words) + N - len(w):
+            hit = np.all([words[k:len(words) - len(w) + 1 + k] == x for k, x in enumerate(w)], axis=0)
+            if hit.any():
+                out.append((i, int(hit.argmax()), int(hit.argmax()) + len(w)))
+    return out
+
+
 def windows(words: np.ndarray, seeds: Seeds, items: Items) -> list[tuple[int, int, int]]:
     """(item, start, end): where seeds of an item stand, with room for its other words."""
+    if items.has_short:
+        return short_places(words, items) + seed_windows(words, seeds, items)
+    return seed_windows(words, seeds, items)
+
+
+def seed_windows(words: np.ndarray, seeds: Seeds, items: Items) -> list[tuple[int, int, int]]:
     code = codes_of(words, len(items.vocabulary) + 1)
     at = np.flatnonzero(code >= 0)
     if not len(at) or not len(seeds.codes):
@@ -174,8 +193,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, score, start_word, end_word: a row for each document and item that it holds.
 
     score: the best local alignment over that of a perfect copy, from ``threshold`` to 1. Null texts
-    have no words; null ids are passed on; items of fewer than three words have no seed and are not
-    found. Repeated items count once, repeated documents give repeated results. An empty table on
+    have no words; null ids are passed on; items of fewer than three words are found word for word,
+    items without a word never. Repeated items count once, repeated documents give repeated results. An empty table on
     either side gives no rows; other columns are not read.
     """
     spark = docs.sparkSession

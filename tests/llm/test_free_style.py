@@ -196,6 +196,14 @@ def test_alignment_against_full_table():
         assert decontam.align(item, [text, text[:1]])[0][0] == h.max()
 
 
+def test_items_shorter_than_a_seed():
+    items = decontam.number([(1, "zebra"), (2, "Blue whale"), (3, ""), (4, "one two three four five six")])
+    seeds = decontam.choose_seeds(items, np.zeros(len(items.vocabulary) + 1, np.int64))
+    texts = ["a zebra, a ZEBRA", "the blue whale", "whale blue", "blue", None, "", "zebra", "x one two three four five six zebra"]
+    got = {(t, i) for t, i, score, _, _ in decontam.score_texts(texts, items, seeds, 0.5)}
+    assert got == {(0, 0), (1, 1), (6, 0), (7, 0), (7, 3)}
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8)))
