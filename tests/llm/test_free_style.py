@@ -335,17 +335,21 @@ def test_hot_group_is_one_class(spark):
 
 
 def test_near_copies_behind_a_shared_passage(spark):
+    """Of pairs whose documents all share a passage of 60 words, hardly one is missed, whatever the share of their own words."""
     rng = random.Random(30)
     word = lambda: "".join(rng.choices("abcdefghijklm", k=4))
     passage, texts = [word() for _ in range(60)], []
-    for _ in range(60):
-        base = [word() for _ in range(30)]
-        copy = list(base)
-        for i in rng.sample(range(30), 9):
-            copy[i] = word()
-        texts += [passage + base, passage + copy]
+    for own in (30, 60, 120):
+        for _ in range(60):
+            base = [word() for _ in range(own)]
+            copy = list(base)
+            for i in rng.sample(range(own), own // 5):
+                copy[i] = word()
+            texts += [passage + base, passage + copy]
     got = omh.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
-    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i - i % 2 for i in range(120)}
+    found = {r["doc_id"]: r["class_id"] for r in got.collect()}
+    assert all(found[i] in (i, i - 1) for i in found)
+    assert all(sum(found[i] == i - 1 for i in range(at + 1, at + 120, 2)) >= 58 for at in (0, 120, 240))
 
 
 def test_texts_alike_share_a_rare_word():
