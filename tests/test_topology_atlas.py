@@ -111,7 +111,11 @@ def test_config_and_stream(spark, tmp_path):
     for day, n in (("2026-01-01", 3), ("2026-01-02", 4)):
         (tmp_path / "daily" / day).mkdir(parents=True)
         (tmp_path / "daily" / day / "x.summary.csv").write_text(f"type,count\nways,{n}\n")
+    follow = lambda: metrics.follow(metrics.read_daily(spark, f"{tmp_path}/daily"), f"{tmp_path}/history", f"{tmp_path}/checkpoint").awaitTermination(120)
     for _ in range(2):
-        metrics.follow(metrics.read_daily(spark, f"{tmp_path}/daily"), f"{tmp_path}/history", f"{tmp_path}/checkpoint").awaitTermination(120)
-    rows = spark.read.parquet(f"{tmp_path}/history").orderBy("date").select(F.col("date").cast("string"), "count").collect()
-    assert [tuple(r) for r in rows] == [("2026-01-01", 3.0), ("2026-01-02", 4.0)]
+        follow()
+    # a second file of a day that is stored already, in a later batch
+    (tmp_path / "daily" / "2026-01-02" / "y.summary.csv").write_text("type,count\nnodes,9\n")
+    follow()
+    rows = spark.read.parquet(f"{tmp_path}/history").orderBy("date", "type").select(F.col("date").cast("string"), "type", "count").collect()
+    assert [tuple(r) for r in rows] == [("2026-01-01", "ways", 3.0), ("2026-01-02", "nodes", 9.0), ("2026-01-02", "ways", 4.0)]
