@@ -97,8 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken alike. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     rows = materialise(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        hash48(F.col(id_col), F.col(text_col)).alias("hash"), size_of(F.col(text_col)).alias("size")))
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
+        hash48(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("hash"), size_of(F.col(f"`{text_col}`")).alias("size")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = materialise(targets(totals, weights, share, most))
     rule = thresholds(rows.select("source", "hash", "size"), goal)
