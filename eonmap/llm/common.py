@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the session ends."""
+    path = f"{shared_dir(spark)}/eonmap-{name}-{uuid.uuid4().hex}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
