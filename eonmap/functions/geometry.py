@@ -256,164 +256,12 @@ def simplify_ring(points: np.ndarray, tolerance: float, least: int = 2) -> list[
     return [*kept, n if kept[0] == 0 else kept[0]] if closed else kept
 
 
-# ------------------------------------------------------------- validity and overlay
-def _edges(geom: Geometry) -> tuple[np.ndarray, np.ndarray]:
-    """Directed edges (n, 2, 2) with the inside on the left, and the ring number of each."""
-    out, number, k = [], [], 0
-    for rings in geom:
-        for i, r in enumerate(rings):
-            if len(r) >= 3:
-                r = r if (signed_area2(r) >= 0) == (i == 0) else r[::-1]
-                out.append(np.stack([r, np.roll(r, -1, axis=0)], axis=1))
-                number.append(np.full(len(r), k))
-            k += 1
-    if not out:
-        return np.zeros((0, 2, 2)), np.zeros(0, int)
-    return np.concatenate(out), np.concatenate(number)
-
-
-def _cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-
-
-def crossings(a: np.ndarray, b: np.ndarray, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of edges that cross properly, and the places where they do."""
-    ii, jj, pp = [], [], []
-    rows = max(1, block // max(1, len(b)))
-    for s in range(0, len(a), rows):
-        p, q = a[s:s + rows, None, 0], a[s:s + rows, None, 1]
-        u, v = b[None, :, 0], b[None, :, 1]
-        d1, d2 = _cross(q - p, u - p), _cross(q - p, v - p)
-        d3, d4 = _cross(v - u, p - u), _cross(v - u, q - u)
-        i, j = np.nonzero((d1 * d2 < 0) & (d3 * d4 < 0))
-        t = (d3[i, j] / (d3[i, j] - d4[i, j]))[:, None]
-        ii.append(i + s)
-        jj.append(j)
-        pp.append(a[i + s, 0] + t * (a[i + s, 1] - a[i + s, 0]))
-    if not ii:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 2))
-    return np.concatenate(ii), np.concatenate(jj), np.concatenate(pp)
-
-
-def why_invalid(geom: Geometry) -> str | None:
-    """The first fault found: a ring that crosses or touches itself, rings that cross, nested shells; null if valid."""
-    for rings in geom:
-        for r in rings:
-            if len(np.unique(r, axis=0)) < 3:
-                return "Too few points in geometry component"
-    edges, number = _edges(geom)
-    i, j, _ = crossings(edges, edges)
-    if len(i):
-        return "Self-intersection"
-    for rings in geom:
-        for r in rings:
-            if len(np.unique(r, axis=0)) < len(r):
-                return "Ring Self-intersection"
-    shells = [rings[0] for rings in geom if rings]
-    for x, a in enumerate(shells):
-        for y, b in enumerate(shells):
-            if x != y and point_in_ring(a.mean(axis=0) if point_in_ring(a.mean(axis=0), a) else a[0], b) and all(point_in_ring(p, b) for p in a[:8]):
-                if not any(point_in_ring(a[0], h) for h in geom[y][1:]):
-                    return "Nested shells"
-    return None
-
-
-def _inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Even-odd rule for many points."""
-    out = np.zeros(len(points), bool)
-    for s in range(0, len(points), 4096):
-        p = points[s:s + 4096, None]
-        a, b = edges[None, :, 0], edges[None, :, 1]
-        span = (a[..., 1] > p[..., 1]) != (b[..., 1] > p[..., 1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = a[..., 0] + (p[..., 1] - a[..., 1]) * (b[..., 0] - a[..., 0]) / (b[..., 1] - a[..., 1])
-        out[s:s + 4096] = (span & (p[..., 0] < x)).sum(axis=1) % 2 == 1
-    return out
-
-
-def _split(edges: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Edges cut wherever an edge of ``others`` crosses or touches them."""
-    cuts: dict[int, list[np.ndarray]] = defaultdict(list)
-    i, _, p = crossings(edges, others)
-    for k, q in zip(i.tolist(), p, strict=True):
-        cuts[k].append(q)
-    ends = np.unique(others.reshape(-1, 2), axis=0)
-    for s in range(0, len(edges), 2048):
-        a, b = edges[s:s + 2048, None, 0], edges[s:s + 2048, None, 1]
-        d = b - a
-        length = (d * d).sum(-1)
-        t = ((ends[None] - a) * d).sum(-1) / np.where(length > 0, length, 1)
-        off = np.abs(_cross(d, ends[None] - a)) / np.sqrt(np.where(length > 0, length, 1))
-        k, e = np.nonzero((t > 1e-9) & (t < 1 - 1e-9) & (off < 1e-9))
-        for x, y in zip((k + s).tolist(), e.tolist(), strict=True):
-            cuts[x].append(ends[y])
-    out = []
-    for k, e in enumerate(edges):
-        if k in cuts:
-            d = e[1] - e[0]
-            along = sorted(cuts[k], key=lambda q: float((q - e[0]) @ d))
-            points = [e[0], *along, e[1]]
-            out += [(x, y) for x, y in zip(points, points[1:], strict=False) if np.any(x != y)]
-        else:
-            out.append((e[0], e[1]))
-    return np.array(out).reshape(-1, 2, 2)
+def crosses(p: Sequence[float], q: Sequence[float], u: Sequence[float], v: Sequence[float]) -> bool:
+    """Whether two edges cross properly: each has the other's ends on different sides."""
+    def side(a: Sequence[float], b: Sequence[float], c: Sequence[float]) -> float:
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
-
-def _half_sum(edges: np.ndarray) -> float:
-    """Area in km² that directed edges enclose, on the equal-area plane."""
-    if not len(edges):
-        return 0.0
-    a, b = equal_area(edges[:, 0]), equal_area(edges[:, 1])
-    return float(_cross(a, b).sum()) / 2e6
-
-
-def overlay_km2(a: Geometry, b: Geometry) -> tuple[float, float, float]:
-    """Areas of the intersection, the union and a less b.
-
-    Edges are cut where the two meet. A piece whose left and right side differ in a set belongs to
-    that set's boundary: its sides are tested a little off its middle, so that shared borders, which
-    neighbours have in common, count once and by their direction.
-    """
-    ea, eb = _edges(a)[0], _edges(b)[0]
-    if not len(ea) or not len(eb):
-        whole = _half_sum(ea)
-        return 0.0, whole + _half_sum(eb), whole
-    pieces = np.concatenate([_split(ea, eb), _split(eb, ea)])
-    low = np.where((pieces[:, 0, 0] < pieces[:, 1, 0]) | ((pieces[:, 0, 0] == pieces[:, 1, 0]) & (pieces[:, 0, 1] < pieces[:, 1, 1])), 0, 1)
-    pick = np.arange(len(pieces))
-    pieces = np.unique(np.round(np.stack([pieces[pick, low], pieces[pick, 1 - low]], axis=1), 11), axis=0)
-    d = pieces[:, 1] - pieces[:, 0]
-    length = np.sqrt((d * d).sum(-1, keepdims=True))
-    off = np.stack([-d[:, 1], d[:, 0]], axis=1) / np.where(length > 0, length, 1) * np.minimum(1e-7, length / 100)
-    middle = pieces.mean(axis=1)
-    la, ra, lb, rb = _inside(middle + off, ea), _inside(middle - off, ea), _inside(middle + off, eb), _inside(middle - off, eb)
-
-    def area(left: np.ndarray, right: np.ndarray) -> float:
-        return _half_sum(pieces[left & ~right]) - _half_sum(pieces[right & ~left])
-
-    return area(la & lb, ra & rb), area(la | lb, ra | rb), area(la & ~lb, ra & ~rb)
-
-
-def union_km2(geoms: Sequence[Geometry]) -> float:
-    """Area of the union of many geometries: edges are cut against all others, and each piece that
-    has a covered and an uncovered side counts once."""
-    sets = [e for e in (_edges(g)[0] for g in geoms) if len(e)]
-    if not sets:
-        return 0.0
-    everything = np.concatenate(sets)
-    pieces = _split(everything, everything)
-    low = np.where((pieces[:, 0, 0] < pieces[:, 1, 0]) | ((pieces[:, 0, 0] == pieces[:, 1, 0]) & (pieces[:, 0, 1] < pieces[:, 1, 1])), 0, 1)
-    pick = np.arange(len(pieces))
-    pieces = np.unique(np.round(np.stack([pieces[pick, low], pieces[pick, 1 - low]], axis=1), 11), axis=0)
-    d = pieces[:, 1] - pieces[:, 0]
-    length = np.sqrt((d * d).sum(-1, keepdims=True))
-    off = np.stack([-d[:, 1], d[:, 0]], axis=1) / np.where(length > 0, length, 1) * np.minimum(1e-7, length / 100)
-    middle = pieces.mean(axis=1)
-    left, right = np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)
-    for e in sets:
-        left |= _inside(middle + off, e)
-        right |= _inside(middle - off, e)
-    return _half_sum(pieces[left & ~right]) - _half_sum(pieces[right & ~left])
+    return side(p, q, u) * side(p, q, v) < 0 and side(u, v, p) * side(u, v, q) < 0
 
 
 # ------------------------------------------------------------- atlas projection
@@ -549,7 +397,7 @@ def clip_convex(ring: Ring, window: Ring) -> Ring:
     for p, q in zip(window, np.roll(window, -1, axis=0), strict=True):
         if not len(out):
             break
-        side = _cross(q - p, out - p)
+        side = (q - p)[0] * (out - p)[:, 1] - (q - p)[1] * (out - p)[:, 0]
         nxt, s2 = np.roll(out, -1, axis=0), np.roll(side, -1)
         made = []
         for a, b, sa, sb in zip(out, nxt, side, s2, strict=True):

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eonmap.functions import dates, geometry, text
+from eonmap.functions import arrangement, dates, geometry, text
 from eonmap.operators import temporal, topology
-from eonmap.plans.features import GEOM, cells, from_geom, meeting, to_geom, with_computed
+from eonmap.plans.features import ARROW_GEOM, GEOM, cells, combined, dissolved, from_geom, measured, meeting, to_geom, with_computed
 from eonmap.sources import tables
 
 VALUES = ["fill", "d", "title", "layer"]
@@ -59,31 +59,22 @@ def project(rows: DataFrame, mesh: geometry.Mesh | None = None) -> DataFrame:
 
 
 def clip_to(rows: DataFrame, land: DataFrame) -> DataFrame:
-    """Replaces geom by its parts inside land boxes (name, box with straight sides, as columns x0, y0, x1, y1).
+    """Replaces geom by its polygons inside ``land`` (column geom, any polygons); empty where none is.
 
-    Polygons and windows meet on grid cells, so that there may be any number of windows; a concave
-    coast is given as several.
+    Faulty rows count by the even-odd rule, faulty land by its valid parts. Rows and land polygons meet on grid cells
+    and are cut pair by pair; a row's parts are then united, so that borders between land polygons
+    leave no seam. Lines and points of contact are no part of the result.
     """
     own = tables.materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
-    flat = lambda axis: F.flatten(F.transform("polygon", lambda ring: F.transform(ring, lambda p: p[axis])))
-    polygons = own.select("__row", F.posexplode("geom").alias("pos", "polygon"))
-    polygons = polygons.withColumn("box", F.array(F.array_min(flat("x")), F.array_min(flat("y")), F.array_max(flat("x")), F.array_max(flat("y")))).withColumnRenamed("polygon", "geom")
-    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    windows = land.select(*sides).withColumn("box", F.array(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1")))
-    pairs = meeting(polygons, windows, [], ["__row", "pos"], []).select("a___row", "a_pos", F.col("a_geom").alias("a_polygon"), "b_x0", "b_y0", "b_x1", "b_y1")
-
-    def cut(columns: list[list]) -> list[list]:
-        out = []
-        for polygon, x0, y0, x1, y1 in zip(*columns, strict=True):
-            w = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
-            parts = [p for r in to_geom([polygon])[0] if len(p := geometry.clip_convex(r if geometry.signed_area2(r) > 0 else r[::-1], w)) >= 3]
-            out.append(from_geom([parts] if parts else []))
-        return [out]
-
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    made = with_computed(pairs, ["a_polygon", "b_x0", "b_y0", "b_x1", "b_y1"], cut, [("parts", GEOM, pa.list_(pa.list_(pa.list_(point))))], ["a_polygon"])
-    made = made.groupBy(F.col("a___row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("a_pos", "b_x0", "b_y0", "b_x1", "b_y1", "parts"))).alias("cuts"))
-    made = made.select("__row", F.flatten(F.col("cuts.parts")).alias("clipped"))
+
+    def sound(columns: list[list]) -> list[list]:
+        return [[g if arrangement.why_invalid(v := to_geom(g)) is None else from_geom(arrangement.repair(v, odd=True)) for g in columns[0]]]
+
+    left = measured(with_computed(own.select("__row", "geom"), ["geom"], sound, [("geom", GEOM, ARROW_GEOM)])).where("box is not null")
+    single = land.select(F.posexplode("geom").alias("pos", "polygon")).select(F.monotonically_increasing_id().alias("land"), F.array("polygon").alias("geom"))
+    pairs = meeting(left.select("__row", "box", "geom"), tables.materialise(measured(single, repair=True).where("box is not null").select("land", "box", "geom")), [], ["__row"], ["land"])
+    parts = combined(pairs.select(F.col("a___row").alias("__row"), "a_geom", "b_geom"), "intersection").where(F.size("geom") > 0)
+    made = dissolved(parts.select("__row", "geom"), ["__row"]).withColumnRenamed("geom", "clipped")
     geom = F.coalesce("clipped", F.array().cast(GEOM)).alias("geom")
     return own.join(made, "__row", "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != "geom"], geom)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eonmap.functions import codecs, dates, edtf, geometry, text
+from eonmap.functions import arrangement, codecs, dates, edtf, geometry, text
 from eonmap.operators import graph, numbering, relational, temporal
 from eonmap.sources import tables
 
@@ -102,15 +102,27 @@ def areas(relations: DataFrame, way_pts: DataFrame, ways: DataFrame) -> DataFram
     return closed.unionByName(some.select("id", "tags").join(drawn.select("id", "geom"), "id").select(F.lit("r").alias("ftype"), "id", "tags", "geom"))
 
 
-def measured(rows: DataFrame) -> DataFrame:
-    """Adds km2, fault (null if valid) and the bounding box of ``geom``."""
+POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+ARROW_GEOM = pa.list_(pa.list_(pa.list_(POINT)))
+
+
+def measured(rows: DataFrame, repair: bool = False) -> DataFrame:
+    """Adds km2, fault (null if valid) and the bounding box of ``geom``.
+
+    repair: faulty geometries are replaced by their valid parts (``arrangement.repair``) before they are measured.
+    """
     def measure(columns: list[list]) -> list[list]:
         geoms = [to_geom(g) for g in columns[0]]
+        faults = [arrangement.why_invalid(g) for g in geoms]
+        if repair:
+            geoms = [g if f is None else arrangement.repair(g) for g, f in zip(geoms, faults, strict=True)]
         corners = [np.concatenate([r for p in g for r in p]) if g else None for g in geoms]
         boxes = [None if c is None else [*c.min(axis=0).tolist(), *c.max(axis=0).tolist()] for c in corners]
-        return [[geometry.area_km2(g) for g in geoms], [geometry.why_invalid(g) for g in geoms], boxes]
+        drawn = [g if f is None else from_geom(v) for g, v, f in zip(columns[0], geoms, faults, strict=True)]
+        return [[geometry.area_km2(g) for g in geoms], faults, boxes, *([drawn] if repair else [])]
 
-    return with_computed(rows, ["geom"], measure, [("km2", "double", pa.float64()), ("fault", "string", pa.string()), ("box", "array<double>", pa.list_(pa.float64()))])
+    new = [("km2", "double", pa.float64()), ("fault", "string", pa.string()), ("box", "array<double>", pa.list_(pa.float64()))]
+    return with_computed(rows, ["geom"], measure, [*new, ("geom", GEOM, ARROW_GEOM)] if repair else new)
 
 
 def cells(box: Column, degrees: float) -> Column:
@@ -145,12 +157,38 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str]
 
 
 def overlaid(pairs: DataFrame) -> DataFrame:
-    """Adds shared_km2 and rest_km2 (a less b) to pairs with a_geom and b_geom, which go."""
+    """Adds shared_km2, rest_km2 (a less b) and rung to pairs with a_geom and b_geom, which go.
+
+    rung counts how many finer grids failed before the pair came through; where all did, nothing is shared.
+    """
     def areas(columns: list[list]) -> list[list]:
-        got = [geometry.overlay_km2(to_geom(x), to_geom(y)) for x, y in zip(*columns, strict=True)]
-        return [[g[0] for g in got], [g[2] for g in got]]
+        got = [arrangement.overlay_km2(to_geom(x), to_geom(y)) for x, y in zip(*columns, strict=True)]
+        return [[g[0] for g in got], [g[2] for g in got], [g[3] for g in got]]
 
-    return with_computed(pairs, ["a_geom", "b_geom"], areas, [("shared_km2", "double", pa.float64()), ("rest_km2", "double", pa.float64())], ["a_geom", "b_geom"])
+    return with_computed(pairs, ["a_geom", "b_geom"], areas, [("shared_km2", "double", pa.float64()), ("rest_km2", "double", pa.float64()), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
+
+
+def combined(pairs: DataFrame, how: str) -> DataFrame:
+    """Adds geom and rung to pairs with a_geom and b_geom, which go: their intersection, union, difference or
+    symmetric difference as polygons; empty where only lines or points are left."""
+    def draw(columns: list[list]) -> list[list]:
+        got = [arrangement.combine(to_geom(x), to_geom(y), how) for x, y in zip(*columns, strict=True)]
+        return [[from_geom(g) for g, _ in got], [rung for _, rung in got]]
+
+    return with_computed(pairs, ["a_geom", "b_geom"], draw, [("geom", GEOM, ARROW_GEOM), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
+
+
+def dissolved(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, geom: the union of the geometries of each key, without the borders between them.
+
+    Parts that stand alone are not drawn again.
+    """
+    together = parts.groupBy(*keys).agg(F.collect_list("geom").alias("geoms"))
+
+    def unite(columns: list[list]) -> list[list]:
+        return [[g[0] if len(g) == 1 else from_geom(arrangement.union([to_geom(x) for x in g])) for g in columns[0]]]
+
+    return with_computed(together, ["geoms"], unite, [("geom", GEOM, ARROW_GEOM)], ["geoms"])
 
 
 # ------------------------------------------------------------- quality
@@ -301,7 +339,7 @@ def coverage_rows(areas: DataFrame, snapshot: str) -> DataFrame:
     rows = areas.where(F.col("tags")["admin_level"].isin(*COVERAGE_LEVELS)).select(
         "ftype", "id", F.col("tags")["admin_level"].alias("level"), relational.display_name(F.col("tags")).alias("name"), tag("start_date").alias("start"), tag("end_date").alias("end"),
         dates.fractional_year(s).alias("lo"), dates.fractional_year(e).alias("hi"), "geom")
-    return measured(rows.where("lo is not null"))
+    return measured(rows.where("lo is not null"), repair=True)
 
 
 def earth_years(rows: DataFrame) -> DataFrame:
@@ -343,11 +381,11 @@ def decade_coverage(areas: DataFrame) -> DataFrame:
     s, e = dates.lenient_year(tag("start_date")), dates.lenient_year(tag("end_date"))
     rows = areas.where(F.col("tags")["admin_level"].isin(*DECADE_LEVELS)).dropDuplicates(["ftype", "id"]).select(
         F.col("tags")["admin_level"].alias("level"), "id", "geom", dates.patched_start(s, s, e).alias("s"), e.alias("e"))
-    pieces = clipped(measured(rows).where("box is not null"), 10.0)
+    pieces = clipped(measured(rows, repair=True).where("box is not null"), 10.0)
     pieces = temporal.expand_decades(pieces, F.col("s"), F.col("e"))
 
     def unite(b: pa.Table) -> pa.Table:
-        km2 = geometry.union_km2([to_geom(g) for g in b.column("geom").to_pylist()])
+        km2 = arrangement.union_km2([to_geom(g) for g in b.column("geom").to_pylist()])
         return pa.table({"level": b.column("level")[:1], "decade": b.column("decade")[:1].cast(pa.int64()), "km2": [km2]})
 
     one = pieces.select("level", "decade", "cell", "geom").groupBy("level", "decade", "cell").applyInArrow(unite, "level string, decade bigint, km2 double")
@@ -365,8 +403,7 @@ def clipped(rows: DataFrame, degrees: float) -> DataFrame:
             out.append(from_geom([[r for r in rings if len(r) >= 3] for rings in part if len(rings[0]) >= 3]))
         return [out]
 
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    some = with_computed(rows.withColumn("cell", F.explode(cells(F.col("box"), degrees))), ["cell", "geom"], cut, [("geom", GEOM, pa.list_(pa.list_(pa.list_(point))))])
+    some = with_computed(rows.withColumn("cell", F.explode(cells(F.col("box"), degrees))), ["cell", "geom"], cut, [("geom", GEOM, ARROW_GEOM)])
     return some.where(F.size("geom") > 0)
 
 
@@ -390,9 +427,8 @@ def coverage_gap(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def covered(t: pa.Table) -> pa.Table:
         geoms = [(is_own, to_geom(g)) for is_own, g in zip(t.column("own").to_pylist(), t.column("geom").to_pylist(), strict=True)]
-        now = [g for is_own, g in geoms if not is_own]
-        whole = [g for is_own, g in geoms if is_own]
-        km2 = geometry.union_km2(whole) + geometry.union_km2(now) - geometry.union_km2(whole + now)
+        both = [[polygon for own, g in geoms if own == side for polygon in g] for side in (True, False)]
+        km2 = arrangement.overlay_km2(*both)[0]
         return pa.table({"id": t.column("id")[:1], "covered": [(t.column("phi")[0].as_py() - t.column("plo")[0].as_py()) * max(0.0, km2) / geometry.LAND_KM2]})
 
     kind = a.schema["id"].dataType.simpleString()
@@ -410,11 +446,29 @@ def gap_by_chronology(gap: DataFrame) -> DataFrame:
     return out.withColumn("pct", F.when(F.col("earth_years") > 0, F.round(100 * F.col("uncovered") / F.col("earth_years"), 1))).orderBy(F.desc("uncovered"))
 
 
-def region_era(rows: DataFrame, regions: DataFrame, eras: DataFrame) -> DataFrame:
-    """region, era (its start), earth_years. rows have ids of their own; regions: name (once each), geom, box; eras: start, end; both are short lists."""
-    pairs = meeting(rows.select("id", "lo", "hi", "box", "geom"), regions.select("name", "box", "geom"), [], ["id"], ["name"], degrees=10.0)
-    inside = overlaid(pairs.select(F.col("b_name").alias("region"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), "a_geom", "b_geom"))
-    timed = temporal.range_join(inside, eras, "lo", "hi", "start", "end")
+def in_cells(rows: DataFrame, degrees: float) -> DataFrame:
+    """``clipped`` with part_km2, the area of the piece, and full: whether it covers its whole cell."""
+    def measure(columns: list[list]) -> list[list]:
+        km2 = [geometry.area_km2(to_geom(g)) for g in columns[0]]
+        whole = [geometry.area_km2([[np.array([(x, y), (x + degrees, y), (x + degrees, y + degrees), (x, y + degrees)])]]) for x, y in ((c["cx"] * degrees, c["cy"] * degrees) for c in columns[1])]
+        return [km2, [k >= w * (1 - 1e-12) for k, w in zip(km2, whole, strict=True)]]
+
+    return with_computed(clipped(rows, degrees), ["geom", "cell"], measure, [("part_km2", "double", pa.float64()), ("full", "boolean", pa.bool_())])
+
+
+def region_era(rows: DataFrame, regions: DataFrame, eras: DataFrame, degrees: float = 10.0) -> DataFrame:
+    """region, era (its start), earth_years. rows have ids of their own; regions: name (once each), geom, box; eras: start, end; both are short lists.
+
+    Rows and regions are cut into cells once and meet cell by cell. Where a region fills its cell, a row's
+    piece counts as it is; only pieces on a region's border are overlaid.
+    """
+    own = in_cells(rows.select("id", "lo", "hi", "box", "geom"), degrees).where("part_km2 > 0").drop("box", "full")
+    borders = tables.materialise(in_cells(measured(regions.select("name", "geom"), repair=True).where("box is not null"), degrees).where("part_km2 > 0"))
+    own = tables.materialise(own)
+    whole = own.join(borders.where("full").select("cell", F.col("name").alias("region")), "cell").select("region", "lo", "hi", F.col("part_km2").alias("shared_km2"))
+    cut = own.withColumnRenamed("geom", "a_geom").join(borders.where("not full").select("cell", F.col("name").alias("region"), F.col("geom").alias("b_geom")), "cell")
+    inside = whole.unionByName(overlaid(cut.select("region", "lo", "hi", "a_geom", "b_geom")).select("region", "lo", "hi", "shared_km2"))
+    timed = temporal.range_join(inside, eras, "lo", "hi", "start", "end").where("shared_km2 > 0")
     return timed.groupBy("region", F.col("start").alias("era")).agg((F.sum(F.col("shared") * F.col("shared_km2")) / geometry.LAND_KM2).alias("earth_years"))
 
 
@@ -463,7 +517,7 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     copies = rows.select("id", *key).join(kept, key).where("id <> keeper").select("id", F.col("keeper").alias("into"))
     rows = rows.join(kept.select(F.col("keeper").alias("id")), "id", "left_semi")
     rows = tables.materialise(rows.withColumn("r", dates.date_range(F.col("s"), F.col("e"))).withColumn("lo", dates.date_key(F.col("r")["start"])).withColumn("hi", dates.date_key(F.col("r")["end"])))
-    shapes = measured(relation_geometry(rows, way_pts)).where("km2 > 0").select("id", "km2", "geom").join(rows.select("id", "lo", "hi"), "id")
+    shapes = measured(relation_geometry(rows, way_pts), repair=True).where("km2 > 0").select("id", "km2", "geom").join(rows.select("id", "lo", "hi"), "id")
     placed = rows.select("id", F.posexplode("order").alias("pos", "way"))
     seen = placed.groupBy("way").agg(F.min(F.struct("id", "pos")).alias("first"))
     near = numbering.key_pairs(placed, "way", "id").join(seen, "way").groupBy("a", "b").agg(F.min("first").alias("first"))
