@@ -36,10 +36,10 @@ from eonmap.llm.common import materialise, slices
 MAGIC = b"EONTOK01"
 #: Ids in a shard (one document at least), and texts, as characters, that a worker encodes at once.
 SHARD_IDS, CHARS = 32_000_000, 4_000_000
-#: The dictionary: its bytes, the documents it is trained on (least hashes first), and ids taken of each.
+#: The dictionary: its bytes, about how many documents it is trained on, and ids taken of each.
 DICTIONARY, SAMPLE, SAMPLE_IDS = 65_536, 2_000, 2_048
-#: Words, and parts of words, whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words, and parts of words, whose ids a worker remembers; parts, which the library is asked for, are kept longer.
+WORDS_KEPT, PARTS_KEPT = 300_000, 700_000
 LATIN = "a-zß-öø-ÿ"
 #: Words of which every character is known to the next pattern; an apostrophe may start a contraction.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -100,8 +100,8 @@ class Encoder:
         for i, ids in zip(special, self._whole([texts[i] for i in special]), strict=True):
             out[i] = ids
         split = [[] if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        for known in (self.words, self.parts):
-            if len(known) > REMEMBERED:
+        for known, most in ((self.words, WORDS_KEPT), (self.parts, PARTS_KEPT)):
+            if len(known) > most:
                 known.clear()
         self._learn(set().union(*split).difference(self.words))
         for i, words in enumerate(split):
@@ -117,6 +117,9 @@ CUTTING = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
+ENCODERS: dict[tuple[int, str], Encoder] = {}
+
+
 class Plan(NamedTuple):
     """What all tasks share: vocabulary, id after each document, type of an id, dictionary."""
 
@@ -126,8 +129,9 @@ class Plan(NamedTuple):
     dictionary: bytes
 
     def encoder(self) -> Callable[[list[str | None]], list[bytes]]:
-        width = np.dtype(self.width)
-        encoder, end = Encoder(self.vocabulary, width), np.array([self.end_id], width).tobytes()
+        """Packed ids of texts. A worker that is used again keeps what it has learned."""
+        width, key = np.dtype(self.width), (hash(self.vocabulary), self.width)
+        encoder, end = ENCODERS.get(key) or ENCODERS.setdefault(key, Encoder(self.vocabulary, width)), np.array([self.end_id], width).tobytes()
         return lambda texts: [ids + end for ids in encoder.encode([t or "" for t in texts])]
 
 
@@ -146,11 +150,14 @@ def encoded(batches: Iterator[pa.RecordBatch], encode: Callable[[list[str | None
 
 
 def train_dictionary(docs: DataFrame, plan: Plan, size: int = DICTIONARY, sample: int = SAMPLE) -> bytes:
-    """A dictionary trained on id arrays of the ``sample`` documents of least hash, ``SAMPLE_IDS`` ids of each.
+    """A dictionary trained on id arrays of about ``sample`` documents, ``SAMPLE_IDS`` ids of each, chosen by hash.
 
     Only how well frames compress depends on it. Too few or too small documents give an empty one.
     """
-    some = docs.select("doc_id", "text").where("length(text) > 0").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    n = docs.count()
+    share = F.lit(min(1.0, sample / max(n, 1)))
+    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1_000_000_007)) < share * 1_000_000_007
+    some = docs.where(chosen & (F.length("text") > 0)).select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * sample)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     step = np.dtype(plan.width).itemsize
 
