@@ -14,12 +14,13 @@ footer: a short document is read by its index row alone, and costs no neighbour'
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -35,23 +36,23 @@ from eonmap.llm.common import materialise, slices
 
 MAGIC = b"EONTOK01"
 #: Ids in a shard (one document at least), and texts, as characters, that a worker encodes at once.
-SHARD_IDS, CHARS = 32_000_000, 4_000_000
+SHARD_IDS, CHARS = 32_000_000, 2_000_000
 #: The dictionary: its bytes, about how many documents it is trained on, and ids taken of each.
 DICTIONARY, SAMPLE, SAMPLE_IDS = 65_536, 2_000, 2_048
-#: Words, and parts of words, whose ids a worker remembers; parts, which the library is asked for, are kept longer.
-WORDS_KEPT, PARTS_KEPT = 300_000, 700_000
-LATIN = "a-zß-öø-ÿ"
-#: Words of which every character is known to the next pattern; an apostrophe may start a contraction.
-PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-#: The parts that the vocabulary's own pattern cuts such a word into, once it is lowered.
-PARTS = re.compile(rf"[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
+#: Parts of texts whose ids a worker remembers.
+REMEMBERED = 800_000
+#: Letters, and characters that the pattern below cuts as the vocabulary's own does.
+LATIN, KNOWN = "a-zß-öø-ÿ", r"\t-\r -~À-ÖØ-öø-ÿ"
+UNKNOWN = re.compile(f"[^{KNOWN}]")
+#: The vocabulary's pattern over these characters, once they are lowered (contractions are its fixed values).
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct part of a word once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct part once.
 
     The vocabulary lowers text and cuts it at white space, letters, digits and marks before it
-    merges, so parts encode alike wherever they stand. Words with other characters than ``PLAIN``
+    merges, so parts encode alike wherever they stand. Words with other characters than ``KNOWN``
     go to the library as they are, and so do texts that hold ``<|``, which may be a special token.
     Vocabularies of other kinds are given whole texts.
     """
@@ -62,7 +63,6 @@ class Encoder:
         self.library, self.width = Tokenizer.from_str(vocabulary), width
         told = json.loads(vocabulary)
         self.by_word = told["model"].get("end_of_word_suffix") == "</w>" and told["normalizer"] == LOWERING and told["pre_tokenizer"] == CUTTING
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         if self.by_word:
             size = self.library.get_vocab_size()
@@ -71,7 +71,10 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        odd = [p for p in new if UNKNOWN.search(p)]
+        self.parts.update(zip(odd, self._whole(odd), strict=True))
+        new = list(new.difference(odd))
         for a, b in slices(map(len, new), 20_000):
             some = new[a:b]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.width)
@@ -82,31 +85,27 @@ class Encoder:
             else:
                 self.parts.update(zip(some, self._whole(some), strict=True))
 
-    def _learn(self, new: Iterable[str]) -> None:
-        plain, odd = [], []
-        for w in new:
-            (plain if PLAIN.fullmatch(w) else odd).append(w)
-        cut = [PARTS.findall(w.lower()) for w in plain]
-        self._learn_parts([p for p in {p for ps in cut for p in ps} if p not in self.parts])
-        self.words.update(zip(plain, (b"".join(map(self.parts.__getitem__, ps)) for ps in cut), strict=True))
-        self.words.update(zip(odd, self._whole(odd), strict=True))
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if not UNKNOWN.search(text):
+            return PARTS.findall(text.lower())
+        out: list[str] = []
+        for odd, words in itertools.groupby(text.replace("\n", " ").split(" "), lambda w: UNKNOWN.search(w) is not None):
+            out += words if odd else PARTS.findall(" ".join(words).lower())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         if not self.by_word:
             return self._whole(texts)
-        out: list[bytes] = [b""] * len(texts)
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         special = [i for i, t in enumerate(texts) if "<|" in t]
+        cut = [[] if "<|" in t else self._cut(t) for t in texts]
+        self._learn(set().union(*cut).difference(self.parts))
+        out = [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
         for i, ids in zip(special, self._whole([texts[i] for i in special]), strict=True):
             out[i] = ids
-        split = [[] if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        for known, most in ((self.words, WORDS_KEPT), (self.parts, PARTS_KEPT)):
-            if len(known) > most:
-                known.clear()
-        self._learn(set().union(*split).difference(self.words))
-        for i, words in enumerate(split):
-            if words:
-                out[i] = b"".join(map(self.words.__getitem__, words))
         return out
 
 
