@@ -1,7 +1,8 @@
 """Connected components, shared-boundary graphs and colouring.
 
-Components and edges are DataFrame loops. Colouring and cliques are sequential by nature and work on
-a graph of bounded size (states of the world), held by the driver; ``collect_graph`` checks the size.
+Components, edges, containment and first-fit colouring are DataFrame loops. Saturation colouring and cliques
+are sequential by nature and work on a graph of bounded size (states of the world), held by the
+driver; ``collect_graph`` checks the size.
 """
 
 from __future__ import annotations
@@ -100,6 +101,33 @@ def collect_graph(nodes: DataFrame, edges: DataFrame, most: int = MOST_EDGES) ->
     return adj
 
 
+def first_fit(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """node, colour: the least colour that no earlier neighbour has, for each node in turn.
+
+    order: node, and ``at``, a column that sorts and tells all nodes apart; edges (a, b) between them. A
+    round colours all nodes whose earlier neighbours are coloured, which gives what one pass in order
+    gives; rounds grow with the longest run of ever earlier neighbours.
+    """
+    nodes = materialise(order.select("node", "at"))
+    place = lambda c: nodes.select(F.col("node").alias(c), F.col("at").alias(f"at_{c}"))
+    both = edges.select(F.col("a"), F.col("b")).union(edges.select("b", "a")).where("a <> b").distinct()
+    waits = materialise(both.join(place("a"), "a").join(place("b"), "b").where("at_b < at_a").select(F.col("a").alias("node"), F.col("b").alias("earlier")))
+    done = materialise(nodes.select("node").join(waits.select("node").distinct(), "node", "left_anti").withColumn("colour", F.lit(0)))
+    while True:
+        seen = waits.join(done.select("node"), "node", "left_anti").join(done.select(F.col("node").alias("earlier"), "colour"), "earlier", "left")
+        seen = seen.groupBy("node").agg(F.count_if(F.col("colour").isNull()).alias("open"), F.collect_set("colour").alias("used"))  # a set of colours, not of neighbours
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), "used"))
+        new = materialise(seen.where("open = 0").select("node", free.alias("colour")))
+        if new.isEmpty():
+            return done
+        done = materialise(done.unionByName(new))
+
+
+def by_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, at: nodes of high degree first, then the least id; the order of ``welsh_powell``."""
+    return nodes.select("node").join(degrees(edges), "node", "left").select("node", F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), "node").alias("at"))
+
+
 def _free(adj: Adjacency, colour: dict[int, int], v: int) -> int:
     used = {colour[u] for u in adj[v] if u in colour}
     return next(c for c in range(len(used) + 1) if c not in used)
@@ -199,24 +227,24 @@ def resolve_containment(pairs: Sequence[tuple[int, int]]) -> dict[int, int]:
 def contained_into(pairs: DataFrame) -> DataFrame:
     """(small, large, rank) -> id, into: what ``resolve_containment`` gives for the pairs by rank.
 
-    A pair that has the least rank of all open pairs of both its units is settled in a round: the
-    small one goes into the large one, and all other pairs of the small one are closed. Without a
-    column ``rank`` the order is that of (small, large).
+    Only as the small side can a unit be dropped. So a pair is settled as soon as it is the small
+    unit's first, and the large unit can't be dropped before it; a whole takes all its parts in one
+    round, and rounds grow with the length of chains, not with the number of parts. Without a column
+    ``rank`` the order is that of (small, large).
     """
     rank = F.col("rank") if "rank" in pairs.columns else F.struct("small", "large")
     open_pairs = materialise(pairs.select("small", "large", rank.alias("rank")).groupBy("small", "large").agg(F.min(F.struct("rank", "small", "large")).alias("rank")))
     out = None
     while not open_pairs.isEmpty():
-        ends = open_pairs.select(F.explode(F.array("small", "large")).alias("unit"), "rank").groupBy("unit").agg(F.min("rank").alias("least"))
-        side = lambda c: ends.select(F.col("unit").alias(c), F.col("least").alias(f"{c}_least"))
-        settled = open_pairs.join(side("small"), "small").join(side("large"), "large").where("rank = small_least and rank = large_least").select("small", "large")
-        settled = materialise(settled)
-        gone = settled.select("small")
-        left = open_pairs.join(gone, "small", "left_anti").join(gone.withColumnRenamed("small", "large"), "large", "left_anti")
+        first = open_pairs.groupBy("small").agg(F.min("rank").alias("least"))
+        own = open_pairs.join(first, "small").where("rank = least").select("small", "large", "rank")
+        settled = materialise(own.join(first.select(F.col("small").alias("large"), "least"), "large", "left").where("least is null or rank < least").select("small", "large", "rank"))
+        left = open_pairs.join(settled.select("small"), "small", "left_anti")
+        left = left.join(settled.select(F.col("small").alias("large"), F.col("rank").alias("gone")), "large", "left").where("gone is null or rank < gone")
         open_pairs = materialise(left.select("small", "large", "rank"))
         out = settled if out is None else out.unionByName(settled)
     if out is None:
-        out = open_pairs.select("small", "large")
+        out = open_pairs
     return out.select(F.col("small").alias("id"), F.col("large").alias("into"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eonmap.functions import arrangement, dates, geometry, text
 from eonmap.operators import temporal, topology
-from eonmap.plans.features import ARROW_GEOM, GEOM, cells, combined, dissolved, from_geom, measured, meeting, to_geom, with_computed
+from eonmap.plans.features import ARROW_GEOM, GEOM, cells, combined, dissolved, from_geom, measured, meeting, with_computed
 from eonmap.sources import tables
 
 VALUES = ["fill", "d", "title", "layer"]
@@ -68,11 +68,12 @@ def clip_to(rows: DataFrame, land: DataFrame) -> DataFrame:
     own = tables.materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
 
     def sound(columns: list[list]) -> list[list]:
-        return [[g if arrangement.why_invalid(v := to_geom(g)) is None else from_geom(arrangement.repair(v, odd=True)) for g in columns[0]]]
+        return [[g if arrangement.why_invalid(g) is None else arrangement.repair(g, odd=True) for g in columns[0]]]
 
     left = measured(with_computed(own.select("__row", "geom"), ["geom"], sound, [("geom", GEOM, ARROW_GEOM)])).where("box is not null")
     single = land.select(F.posexplode("geom").alias("pos", "polygon")).select(F.monotonically_increasing_id().alias("land"), F.array("polygon").alias("geom"))
-    pairs = meeting(left.select("__row", "box", "geom"), tables.materialise(measured(single, repair=True).where("box is not null").select("land", "box", "geom")), [], ["__row"], ["land"])
+    pairs = meeting(left.select("__row", "box", "geom"), tables.materialise(measured(single, repair=True).where("box is not null").select("land", "box", "geom")), [], ["__row"], ["land"],
+                    "a_box[0] < b_box[2] and b_box[0] < a_box[2] and a_box[1] < b_box[3] and b_box[1] < a_box[3]")
     parts = combined(pairs.select(F.col("a___row").alias("__row"), "a_geom", "b_geom"), "intersection").where(F.size("geom") > 0)
     made = dissolved(parts.select("__row", "geom"), ["__row"]).withColumnRenamed("geom", "clipped")
     geom = F.coalesce("clipped", F.array().cast(GEOM)).alias("geom")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eonmap.functions import arrangement, codecs, dates, edtf, geometry, text
@@ -44,24 +44,58 @@ def from_geom(geom: geometry.Geometry) -> list:
     return [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon] for polygon in geom]
 
 
+POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+ARROW_GEOM = pa.list_(pa.list_(pa.list_(POINT)))
+
+
+def geoms_of(column: pa.Array | pa.ChunkedArray) -> list[geometry.Geometry]:
+    """A geometry column as arrays, which are views of its buffers; null is empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    polygons, rings = column.values, column.values.values
+    points = np.stack([rings.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1) if len(rings.values) else np.zeros((0, 2))
+    of_row, of_polygon, of_ring = (a.offsets.to_numpy().tolist() for a in (column, polygons, rings))
+    there = column.is_valid().to_pylist()
+    return [[[points[of_ring[r]:of_ring[r + 1]] for r in range(of_polygon[p], of_polygon[p + 1])] for p in range(of_row[i], of_row[i + 1])] if ok else [] for i, ok in enumerate(there)]
+
+
+def geom_array(geoms: Sequence[geometry.Geometry]) -> pa.Array:
+    """The reverse of ``geoms_of``."""
+    rings = [r for g in geoms for polygon in g for r in polygon]
+    points = np.concatenate([np.zeros((0, 2)), *rings])
+    offsets = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, i])) for i in (0, 1)], fields=list(POINT))
+    lines = pa.ListArray.from_arrays(offsets(map(len, rings)), flat)
+    polygons = pa.ListArray.from_arrays(offsets(len(polygon) for g in geoms for polygon in g), lines)
+    return pa.ListArray.from_arrays(offsets(map(len, geoms)), polygons)
+
+
 def with_computed(rows: DataFrame, inputs: Sequence[str], f: Callable[[list[list]], list[list]], new: Sequence[tuple[str, str, pa.DataType]], drop: Sequence[str] = ()) -> DataFrame:
     """Adds columns (name, Spark type, Arrow type) that ``f`` makes from lists of the values of ``inputs``.
 
-    Batches are Arrow; the other columns pass through untouched. Columns in ``drop`` go.
+    Batches are Arrow; the other columns pass through untouched. Columns in ``drop`` go. Geometries are
+    arrays for ``f``, and come from it as arrays.
     """
     drop = [*drop, *[n for n, _, _ in new if n in rows.columns]]
     keep = [c for c in rows.columns if c not in drop or c in inputs]
     out = [c for c in keep if c not in drop]
+    drawn = {c for c in inputs if rows.schema[c].dataType.simpleString() == GEOM}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = f([b.column(keep.index(c)).to_pylist() for c in inputs])
-            yield pa.RecordBatch.from_arrays([*[b.column(keep.index(c)) for c in out], *[pa.array(v, t) for v, (_, _, t) in zip(made, new, strict=True)]], names=[*out, *[n for n, _, _ in new]])
+            made = f([geoms_of(b.column(keep.index(c))) if c in drawn else b.column(keep.index(c)).to_pylist() for c in inputs])
+            arrays = [geom_array(v) if t.equals(ARROW_GEOM) else pa.array(v, t) for v, (_, _, t) in zip(made, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(keep.index(c)) for c in out], *arrays], names=[*out, *[n for n, _, _ in new]])
 
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out] + [f"{n} {t}" for n, t, _ in new])
     return rows.select(*keep).mapInArrow(work, schema)
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt anew, for work that is dear for its bytes: small inputs would else be few tasks, and large shapes
+    that stand together would share one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by))
+
+
 # ------------------------------------------------------------- geometry of relations
 def relation_geometry(relations: DataFrame, way_pts: DataFrame, any_outer: bool = False, leave_open: bool = False) -> DataFrame:
     """id, geom, warnings (kind, a, b), polygons (rings of signed way ids) of the relations' member ways.
@@ -102,29 +136,29 @@ def areas(relations: DataFrame, way_pts: DataFrame, ways: DataFrame) -> DataFram
     return closed.unionByName(some.select("id", "tags").join(drawn.select("id", "geom"), "id").select(F.lit("r").alias("ftype"), "id", "tags", "geom"))
 
 
-POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-ARROW_GEOM = pa.list_(pa.list_(pa.list_(POINT)))
-
-
 def measured(rows: DataFrame, repair: bool = False) -> DataFrame:
     """Adds km2, fault (null if valid) and the bounding box of ``geom``.
 
     repair: faulty geometries are replaced by their valid parts (``arrangement.repair``) before they are measured.
     """
     def measure(columns: list[list]) -> list[list]:
-        geoms = [to_geom(g) for g in columns[0]]
+        geoms = columns[0]
         faults = [arrangement.why_invalid(g) for g in geoms]
         if repair:
             geoms = [g if f is None else arrangement.repair(g) for g, f in zip(geoms, faults, strict=True)]
         corners = [np.concatenate([r for p in g for r in p]) if g else None for g in geoms]
         boxes = [None if c is None else [*c.min(axis=0).tolist(), *c.max(axis=0).tolist()] for c in corners]
-        drawn = [g if f is None else from_geom(v) for g, v, f in zip(columns[0], geoms, faults, strict=True)]
-        return [[geometry.area_km2(g) for g in geoms], faults, boxes, *([drawn] if repair else [])]
+        return [[geometry.area_km2(g) for g in geoms], faults, boxes, *([geoms] if repair else [])]
 
     new = [("km2", "double", pa.float64()), ("fault", "string", pa.string()), ("box", "array<double>", pa.list_(pa.float64()))]
     return with_computed(rows, ["geom"], measure, [*new, ("geom", GEOM, ARROW_GEOM)] if repair else new)
 
 
+def repaired(rows: DataFrame, odd: bool = False) -> DataFrame:
+    """Replaces ``geom`` by valid polygons of what it covers; ``odd``: by the even-odd rule (see ``arrangement.repair``)."""
+    return with_computed(rows, ["geom"], lambda columns: [[arrangement.repair(g, odd) for g in columns[0]]], [("geom", GEOM, ARROW_GEOM)])
+
+
 def cells(box: Column, degrees: float) -> Column:
     """Numbers of the grid cells that a box touches."""
     def span(lo: Column, hi: Column) -> Column:
@@ -162,20 +196,20 @@ def overlaid(pairs: DataFrame) -> DataFrame:
     rung counts how many finer grids failed before the pair came through; where all did, nothing is shared.
     """
     def areas(columns: list[list]) -> list[list]:
-        got = [arrangement.overlay_km2(to_geom(x), to_geom(y)) for x, y in zip(*columns, strict=True)]
+        got = [arrangement.overlay_km2(x, y) for x, y in zip(*columns, strict=True)]
         return [[g[0] for g in got], [g[2] for g in got], [g[3] for g in got]]
 
-    return with_computed(pairs, ["a_geom", "b_geom"], areas, [("shared_km2", "double", pa.float64()), ("rest_km2", "double", pa.float64()), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
+    return with_computed(spread(pairs, "a_geom", "b_geom"), ["a_geom", "b_geom"], areas, [("shared_km2", "double", pa.float64()), ("rest_km2", "double", pa.float64()), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
 
 
 def combined(pairs: DataFrame, how: str) -> DataFrame:
     """Adds geom and rung to pairs with a_geom and b_geom, which go: their intersection, union, difference or
     symmetric difference as polygons; empty where only lines or points are left."""
     def draw(columns: list[list]) -> list[list]:
-        got = [arrangement.combine(to_geom(x), to_geom(y), how) for x, y in zip(*columns, strict=True)]
-        return [[from_geom(g) for g, _ in got], [rung for _, rung in got]]
+        got = [arrangement.combine(x, y, how) for x, y in zip(*columns, strict=True)]
+        return [[g for g, _ in got], [rung for _, rung in got]]
 
-    return with_computed(pairs, ["a_geom", "b_geom"], draw, [("geom", GEOM, ARROW_GEOM), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
+    return with_computed(spread(pairs, "a_geom", "b_geom"), ["a_geom", "b_geom"], draw, [("geom", GEOM, ARROW_GEOM), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
 
 
 def dissolved(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -186,7 +220,7 @@ def dissolved(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     together = parts.groupBy(*keys).agg(F.collect_list("geom").alias("geoms"))
 
     def unite(columns: list[list]) -> list[list]:
-        return [[g[0] if len(g) == 1 else from_geom(arrangement.union([to_geom(x) for x in g])) for g in columns[0]]]
+        return [[to_geom(g[0]) if len(g) == 1 else arrangement.union([to_geom(x) for x in g]) for g in columns[0]]]
 
     return with_computed(together, ["geoms"], unite, [("geom", GEOM, ARROW_GEOM)], ["geoms"])
 
@@ -328,18 +362,26 @@ def bad_geometry(relations: DataFrame, way_pts: DataFrame, snapshot: str) -> tup
 
 
 # ------------------------------------------------------------- coverage
-def coverage_rows(areas: DataFrame, snapshot: str) -> DataFrame:
+def coverage_rows(areas: DataFrame, snapshot: str, skipped: Observation | None = None) -> DataFrame:
     """Areas (ftype, id, tags, geom) of the coverage levels with level, name, lo, hi (fractional years), km2 and box.
 
-    Areas without a start are left out; a missing or unreadable end is the snapshot's date.
+    Areas without a start are left out; a missing or unreadable end is the snapshot's date. ``skipped`` counts
+    those left out while the first job over the rows runs: no_date, and no_start where an end is known.
     """
     tag = lambda k: F.nullif(F.col("tags")[k], F.lit(""))
-    s = dates.start_of(dates.parse_date(tag("start_date")))
-    e = F.coalesce(dates.start_of(dates.parse_date(tag("end_date"))), dates.start_of(dates.parse_date(F.lit(snapshot))))
+    s, own_end = dates.start_of(dates.parse_date(tag("start_date"))), dates.start_of(dates.parse_date(tag("end_date")))
+    e = F.coalesce(own_end, dates.start_of(dates.parse_date(F.lit(snapshot))))
     rows = areas.where(F.col("tags")["admin_level"].isin(*COVERAGE_LEVELS)).select(
         "ftype", "id", F.col("tags")["admin_level"].alias("level"), relational.display_name(F.col("tags")).alias("name"), tag("start_date").alias("start"), tag("end_date").alias("end"),
-        dates.fractional_year(s).alias("lo"), dates.fractional_year(e).alias("hi"), "geom")
-    return measured(rows.where("lo is not null"), repair=True)
+        dates.fractional_year(s).alias("lo"), dates.fractional_year(e).alias("hi"), own_end.isNotNull().alias("ends"), "geom")
+    if skipped is not None:
+        rows = rows.observe(skipped, F.count_if(F.col("lo").isNull() & ~F.col("ends")).alias("no_date"), F.count_if(F.col("lo").isNull() & F.col("ends")).alias("no_start"))
+    return measured(rows.where("lo is not null").drop("ends"), repair=True)
+
+
+def skip_counts(spark: SparkSession, skipped: Observation) -> DataFrame:
+    """type, count of the areas that ``coverage_rows`` left out, once a job has run over its rows."""
+    return spark.createDataFrame([(f"skipped-{k.replace('_', '-')}", float(n)) for k, n in skipped.get.items()], "type string, count double")
 
 
 def earth_years(rows: DataFrame) -> DataFrame:
@@ -385,7 +427,7 @@ def decade_coverage(areas: DataFrame) -> DataFrame:
     pieces = temporal.expand_decades(pieces, F.col("s"), F.col("e"))
 
     def unite(b: pa.Table) -> pa.Table:
-        km2 = arrangement.union_km2([to_geom(g) for g in b.column("geom").to_pylist()])
+        km2 = arrangement.union_km2(geoms_of(b.column("geom")))
         return pa.table({"level": b.column("level")[:1], "decade": b.column("decade")[:1].cast(pa.int64()), "km2": [km2]})
 
     one = pieces.select("level", "decade", "cell", "geom").groupBy("level", "decade", "cell").applyInArrow(unite, "level string, decade bigint, km2 double")
@@ -399,8 +441,8 @@ def clipped(rows: DataFrame, degrees: float) -> DataFrame:
         for cell, g in zip(*columns, strict=True):
             x, y = cell["cx"] * degrees, cell["cy"] * degrees
             window = np.array([(x, y), (x + degrees, y), (x + degrees, y + degrees), (x, y + degrees)])
-            part = [[geometry.clip_convex(r, window) for r in rings] for rings in to_geom(g)]
-            out.append(from_geom([[r for r in rings if len(r) >= 3] for rings in part if len(rings[0]) >= 3]))
+            part = [[geometry.clip_convex(r, window) for r in rings] for rings in g]
+            out.append([[r for r in rings if len(r) >= 3] for rings in part if len(rings[0]) >= 3])
         return [out]
 
     some = with_computed(rows.withColumn("cell", F.explode(cells(F.col("box"), degrees))), ["cell", "geom"], cut, [("geom", GEOM, ARROW_GEOM)])
@@ -426,7 +468,7 @@ def coverage_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     drawn = drawn.unionByName(pieces.join(mine.select("id", "cell", "geom"), ["id", "cell"]).select("id", "cell", "plo", "phi", "geom", F.lit(True).alias("own")))
 
     def covered(t: pa.Table) -> pa.Table:
-        geoms = [(is_own, to_geom(g)) for is_own, g in zip(t.column("own").to_pylist(), t.column("geom").to_pylist(), strict=True)]
+        geoms = list(zip(t.column("own").to_pylist(), geoms_of(t.column("geom")), strict=True))
         both = [[polygon for own, g in geoms if own == side for polygon in g] for side in (True, False)]
         km2 = arrangement.overlay_km2(*both)[0]
         return pa.table({"id": t.column("id")[:1], "covered": [(t.column("phi")[0].as_py() - t.column("plo")[0].as_py()) * max(0.0, km2) / geometry.LAND_KM2]})
@@ -449,7 +491,7 @@ def gap_by_chronology(gap: DataFrame) -> DataFrame:
 def in_cells(rows: DataFrame, degrees: float) -> DataFrame:
     """``clipped`` with part_km2, the area of the piece, and full: whether it covers its whole cell."""
     def measure(columns: list[list]) -> list[list]:
-        km2 = [geometry.area_km2(to_geom(g)) for g in columns[0]]
+        km2 = [geometry.area_km2(g) for g in columns[0]]
         whole = [geometry.area_km2([[np.array([(x, y), (x + degrees, y), (x + degrees, y + degrees), (x, y + degrees)])]]) for x, y in ((c["cx"] * degrees, c["cy"] * degrees) for c in columns[1])]
         return [km2, [k >= w * (1 - 1e-12) for k, w in zip(km2, whole, strict=True)]]
 
@@ -484,7 +526,7 @@ def duplicate_relations(relations: DataFrame, way_pts: DataFrame) -> DataFrame:
     shapes = relation_geometry(some, way_pts.where(F.size("pts") >= 2), any_outer=True)
 
     def shape(columns: list[list]) -> list[list]:
-        keys = [geometry.rounded_vertices([r for p in to_geom(g) for r in p]) for g in columns[0]]
+        keys = [geometry.rounded_vertices([r for p in g for r in p]) for g in columns[0]]
         return [[repr(k[0]) for k in keys], [k[1] for k in keys]]
 
     drawing = with_computed(shapes.select("id", "geom"), ["geom"], shape, [("shape", "string", pa.string()), ("length", "double", pa.float64())], ["geom"])
@@ -500,9 +542,8 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     Copies become one; members of one chronology are one node; a unit inside a contemporary one goes
     into it, with its ways and its time, and through it into what that went into. Units without
     area contain nothing and are in nothing. Pairs are taken by the first way that they share, in
-    the order of relations and their members. What the driver holds is a graph, checked for size.
+    the order of relations and their members. Colours go to nodes of high degree first.
     """
-    spark = relations.sparkSession
     states = relations.where(relational.admin_boundary(F.col("tags"), ["2"]) & ~F.col("tags")["type"].eqNullSafe(F.lit("chronology")))
     parts = relational.split_members(F.col("members"))
     tag = lambda k: F.nullif(F.col("tags")[k], F.lit(""))
@@ -536,8 +577,8 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     whole = home.select("id", "node", F.col("into").isNotNull().alias("gone")).unionByName(gone)
     list_of = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("id"))))
     nodes = whole.groupBy("node").agg(list_of(~F.col("gone")).alias("members"), list_of(F.col("gone")).alias("dropped"))
-    colours = graph.welsh_powell(graph.collect_graph(nodes, edges))
-    return {"nodes": nodes, "edges": edges.orderBy("a", "b"), "colours": spark.createDataFrame(list(colours.items()) or [], "node bigint, colour int")}
+    nodes = tables.materialise(nodes)
+    return {"nodes": nodes, "edges": edges.orderBy("a", "b"), "colours": graph.first_fit(edges, graph.by_degree(nodes, edges))}
 
 
 def relation_colours(nodes: DataFrame, colours: DataFrame) -> DataFrame:

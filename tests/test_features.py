@@ -262,6 +262,48 @@ def test_containment_without_a_list(spark):
     assert graph.contained_into(spark.createDataFrame([], "small long, large long")).count() == 0
 
 
+def test_a_whole_takes_its_parts_at_once(spark, monkeypatch):
+    stored = []
+    keep = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: (stored.append(1), keep(df))[1])
+    pairs = spark.range(1000).select(F.col("id").alias("small"), F.lit(5000).cast("long").alias("large")).union(spark.createDataFrame([(5000, 6000)], "small long, large long"))
+    ranked = pairs.withColumn("rank", F.col("small"))
+    assert {r["into"] for r in graph.contained_into(ranked).collect()} == {5000, 6000} and len(stored) <= 5
+
+
+def test_first_fit_is_one_pass_in_order(spark):
+    rng = np.random.default_rng(1)
+    for n, m in ((12, 20), (40, 200)):
+        edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (m, 2)) if a != b})
+        nodes, links = spark.range(n + 2).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "a long, b long")
+        got = {r["node"]: r["colour"] for r in graph.first_fit(links, graph.by_degree(nodes, links)).collect()}
+        assert got == graph.welsh_powell(graph.collect_graph(nodes, links))
+    none = spark.createDataFrame([], "a long, b long")
+    assert [r["colour"] for r in graph.first_fit(none, graph.by_degree(spark.range(2).withColumnRenamed("id", "node"), none)).collect()] == [0, 0]
+
+
+def test_geometries_as_arrays():
+    import pyarrow as pa
+
+    geoms = [[[np.array([(0, 0), (1, 0), (1, 1)], float), np.array([(0.2, 0.1), (0.3, 0.1), (0.3, 0.2)])]], [], [[np.array([(5, 5), (6, 5), (6, 6)], float)], [np.array([(8, 8), (9, 8), (9, 9)], float)]]]
+    made = Q.geom_array(geoms)
+    for start in range(3):
+        back = Q.geoms_of(made.slice(start))
+        assert [[[r.tolist() for r in p] for p in g] for g in back] == [[[r.tolist() for r in p] for p in g] for g in geoms[start:]]
+    assert Q.geoms_of(pa.array([None, []], Q.ARROW_GEOM)) == [[], []] and Q.geom_array([]).type == Q.ARROW_GEOM
+
+
+def test_skips_are_counted_in_the_job(spark):
+    from pyspark.sql import Observation
+
+    dated = lambda **k: {"boundary": "administrative", "admin_level": "2", **k}
+    square = [[[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}]]]
+    rows = spark.createDataFrame([("r", i, t, square) for i, t in enumerate([dated(start_date="1900"), dated(), dated(start_date="?", end_date="x"), dated(end_date="1950"), {"admin_level": "9"}])], f"ftype string, id long, tags map<string,string>, geom {Q.GEOM}")
+    skipped = Observation("skipped")
+    assert Q.coverage_rows(rows, "2026-01-01", skipped).count() == 1
+    assert {r["type"]: r["count"] for r in Q.skip_counts(spark, skipped).collect()} == {"skipped-no-date": 2.0, "skipped-no-start": 1.0}
+
+
 def test_numbers_and_pairs(spark):
     rows = spark.range(5000).select(F.xxhash64("id").alias("v"))
     got = [r["n"] for r in numbering.numbered(rows, [F.desc("v")], "n").orderBy(F.desc("v")).collect()]
