@@ -352,6 +352,50 @@ def test_near_copies_behind_a_shared_passage(spark):
     assert all(sum(found[i] == i - 1 for i in range(at + 1, at + 120, 2)) >= 58 for at in (0, 120, 240))
 
 
+@pytest.mark.parametrize(("size", "vocabulary"), [(16, 30_000), (100, 30_000), (1000, 2_000)])
+def test_evenly_edited_copies_behind_a_long_passage(spark, size, vocabulary):
+    """All texts share 200 words; of a copy's other 55 every second is another, so that no 3-gram of its own is left."""
+    rng = random.Random(size)
+    passage, texts, pairs = [f"p{rng.randrange(10**6)}" for _ in range(200)], [], min(60, size // 2)
+    word = lambda: f"v{int(vocabulary * rng.random() ** 2)}"
+    for _ in range(pairs):
+        base = [word() for _ in range(55)]
+        texts += [base, [word() if i % 2 else w for i, w in enumerate(base)]]
+    texts += [[word() for _ in range(55)] for _ in range(size - 2 * pairs)]
+    whole = [" ".join(t[:20] + passage + t[20:]) for t in texts]
+    found = {r["doc_id"]: r["class_id"] for r in omh.near_classes(spark.createDataFrame(list(enumerate(whole)), "doc_id long, text string")).collect()}
+    alike = [i for i in range(0, 2 * pairs, 2) if omh.alike(whole[i], whole[i + 1])]
+    assert len(alike) > 0.8 * pairs and sum(found[i] == found[i + 1] for i in alike) >= 0.95 * len(alike)
+    assert all(found[i] in (i, i - 1) for i in found)
+
+
+def test_short_texts_of_one_template_are_not_held_against_each_other(spark, monkeypatch):
+    """38 words of a template and 12 of their own: no two are alike, and the template's words join no pairs."""
+    joined = []
+    keep = omh.unlike_short
+    monkeypatch.setattr(omh, "unlike_short", lambda *a: (lambda made: (joined.append(made.count()), made)[1])(keep(*a)))
+    for n in (100, 300):
+        rng = random.Random(n)
+        template = [f"t{i}" for i in range(38)]
+        texts = [" ".join(template + [f"w{rng.randrange(10**7)}" for _ in range(12)]) for _ in range(n)]
+        got = omh.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert got.select("class_id").distinct().count() == n
+    assert joined == [0, 0]
+
+
+def test_own_words_and_features():
+    hasher = omh.Hasher()
+    passage = [f"p{i}" for i in range(120)]
+    a, b = (hasher([f"{x}{i}" for i in range(20)] + passage + [f"{x}e{i}" for i in range(20)]) for x in "ab")
+    each, found, places = omh.sketch_places([a, b])
+    first, second = found[:each[0]], found[each[0]:]
+    own = omh.own_words(len(a), places[:each[0]], np.isin(first, second))
+    assert own[:15].all() and own[-15:].all() and own[20:140].mean() < 0.5
+    features = omh.own_features(a, own)
+    assert 0 < len(features) <= omh.OWN and len(set(features.tolist())) == len(features)
+    assert len(omh.own_features(a, np.zeros(len(a), bool))) == 0
+
+
 def test_texts_alike_share_a_rare_word():
     rng = random.Random(12)
     hasher = omh.Hasher()
@@ -364,8 +408,9 @@ def test_texts_alike_share_a_rare_word():
                 b[at:at + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y", "z"]])
             if b and omh.alike(" ".join(a), " ".join(b)):
                 counts = np.sort(hasher(list({*a, *b})).view(np.int64))
-                text, word = omh.rare_words([hasher(a), hasher(b)], omh.SIMILARITY, (counts, np.ones(len(counts), np.int64)))
-                assert set(word[text == 0]) & set(word[text == 1])
+                text, key, longer = omh.rare_words([hasher(a), hasher(b)], omh.SIMILARITY, (counts, np.ones(len(counts), np.int64)))
+                least = 0 if len(a) >= len(b) else 1
+                assert set(key[(text == least) & longer]) & set(key[text == 1 - least])
 
 
 def test_bins_bound_the_edits():
