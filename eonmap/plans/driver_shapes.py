@@ -6,14 +6,16 @@ or of triangles with a side on a meridian, so that their areas have closed forms
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eonmap.functions import arrangement
 from eonmap.plans import atlas, features
 from eonmap.plans.driver import query, table
-from eonmap.plans.driver_maps import CELL_KM2, SNAPSHOT, part_areas, q_sql
-from eonmap.sources import sinks, tables
+from eonmap.plans.driver_maps import CELL_KM2, SNAPSHOT, part_areas, part_relations, q_sql
+from eonmap.sources import extract, sinks, tables
 
 L_SHAPE = [[[(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)]]]
 L_CELLS = "(0, 0), (1, 0), (2, 0), (0, 1), (0, 2)"
@@ -137,3 +139,24 @@ def map_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped = Observation("skipped")
     rows = tables.materialise(features.coverage_rows(part_areas(spark, sf_dir).withColumn("tags", dated), SNAPSHOT, skipped).drop("geom"))
     return features.skip_counts(spark, skipped).unionByName(rows.agg(F.lit("kept").alias("type"), F.count("*").cast("double").alias("count")))
+
+
+STEP = "round_even({x} * ({n}::double / {of}), 0) / ({n}::double / {of})"
+LON, LAT = STEP.format(x="{x}", n="4000000", of="360"), STEP.format(x="{x}", n="2000000", of="180")
+
+
+@query(f"""
+with p as (select p_partkey as id, p_brand as name, p_size as s, {LON.format(x="(3 * p_size)")} as x0, {LON.format(x="(3 * p_size + 1)")} as x1, {LAT.format(x="1")} as y1 from part)
+select id, name, 6 as tags, round({CELL_KM2.replace(q_sql("y + 1"), q_sql("y1")).replace(q_sql("y"), "0")} * (x1 - x0), 3) as km2, 2100.0::double as hi from p where s % 7 <> 0""")
+def map_extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' relations as the viewer's files, read back: areas and tags from the files; those of every seventh size lack their way."""
+    nodes, ways, relations = part_relations(spark, sf_dir)
+    dated = relations.withColumn("tags", F.map_concat("tags", F.create_map(F.lit("start_date"), F.lit("1900"), F.lit("whmid"), F.col("id").cast("string"))))
+    found = features.web_extract(dated, tables.way_points(ways, nodes).where("id % 7 <> 0"), "2", ring_m2=0.0, line_m=0.0)
+    folder = f"{tables.shared_dir(spark)}/extract-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    extract.write_extract(found, folder, "2")
+    read = tables.materialise(extract.read_relations(spark, f"{folder}/relations2.json"))
+    rows = extract.extract_features(read, extract.read_ways(spark, f"{folder}/ways2.json"))
+    return rows.join(read.select("id", F.size("tags").alias("tags")), "id").select("id", "name", "tags", F.round("km2", 3).alias("km2"), "hi")
