@@ -272,10 +272,14 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def read_avi(data: bytes) -> Video:
-    """Frames in order by the idx1 index; without one, by the movi list. Unknown chunks are passed over."""
+    """Frames in order by the idx1 index; without one, by the movi list. Unknown chunks are passed over.
+
+    Parts that follow the first (AVIX), which its index does not cover, are read by their own lists.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     fps, width, height, n, movi, index = float(FPS), 0, 0, None, None, None
+    more: list[bytes] = []
     for name, a, b in _chunks(data, 12, len(data)):
         kind = data[a:a + 4] if name == b"LIST" else b""
         if kind == b"hdrl":
@@ -293,6 +297,10 @@ def read_avi(data: bytes) -> Video:
                     n = int(data[x + 8:y])
         elif kind == b"movi":
             movi = (a, b)
+        elif name == b"RIFF" and data[a:a + 4] == b"AVIX":
+            for sub, x, y in _chunks(data, a + 4, b):
+                if sub == b"LIST" and data[x:x + 4] == b"movi":
+                    more += _listed(data, x + 4, y)
         elif name == b"idx1":
             index = data[a:b]
     if movi is None:
@@ -303,8 +311,19 @@ def read_avi(data: bytes) -> Video:
         base = 0 if found and found[0][2] >= movi[0] and data[found[0][2]:found[0][2] + 4] == found[0][0] else movi[0]
         frames = [data[base + at + 8:base + at + 8 + size] for name, _, at, size in found if name[2:] in (b"dc", b"db")]
     else:
-        frames = [data[a:b] for name, a, b in _chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
-    return Video(fps, width, height, n, frames)
+        frames = _listed(data, movi[0] + 4, movi[1])
+    return Video(fps, width, height, n, frames + more)
+
+
+def _listed(data: bytes, start: int, end: int) -> list[bytes]:
+    """Frames of a movi list in order, those in groups (rec) too."""
+    out: list[bytes] = []
+    for name, a, b in _chunks(data, start, end):
+        if name == b"LIST" and data[a:a + 4] == b"rec ":
+            out += _listed(data, a + 4, b)
+        elif name[2:] in (b"dc", b"db"):
+            out.append(data[a:b])
+    return out
 
 
 # ---------------------------------------------------------------- samples and shots
@@ -336,21 +355,38 @@ def cuts(hist: np.ndarray, window: int = 8, factor: float = 3.0, least: float =
     return out
 
 
+CLIP = "struct<clip:bigint,first_frame:bigint,n_frames:bigint,start_s:double,end_s:double,mean:double>"
+
+
+def timed(frames: list[np.ndarray | None], fps: float) -> list[dict]:
+    """Clips of frames, of which those that could not be decoded are null.
+
+    A null frame keeps its place in time and belongs to the clip that it falls in; shots are told by the others.
+    """
+    good = [i for i, f in enumerate(frames) if f is not None]
+    if not good:
+        return []
+    at = [0, *(good[i] for i in cuts(histograms([frames[i] for i in good]))[1:])]
+    means = np.array([np.nan if f is None else f.mean() for f in frames])
+    return [{"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / fps, "end_s": b / fps, "mean": float(np.nanmean(means[a:b]))}
+            for i, (a, b) in enumerate(zip(at, [*at[1:], len(frames)], strict=True))]
+
+
 def clips(data: bytes | None) -> list[dict]:
-    """Timed clips of an AVI file; none for null or for a file without frames or of another format."""
+    """Timed clips of an AVI file; none for null or for a file of another format, or of which no frame can be decoded."""
     if not data:
         return []
     try:
         video = read_avi(data)
-        frames = [decode_jpeg(f) for f in video.frames if f]
     except (ValueError, KeyError, struct.error, IndexError):
         return []
-    if not frames:
-        return []
-    hist = histograms(frames)
-    at = cuts(hist)
-    return [{"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / video.fps, "end_s": b / video.fps,
-             "mean": float(np.mean([f.mean() for f in frames[a:b]]))} for i, (a, b) in enumerate(zip(at, [*at[1:], len(frames)], strict=True))]
+    frames: list[np.ndarray | None] = []
+    for f in video.frames:
+        try:
+            frames.append(decode_jpeg(f) if f else None)
+        except (ValueError, KeyError, struct.error, IndexError):
+            frames.append(None)
+    return timed(frames, video.fps)
 
 
 def clip_rows(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -379,15 +415,16 @@ UNIT = 192
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every whole text as an AVI file, reads the file back and describes it, a row a document.
+    """Stores every whole text as an AVI file, reads the file back and describes it, a row a document; ``clips`` are its timed clips.
 
     A null text is empty; ids may be null; repeated rows give repeated results and equal texts equal
     values; an empty table gives no rows. A long text is many frames, held one document at a time.
     """
     some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = some.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<{CLIP}>"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    clip = pa.struct([*((n, pa.int64()) for n in ("clip", "first_frame", "n_frames")), *((n, pa.float64()) for n in ("start_s", "end_s", "mean"))])
 
     def digest(text: str | None) -> tuple:
         raw = (text or "").encode()
@@ -395,15 +432,15 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         video = read_avi(media)
         frames = [decode_jpeg(f) for f in video.frames]
         back = b"".join(f.tobytes() for f in frames)[:video.n_samples]
-        at = cuts(histograms(frames))
-        feature = f"frames={len(frames)} size={video.width}x{video.height} clips={','.join(f'{a / video.fps:g}' for a in at)} end={len(frames) / video.fps:g}"
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        found = timed(frames, video.fps)
+        feature = f"frames={len(frames)} size={video.width}x{video.height} clips={','.join(f'{c['start_s']:g}' for c in found)} end={len(frames) / video.fps:g}"
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [digest(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(clip)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     return some.mapInArrow(work, schema)
