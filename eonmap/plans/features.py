@@ -569,14 +569,17 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     inside = lean.where(F.col("shared_km2") >= CONTAINED * F.least("a_km2", "b_km2")).select(
         F.when(a_in_b, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(a_in_b, F.col("b")).otherwise(F.col("a")).alias("large"), F.struct("first", "a", "b").alias("rank"))
     dropped = graph.final_home(graph.contained_into(inside))
-    node_of = rows.select("id").join(chron.select(F.col("member_id").alias("id"), F.col("chrono_id").alias("node")), "id", "left").select("id", F.coalesce("node", "id").alias("node"))
+    own_chron = chron.select(F.col("member_id").alias("id"), F.col("chrono_id").alias("node"), "pos")
+    node_of = rows.select("id").join(own_chron.drop("pos"), "id", "left").select("id", F.coalesce("node", "id").alias("node"))
     home = rows.select("id", "ways", "lo", "hi").join(dropped, "id", "left").withColumn("at", F.coalesce("into", "id")).join(node_of.withColumnRenamed("id", "at"), "at")
     home = tables.materialise(home)
     edges = tables.materialise(graph.node_edges(home.select("node", F.explode("ways").alias("way_id")), home.select("node", F.col("lo").alias("start"), F.col("hi").alias("end"))))
     gone = copies.join(home.select(F.col("id").alias("into"), "node"), "into").select("id", "node", F.lit(True).alias("gone"))
     whole = home.select("id", "node", F.col("into").isNotNull().alias("gone")).unionByName(gone)
-    list_of = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("id"))))
-    nodes = whole.groupBy("node").agg(list_of(~F.col("gone")).alias("members"), list_of(F.col("gone")).alias("dropped"))
+    # members stand as in their chronology
+    whole = whole.join(own_chron, ["id", "node"], "left")
+    list_of = lambda c: F.transform(F.array_sort(F.collect_set(F.when(c, F.struct("pos", "id")))), lambda x: x["id"])
+    nodes = whole.groupBy("node").agg(list_of(~F.col("gone")).alias("members"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("id")))).alias("dropped"))
     nodes = tables.materialise(nodes)
     return {"nodes": nodes, "edges": edges.orderBy("a", "b"), "colours": graph.first_fit(edges, graph.by_degree(nodes, edges))}
 

@@ -67,7 +67,8 @@ def read_config(content: str, defaults: dict) -> dict:
 
 
 def read_summaries(spark: SparkSession, glob: str) -> DataFrame:
-    """date (the folder), file, type and count of summary files."""
+    """date (the folder), file, type and count of summary files; of a metric that several files of a day give, the last file's."""
     rows = spark.read.csv(glob, header=True, schema="type string, count double")
     path = F.input_file_name()
-    return rows.select(F.element_at(F.split(path, "/"), -2).alias("date"), F.element_at(F.split(path, "/"), -1).alias("file"), "type", "count")
+    rows = rows.select(F.element_at(F.split(path, "/"), -2).alias("date"), F.element_at(F.split(path, "/"), -1).alias("file"), "type", "count", F.monotonically_increasing_id().alias("line"))
+    return rows.groupBy("date", "type").agg(F.max(F.struct("file", "line", "count")).alias("last")).select("date", "last.file", "type", "last.count")

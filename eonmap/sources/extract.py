@@ -157,6 +157,19 @@ def drawn(relations: DataFrame, ways: DataFrame) -> DataFrame:
     return relations.select("id").join(made, "id", "left").select("id", F.coalesce("geom", F.array().cast(GEOM)).alias("geom"))
 
 
+def shown(relations: DataFrame, geom: DataFrame, nodes: DataFrame) -> DataFrame:
+    """value: a GeoJSON feature a relation, as the viewer draws it: its polygons (id, geom), or, where it has no ways, the
+    points (id, loc) of its nodes, marked ``_relation_node``."""
+    places = relations.where((F.size("ways") == 0) & (F.size("nodes") > 0)).select("id", F.posexplode("nodes").alias("at", "node"))
+    places = places.join(nodes.select(F.col("id").alias("node"), "loc"), "node").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "loc"))), lambda x: x["loc"]).alias("points"))
+    closed = F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda x: F.array(x["x"], x["y"]))))
+    rows = relations.select("id", "tags").join(geom.select("id", closed.alias("rings")), "id", "left").join(places, "id", "left")
+    feature = lambda kind, at, tags: F.to_json(F.struct(F.lit("Feature").alias("type"), "id", F.struct(F.lit(kind).alias("type"), F.col(at).alias("coordinates")).alias("geometry"), tags.alias("properties")))
+    flat = F.to_json(F.map_concat(F.col("tags"), F.create_map(F.lit("_relation_node"), F.lit("@true"))))
+    points = F.concat(F.lit('{"type":"Feature","id":'), F.col("id").cast("string"), F.lit(',"geometry":{"type":"MultiPoint","coordinates":'), F.to_json("points"), F.lit('},"properties":'), F.replace(flat, F.lit('"@true"'), F.lit("true")), F.lit("}"))
+    return rows.select(F.when(F.col("points").isNotNull(), points).otherwise(feature("MultiPolygon", "rings", F.col("tags"))).alias("value"))
+
+
 def extract_features(relations: DataFrame, ways: DataFrame, level: str = "2", skipped: Observation | None = None) -> DataFrame:
     """id, name, whmid, lo, hi (fractional years), km2, box, geom: what ``coverage_gap`` compares.
 

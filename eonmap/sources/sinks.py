@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eonmap.operators import relational
@@ -59,6 +59,23 @@ def decade_table(coverage: DataFrame, levels: tuple[str, ...] = ("2", "4")) -> D
     return wide.select("year", *[F.format_string("%.0f", F.coalesce(F.col(lv), F.lit(0.0))).alias(f"admin{lv}_km2") for lv in levels]).orderBy("year")
 
 
+def _covered(uncovered: Column, total: Column) -> Column:
+    return F.when(total != 0, F.format_string("%.1f", 100 * (1 - uncovered / total))).otherwise("0.0").alias("coverage_pct")
+
+
+def gap_by_feature(gap: DataFrame) -> DataFrame:
+    """The gap report's rows (``coverage_gap`` with start_date and end_date) as text, the largest gap first."""
+    rows = gap.orderBy(F.desc("uncovered"), "id")
+    return rows.select("whmid", "name", "start_date", "end_date", F.format_string("%.6f", "earth_years").alias("total_ey"), F.format_string("%.6f", "uncovered").alias("uncovered_ey"), _covered(F.col("uncovered"), F.col("earth_years")))
+
+
+def gap_by_chronology(totals: DataFrame) -> DataFrame:
+    """The report's chronologies (``plans.features.gap_by_chronology``) as text, the largest gap first."""
+    rows = totals.orderBy(F.desc("uncovered"), "key")
+    return rows.select(F.col("key").alias("whmid"), F.col("name").alias("base_name"), F.col("n").alias("n_segments"), F.format_string("%.6f", "earth_years").alias("total_ey"),
+                       F.format_string("%.6f", "uncovered").alias("uncovered_ey"), _covered(F.col("uncovered"), F.col("earth_years")))
+
+
 def region_table(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """region, era, ours, theirs: totals of both sides, rows with any."""
     return relational.full_totals(ours.withColumnRenamed("earth_years", "ours"), theirs.withColumnRenamed("earth_years", "theirs"), ["region", "era"], "ours", "theirs").where("ours > 0 or theirs > 0").orderBy("region", "era")

@@ -99,3 +99,33 @@ def test_from_extract_to_gap(spark, found, folder):
     theirs = ours.where("id = 1").withColumn("lo", F.lit(1925.0)).withColumn("id", F.lit(99).cast("long"))
     gap = {r["id"]: r for r in Q.coverage_gap(ours, theirs).collect()}
     assert abs(gap[1]["pct"] - 50) < 0.1 and gap[2]["pct"] == 100 and gap[3]["pct"] == 100
+
+
+def test_features_as_the_viewer_draws_them(spark):
+    relations = spark.createDataFrame([(1, {"name": "A"}, [[[1]]], [6]), (2, {"name": "@true"}, [], [6, 5]), (3, {}, [], None)], "id long, tags map<string,string>, ways array<array<array<long>>>, nodes array<long>")
+    geom = spark.createDataFrame([(1, [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]])], f"id long, geom {Q.GEOM}")
+    nodes = spark.createDataFrame([(5, [1.5, 2.0]), (6, [3.0, 4.0])], "id long, loc array<double>")
+    got = {f["id"]: f for f in (json.loads(r["value"]) for r in extract.shown(relations, geom, nodes).collect())}
+    assert got[1]["geometry"] == {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]]} and got[1]["properties"] == {"name": "A"}
+    assert got[2]["geometry"] == {"type": "MultiPoint", "coordinates": [[3, 4], [1.5, 2]]} and got[2]["properties"]["_relation_node"] is True
+    assert "points" not in got[3]
+
+
+def test_gap_report_as_text(spark):
+    from eonmap.sources import sinks
+
+    rows = spark.createDataFrame([(1, "A", "7", "1900", None, 2.0, 0.5), (2, "B", "", "1900", "1910", 0.0, 0.0), (3, "C", "7", "1950", None, 1.0, 1.0)], "id long, name string, whmid string, start_date string, end_date string, earth_years double, uncovered double")
+    got = [tuple(r) for r in sinks.gap_by_feature(rows).collect()]
+    assert got == [("7", "C", "1950", None, "1.000000", "1.000000", "0.0"), ("7", "A", "1900", None, "2.000000", "0.500000", "75.0"), ("", "B", "1900", "1910", "0.000000", "0.000000", "0.0")]
+    assert [tuple(r) for r in sinks.gap_by_chronology(Q.gap_by_chronology(rows)).collect()] == [("7", "A", 2, "3.000000", "1.500000", "50.0"), ("2", "B", 1, "0.000000", "0.000000", "0.0")]
+
+
+def test_later_summaries_win(spark, tmp_path):
+    from eonmap.sources import atlas
+
+    for day in ("250101", "250102"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "a.summary.csv").write_text("type,count\nx,1\ny,2\n")
+    (tmp_path / "250102" / "b.summary.csv").write_text("type,count\nx,5\nx,6\n")
+    got = {(r["date"], r["type"]): (r["file"], r["count"]) for r in atlas.read_summaries(spark, f"file://{tmp_path}/*/*.summary.csv").collect()}
+    assert got == {("250101", "x"): ("a.summary.csv", 1), ("250101", "y"): ("a.summary.csv", 2), ("250102", "x"): ("b.summary.csv", 6), ("250102", "y"): ("a.summary.csv", 2)}
