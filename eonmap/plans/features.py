@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eonmap.functions import arrangement, codecs, dates, edtf, geometry, text
-from eonmap.operators import graph, numbering, relational, temporal
+from eonmap.operators import graph, numbering, quadtree, relational, temporal
 from eonmap.sources import tables
 
 RING = "array<struct<x:double,y:double>>"
@@ -167,22 +167,23 @@ def cells(box: Column, degrees: float) -> Column:
     return F.flatten(F.transform(span(box[0], box[2]), lambda x: F.transform(span(box[1], box[3]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str], b_id: Sequence[str], where: str = "true", degrees: float = 5.0) -> DataFrame:
+def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str], b_id: Sequence[str], where: str = "true") -> DataFrame:
     """Pairs of rows of two tables (columns a_*, b_*) with equal keys and boxes that meet, that hold ``where``.
 
-    ``a_id`` and ``b_id`` name the columns that tell the rows of each table apart. Boxes are laid out over grid
-    cells without their geometries, which join the pairs afterwards, once for each. A pair comes
-    once: from the cell that holds the lower left corner of the common box.
+    ``a_id`` and ``b_id`` name the columns that tell the rows of each table apart. Boxes are laid out over the cells
+    of a quadtree, small where boxes stand thick, without their geometries, which join the pairs afterwards,
+    once for each. A pair comes once: from the cell that holds the lower left corner of the common box.
     """
+    tree = quadtree.quadtree(a.select("box").unionByName(b.select("box")))
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    left = side(a.drop("geom"), "a").withColumn("cell", F.explode(cells(F.col("a_box"), degrees)))
-    right = side(b.drop("geom"), "b").withColumn("cell_b", F.explode(cells(F.col("b_box"), degrees)))
+    left = quadtree.with_cells(side(a.drop("geom"), "a"), tree, "a_box", "cell")
+    right = quadtree.with_cells(side(b.drop("geom"), "b"), tree, "b_box", "cell_b")
     on = F.col("cell") == F.col("cell_b")
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
     lo = [F.greatest(F.col("a_box")[i], F.col("b_box")[i]) for i in (0, 1)]
     hi = [F.least(F.col("a_box")[i], F.col("b_box")[i]) for i in (2, 3)]
-    once = (F.col("cell.cx") == F.floor(lo[0] / degrees)) & (F.col("cell.cy") == F.floor(lo[1] / degrees))
+    once = quadtree.holds(F.col("cell"), *lo)
     pairs = left.join(right, on).where((lo[0] <= hi[0]) & (lo[1] <= hi[1]) & once & F.expr(where)).drop("cell", "cell_b")
     for df, p, ids in ((a, "a", a_id), (b, "b", b_id)):
         if "geom" in df.columns:
