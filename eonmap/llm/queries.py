@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by a model of the texts that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
     out = langid.predict(docs, model, keep=["doc_id"])
@@ -27,15 +28,18 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the longest rule, else by the template tree."""
     return urltree.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that repeat earlier ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return htmlcrf.extract(table(spark, sf_dir, "pages"))
 
 
@@ -44,6 +48,7 @@ PROBE = r"\### Assistant: </turn> ok"
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and the probe, formatted, encoded and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
     return chatmask.digests(chatmask.format_chats(rows.unionByName(probe), tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern()))
@@ -68,10 +73,12 @@ from sized group by conv_id
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and test item that it holds, as it is or edited."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an AVI file and read back, with its timed clips."""
     return avi.text_digests(table(spark, sf_dir, "documents"))
 
 
@@ -90,15 +97,18 @@ def split_pattern() -> str:
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every whole text as the vocabulary's library counts them."""
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
     out = omh.near_classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", "class_size", "n_words")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
