@@ -24,7 +24,7 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens remembered by a worker, and characters of text that it takes at once.
 REMEMBERED, CHARS = 600_000, 2_000_000
-#: Sequences of more symbols are joined one by one with a heap, which is O(n log n).
+#: In sequences of more symbols a round joins all pairs of the lowest rank, and not one of each sequence.
 LONG = 200
 
 
@@ -89,16 +89,15 @@ class PieceTable:
         if max(map(len, tokens), default=0) <= LONG:
             return self.count_batch(tokens).tolist()
         out = np.zeros(len(tokens), np.int64)
-        owner: list[int] = []
-        seqs: list[str] = []
+        owner: tuple[list[int], list[int]] = ([], [])
+        seqs: tuple[list[str], list[str]] = ([], [])
         for i, t in enumerate(tokens):
             for p in self.parts(t) if len(t) > LONG else [t]:
-                if len(p) > LONG:
-                    out[i] += self.count_long(p)
-                else:
-                    owner.append(i)
-                    seqs.append(p)
-        np.add.at(out, np.array(owner, int), self.count_batch(seqs))
+                which = 1 if len(p) > LONG else 0
+                owner[which].append(i)
+                seqs[which].append(p)
+        np.add.at(out, np.array(owner[0], int), self.count_batch(seqs[0]))
+        np.add.at(out, np.array(owner[1], int), self.count_long(seqs[1]))
         return out.tolist()
 
     def count_batch(self, seqs: list[str]) -> np.ndarray:
@@ -139,36 +138,82 @@ class PieceTable:
                 place[left], rank[left] = found, self.ranks[found]
         return out
 
-    def count_long(self, token: str) -> int:
-        """The same for one very long sequence."""
-        sym: list[int | None] = [self.ids.get(c, self.n - 1) for c in token]
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index = {int(k): i for i, k in enumerate(self.keys)} if not hasattr(self, "_index") else self._index
-        self._index = index
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            at = index.get(sym[i] * self.n + sym[j])
-            if at is not None:
-                heapq.heappush(heap, (int(self.ranks[at]), i, sym[i] * self.n + sym[j], int(self.made[at])))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        left = n
-        while heap:
-            _, i, key, made = heapq.heappop(heap)
-            j = after[i] if sym[i] is not None else n
-            if j >= n or sym[i] is None or sym[i] * self.n + sym[j] != key:
+    def count_long(self, seqs: list[str]) -> np.ndarray:
+        """The same for long sequences: rank after rank, the pairs of a rank in all sequences at once.
+
+        Pairs wait in arrays by rank, so that a round costs what it joins, however long the sequences
+        are. Of pairs of one rank that overlap the leftmost go first; where a join makes a pair of the same
+        or a lower rank, what stands behind it in its sequence waits for the next round.
+        """
+        size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        whole = "".join(seqs)
+        total, none = len(whole), len(self.keys)
+        sym = np.append(self.char_ids[np.frombuffer(whole.encode("utf-32-le"), np.uint32)], -1)
+        seq = np.append(np.repeat(np.arange(len(seqs)), size), -1)
+        out = size.copy()
+        for i in np.flatnonzero(sym[:total] >= len(self.known)).tolist():  # no piece: one token a byte
+            out[seq[i]] += len(whole[i].encode()) - 1
+        # places ``total`` and -1 are the end mark, whose sequence is no other's
+        after, before = np.arange(1, total + 2), np.arange(-1, total)
+        after[total] = total
+        alive = np.ones(total + 1, bool)
+        place = np.full(total + 1, none)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            rank = self.ranks[place[at]]
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edges = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]).tolist()
+            for x, y in zip(edges, [*edges[1:], len(at)], strict=True):
+                r = int(rank[x])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(at[x:y])
+
+        def pairs(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.where(seq[left] == seq[right], self.lookup(a, b), none)
+
+        every = np.arange(total)
+        place[:total] = pairs(every, every + 1, sym[:total], sym[1:])
+        wait(every)
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (self.ranks[place[at]] == r)]
+            if not len(at):
                 continue
-            sym[i], sym[j], left = made, None, left - 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                push(i, after[i])
-            if before[i] >= 0:
-                push(before[i], i)
-        return left + sum(self.bytes_of(c) - 1 for c in token)
+            # every second one of a run of overlapping pairs
+            heads = np.r_[True, at[1:] != after[at[:-1]]]
+            hit = at[(np.arange(len(at)) - np.flatnonzero(heads)[np.cumsum(heads) - 1]) % 2 == 0]
+            made, right = self.made[place[hit]], after[hit]
+            joined = np.r_[False, before[hit[1:]] == right[:-1]]  # the pair before has just been joined
+            left = np.where(joined, np.r_[-1, hit[:-1]], before[hit])
+            left_sym = np.where(joined, np.r_[-1, made[:-1]], sym[left])
+            behind = after[right]
+            low = np.minimum(self.ranks[pairs(left, hit, left_sym, made)], self.ranks[pairs(hit, behind, made, sym[behind])]) <= r
+            passed = np.cumsum(low) - low
+            first = np.r_[True, seq[hit[1:]] != seq[hit[:-1]]]
+            now = passed == passed[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            if not now.all():
+                wait(at[~np.isin(at, hit[now])])
+                hit, made, right, behind = hit[now], made[now], right[now], behind[now]
+            sym[hit] = made
+            alive[right] = False
+            place[right] = none
+            after[hit] = behind
+            before[behind] = hit
+            np.subtract.at(out, seq[hit], 1)
+            near = np.unique(np.r_[hit, before[hit]])
+            near = near[(near >= 0) & alive[near]]
+            place[near] = pairs(near, after[near], sym[near], sym[after[near]])
+            wait(near)
+        return out
 
 
 #: A run of space marks with the word behind it.
@@ -225,7 +270,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
     Nulls: a null text counts as empty (0 bytes, 0 tokens), a null id stays null. Repeated rows give
     repeated results, an empty table an empty one; other columns are not read. Very long texts and
-    words are exact: a long word is joined with a heap. ``model``: the bytes of the vocabulary file,
+    words are exact. ``model``: the bytes of the vocabulary file,
     whose tables (a few MB, fixed by the vocabulary) go to the executors.
     """
     spark = docs.sparkSession
