@@ -1,8 +1,8 @@
 """Line dedup by content-defined chunks: only DataFrame functions, no Python on the executors.
 
-A text is a row of lines; physical lines that are longer than ``WRAP`` characters are wrapped at the
-ends of sentences, so that a passage counts alike whether it stands in many short lines or in a few
-long ones. A rolling hash over the hashes of two neighbouring lines chooses the cuts between chunks.
+A text is a row of lines; physical lines are wrapped at the ends of sentences, so that a passage
+counts alike whether it stands in many short lines or in a few long ones. A rolling hash over the
+hashes of two neighbouring lines chooses the cuts between chunks.
 A cut depends on the two lines beside it alone, so a passage is cut alike wherever it stands and
 whatever was put in before it.
 
@@ -26,8 +26,8 @@ from eonmap.llm.common import bind, hot_join, materialise, release, row_key
 ROLL = 31
 #: A pair of lines is a cut if its rolling hash modulo ``DIVISOR`` is less than ``CUTS``.
 DIVISOR, CUTS = 3, 2
-#: Characters of a physical line beyond which it is wrapped; least characters of the sentence that ends a wrapped line.
-WRAP, SENTENCE = 160, 40
+#: Least characters of a sentence that ends a wrapped line.
+SENTENCE = 40
 #: Stands between wrapped lines while they are made; a line that holds it is not wrapped.
 MARK = "\u0001"
 #: A line's end; blank lines belong to the line before.
@@ -39,8 +39,8 @@ def lines_of(text: Column) -> Column:
     ``joined`` restores the exact text. All steps are linear in the length of the text."""
     def logical(line: Column) -> Column:
         sentences = F.transform(F.split(line, SENTENCE_END), lambda s: F.when(F.length(s) >= SENTENCE, F.concat(s, F.lit(MARK))).otherwise(s))
-        wraps = (F.length(line) > WRAP) & ~F.contains(line, F.lit(MARK))
-        some = F.when(wraps, F.split(F.array_join(sentences, ""), MARK)).otherwise(F.array(line))
+        wraps = ~F.contains(line, F.lit(MARK))
+        some = F.when(wraps, F.split(F.rtrim(F.array_join(sentences, ""), F.lit(MARK)), MARK)).otherwise(F.array(line))
         return F.transform(some, lambda s, i: F.when(i == 0, F.concat(F.lit("\n"), s)).otherwise(s))
 
     return F.flatten(F.transform(F.split(text, NEWLINE), logical))

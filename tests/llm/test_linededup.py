@@ -28,11 +28,13 @@ def plain_lines(text):
     out = []
     for s in re.split(r"\n(?![\r\n])", text):
         some = [""]
-        if len(s) > linededup.WRAP and linededup.MARK not in s:
+        if linededup.MARK not in s:
             for sentence in re.split(r"(?:(?<=[.!?] )|(?<=[。！？]))", s):
                 some[-1] += sentence
                 if len(sentence) >= linededup.SENTENCE:
                     some.append("")
+            if len(some) > 1 and not some[-1]:
+                some.pop()
         else:
             some = [s]
         out += ["\n" + some[0], *some[1:]]
