@@ -1,3 +1,5 @@
+import random
+import re
 from urllib.parse import urlsplit
 
 from eonmap.llm import urltree
@@ -56,15 +58,72 @@ def test_edges(spark):
     assert judge(spark, []) == {}
 
 
-def test_levels_bound_the_rounds(spark, monkeypatch):
+def plain_tree(shapes, like=urltree.LIKE, min_share=urltree.MIN_SHARE):
+    """{shape: template} of one host, level by level with plain loops. shapes: {shape: (pages, blocked pages)}."""
+    state = {s: ("", s.split("/")) for s in shapes}
+    kind = lambda x: 0 if x is None else 1 if x == "" else 2 if "{n}" in x else 3 if "{h}" in x else 4
+    for level in range(max(len(segs) for _, segs in state.values())):
+        nodes = {}
+        for s, (template, segs) in state.items():
+            if len(segs) >= level:
+                nodes.setdefault(template, {}).setdefault(segs[level] if level < len(segs) else None, []).append(s)
+        for template, children in nodes.items():
+            stats = {c: ([sum(shapes[s][k] for s in some) for k in (0, 1)], [sum(shapes[s][0] for s in some if kind((state[s][1] + [None] * (level + 2))[level + 1]) == k) for k in range(5)])
+                     for c, some in children.items()}
+            nn, nbad = (sum(v[0][k] for v in stats.values()) for k in (0, 1))
+            after = [sum(v[1][k] for v in stats.values()) for k in range(5)]
+            for c, ((n, bad), own) in stats.items():
+                rest = nn - n
+                wild = False
+                if rest:
+                    slack = like + n ** -0.5 + rest ** -0.5
+                    rates = abs(bad / n - (nbad - bad) / rest) < slack
+                    wild = rates and (sum(abs(own[k] / n - (after[k] - own[k]) / rest) for k in range(5)) / 2 < slack or n / nn < min_share)
+                if c is not None:
+                    for s in children[c]:
+                        state[s] = (template + "/" + ("*" if wild else c), state[s][1])
+    return {s: t for s, (t, _) in state.items()}
+
+
+def test_tree_and_purity_against_plain_loops(spark):
+    """Templates, purity and verdicts of random urls of all depths equal a level-by-level version."""
+    rng = random.Random(5)
+    urls = []
+    for i in range(1500):
+        host = rng.choice(["a.com", "a.com", "b.example.com", "c.org", "d.net"])
+        depth = rng.choice([1, 2, 3, 4, 5, 12, 25])
+        segs = [rng.choice(["de", "fr", "en"])] + [rng.choice(["x", "y", "u" + "abcdefghij"[rng.randrange(10)] * rng.randrange(1, 4), str(i), "", "$"]) for _ in range(depth)]
+        urls.append(f"http://{host}/" + "/".join(segs))
+    got = judge(spark, urls)
+    pages = {}
+    for i, u in enumerate(urls):
+        host, path, hit = brute_rule(u)
+        pages.setdefault(host, {}).setdefault(re.sub(r"[0-9]+", "{n}", path[1:]), []).append((i, hit))
+    overall = sum(hit is not None and hit[1] == "block" for h in pages.values() for some in h.values() for _, hit in some) / (len(urls) + urltree.WEIGHT)
+    for shapes in pages.values():
+        counts = {s: (len(some), sum(hit is not None and hit[1] == "block" for _, hit in some)) for s, some in shapes.items()}
+        templates = plain_tree(counts)
+        bad_host, n_host = (sum(c[k] for c in counts.values()) for k in (1, 0))
+        p_host = (bad_host + urltree.WEIGHT * overall) / (n_host + urltree.WEIGHT)
+        by_template = {}
+        for s, some in shapes.items():
+            by_template.setdefault(templates[s], []).extend(some)
+        for s, some in shapes.items():
+            hits = [hit[1] for _, hit in by_template[templates[s]] if hit is not None]
+            purity = (hits.count("block") + urltree.WEIGHT * p_host) / (len(hits) + urltree.WEIGHT)
+            for i, hit in some:
+                assert got[i]["template"] == templates[s] and abs(got[i]["purity"] - purity) < 1e-9
+                assert got[i]["verdict"] == (hit[1] if hit else "block" if purity >= urltree.REJECT else "allow")
+    assert len({r["template"] for r in got.values()}) > 30
+
+
+def test_depth_costs_no_rounds(spark, monkeypatch):
+    """A path of 3,000 levels, and many that share 400, end where they end."""
     rounds, real = [], urltree.materialise
-
-    def counted(df):
-        rounds.append(1)
-        assert len(rounds) <= urltree.LEVELS + 2
-        return real(df)
-
-    monkeypatch.setattr(urltree, "materialise", counted)
-    tree = spark.createDataFrame([("d.com", "/".join(f"p{i}" for i in range(3000)), 1, 0)], "host string, shape string, n long, bad long")
-    urltree.grow(tree)
-    assert len(rounds) == urltree.LEVELS + 2
+    monkeypatch.setattr(urltree, "materialise", lambda df: rounds.append(1) or real(df))
+    trunk = "/".join(f"p{i}" for i in range(400))
+    shapes = ["/".join(f"p{i}" for i in range(3000))] + [f"{trunk}/{name}/x" for name in "abcdefghijklmnopqrst"]
+    tree = spark.createDataFrame([(f"h{i == 0}", s, 1, 0, 0) for i, s in enumerate(shapes)], "host string, shape string, n long, bad long, labelled long")
+    got = {r["shape"]: r["template"] for r in urltree.grow(tree).collect()}
+    assert got == {s: f"/{s}" if i == 0 else f"/{trunk}/*/x" for i, s in enumerate(shapes)}
+    assert len(rounds) <= 8
