@@ -1,6 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items that are rare under the corpus's own word frequencies are seeds. A
+Word n-grams of the test items that are rare under the corpus's own word frequencies are seeds. They
+are three words that stand together or with one other between, so that an item of which every third word is
+edited keeps some, also where a word was put in or left out; short items have seeds of two words as well. A
 document that holds a seed is aligned, around it, with the item: the local alignment score over the
 score of a perfect copy says how much of the item stands there, copied, edited or paraphrased. The
 frequencies are counted over all documents, and come from single words, so that an item which leaked
@@ -28,6 +30,11 @@ from eonmap.llm.common import slices
 WORD = re.compile(r"\w+")
 #: Words in a seed; bits of surprise from which an n-gram is rare; seeds that an item keeps at least.
 N, BITS, LEAST_SEEDS = 3, 22.0, 8
+#: Offsets of the words of a seed. Seeds of equal words are equal, whatever the offsets.
+SPACED = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: Items of up to so many words have pairs of words as seeds too, at these offsets, unless they have so
+#: few that two words alone would reach the threshold.
+SHORT_ITEM, PAIRS, PAIRS_FROM = 12, ((0, 1), (0, 2), (0, 3)), 5
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a document counts as contaminated.
@@ -45,6 +52,7 @@ class Items:
     words: list[np.ndarray]
     vocabulary: dict[str, int]
     has_short: bool = False
+    has_pairs: bool = False
 
 
 @dataclass
@@ -65,23 +73,36 @@ def numbers(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
 def number(items: list[tuple]) -> Items:
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall((t or "").lower())], np.int64) for _, t in items]
-    return Items([i for i, _ in items], words, vocabulary, any(0 < len(w) < N for w in words))
+    return Items([i for i, _ in items], words, vocabulary, any(0 < len(w) < N for w in words),
+                 any(PAIRS_FROM <= len(w) <= SHORT_ITEM for w in words))
 
 
-def codes_of(words: np.ndarray, v: int) -> np.ndarray:
-    """A number for each n-gram; -1 where a word is not in the vocabulary."""
-    if len(words) < N:
+def codes_of(words: np.ndarray, v: int, offsets: tuple[int, ...] = SPACED[0]) -> np.ndarray:
+    """A number for the words at ``offsets`` from each place; -1 where one is not in the vocabulary."""
+    n = len(words) - offsets[-1]
+    if n < 1:
         return np.zeros(0, np.int64)
-    out, known = np.zeros(len(words) - N + 1, np.int64), np.ones(len(words) - N + 1, bool)
-    for k in range(N):
-        part = words[k:len(words) - N + 1 + k]
+    out, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in offsets:
+        part = words[k:n + k]
         out = out * v + part
         known &= part > 0
     return np.where(known, out, -1)
 
 
+def all_codes(words: np.ndarray, v: int, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(code, place) of all seeds that the words may hold, as they are or spaced; words outside the vocabulary make none."""
+    code, place = [], []
+    for offsets in (*SPACED, *PAIRS) if pairs else SPACED:
+        c = codes_of(words, v, offsets)
+        at = np.flatnonzero(c >= 0)
+        code.append(c[at])
+        place.append(at)
+    return np.concatenate(code), np.concatenate(place)
+
+
 def choose_seeds(items: Items, counts: np.ndarray, bits: float = BITS, least: int = LEAST_SEEDS) -> Seeds:
-    """The rare n-grams of every item; of an item with few, its rarest.
+    """The rare n-grams of every item; of an item with few, its rarest. Short items keep all, pairs included.
 
     counts: occurrences in the corpus of each word, at 0 of all words outside the vocabulary.
     """
@@ -89,13 +110,17 @@ def choose_seeds(items: Items, counts: np.ndarray, bits: float = BITS, least: in
     surprise = -np.log2((counts + 1) / (counts.sum() + v))
     code, item, place = [], [], []
     for i, w in enumerate(items.words):
-        c = codes_of(w, v)
-        if len(c):
-            s = sum(surprise[w[k:len(w) - N + 1 + k]] for k in range(N))
-            keep = np.flatnonzero(s >= min(bits, np.sort(s)[::-1][min(least, len(s)) - 1]))
-            code.append(c[keep])
-            item.append(np.full(len(keep), i))
-            place.append(keep)
+        if len(w) < N:
+            continue
+        c, at = all_codes(w, v, PAIRS_FROM <= len(w) <= SHORT_ITEM)
+        if len(w) > SHORT_ITEM:
+            s = sum(surprise[c // v ** k % v] for k in range(N))
+            # the rarest are counted among words that stand together
+            keep = s >= min(bits, np.sort(s[:len(w) - N + 1])[::-1][min(least, len(w) - N + 1) - 1])
+            c, at = c[keep], at[keep]
+        code.append(c)
+        item.append(np.full(len(c), i))
+        place.append(at)
     if not code:
         return Seeds(*[np.zeros(0, np.int64)] * 4)
     code, item, place = np.concatenate(code), np.concatenate(item), np.concatenate(place)
@@ -123,13 +148,12 @@ def windows(words: np.ndarray, seeds: Seeds, items: Items) -> list[tuple[int, in
 
 
 def seed_windows(words: np.ndarray, seeds: Seeds, items: Items) -> list[tuple[int, int, int]]:
-    code = codes_of(words, len(items.vocabulary) + 1)
-    at = np.flatnonzero(code >= 0)
+    code, at = all_codes(words, len(items.vocabulary) + 1, items.has_pairs)
     if not len(at) or not len(seeds.codes):
         return []
-    k = np.searchsorted(seeds.codes, code[at])
+    k = np.searchsorted(seeds.codes, code)
     k[k == len(seeds.codes)] = 0
-    hit = seeds.codes[k] == code[at]
+    hit = seeds.codes[k] == code
     at, k = at[hit], k[hit]
     n = seeds.first[k + 1] - seeds.first[k]
     flat = np.repeat(seeds.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())

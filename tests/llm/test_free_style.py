@@ -35,6 +35,19 @@ def test_token_counts_equal_the_library(model):
     assert tokencount.Counter(table, remembered=5).count(texts) == want
 
 
+@pytest.mark.parametrize("bound", [1, 200])
+def test_long_words_join_rank_by_rank(model, monkeypatch, bound):
+    """Texts without a space, with the round of all pairs of a rank for all of them or for long ones."""
+    import sentencepiece
+
+    monkeypatch.setattr(tokencount, "LONG", bound)
+    rng = random.Random(4)
+    pools = ["abcdefghijklmnopqrstuvwxyz", "ab", "etaoin", "ABCabc0123+/é中文字的是", ["the", "ing", "ation", "aa", "aaa", "er"]]
+    texts = ["".join(rng.choice(pools[i % 5]) for _ in range(rng.choice((3, 30, 700, 5000)))) for i in range(150)] + ["a" * 100_000]
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_proto=model).encode(texts, num_threads=1)]
+    assert tokencount.Counter(tokencount.PieceTable.from_model(model)).count(texts) == want
+
+
 def test_token_query_on_documents(spark, model):
     import sentencepiece
 
@@ -437,3 +450,36 @@ def test_short_and_evenly_edited_copies(spark):
         texts += [base, edited]
     got = omh.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i - i % 2 for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("m", [5, 6, 8, 12, 13, 20, 40])
+@pytest.mark.parametrize("edits", ["every third", "random", "moved"])
+def test_edited_items_that_the_alignment_passes_are_found(m, edits):
+    """Of edited copies whose own alignment reaches the threshold, at least 0.97 are found in a text."""
+    rng = random.Random(m)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    items = decontam.number([(i, " ".join(rng.choices(vocabulary, weights, k=m))) for i in range(100)])
+    counts = np.zeros(len(items.vocabulary) + 1, np.int64)
+    np.add.at(counts, decontam.numbers(" ".join(rng.choices(vocabulary, weights, k=20_000)), items.vocabulary), 1)
+    seeds = decontam.choose_seeds(items, counts)
+    names = {i: w for w, i in items.vocabulary.items()}
+    texts, wanted = [], []
+    for i, words in enumerate(items.words):
+        copy = [names[w] for w in words.tolist()]
+        at = range(2, m, 3) if edits == "every third" else sorted(rng.sample(range(m), round(0.3 * m)), reverse=True)
+        for k in at:
+            new = ["qq"] if edits != "moved" else rng.choice([[], ["qq"], [copy[k], "qq"]])
+            copy[k:k + 1] = new
+        score, _ = decontam.align(words, [decontam.numbers(" ".join(copy), items.vocabulary)])
+        if score[0] >= decontam.THRESHOLD * decontam.MATCH * m:
+            wanted.append((len(texts), i))
+            texts.append("filler qq " * 20 + " ".join(copy) + " qq filler" * 20)
+    found = {(t, i) for t, i, *_ in decontam.score_texts(texts, items, seeds, decontam.THRESHOLD)}
+    assert len(wanted) > 40 and len(found.intersection(wanted)) >= 0.97 * len(wanted)
+
+
+def test_two_words_of_a_very_short_item_are_no_leak():
+    items = decontam.number([(1, "what is the capital"), (2, "name of it")])
+    seeds = decontam.choose_seeds(items, np.zeros(len(items.vocabulary) + 1, np.int64))
+    assert decontam.score_texts(["this is the end of it all", "what is capital"], items, seeds, decontam.THRESHOLD) == [(1, 0, 0.625, 0, 3)]
