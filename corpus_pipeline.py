@@ -13,8 +13,6 @@ from eonmap.llm.common import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text that no learned language explains, from which it is rejected.
 BACKGROUND = 0.9
-#: Share of a text's characters that repeats earlier documents, from which the rest is no document of its own.
-REPEATED = 0.8
 
 
 # All stages but the last return ``COLUMNS``; other columns of their input go. Rows with null or
@@ -28,11 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from all documents but the first. A document of which ``REPEATED`` of the
-    characters or more go is a copy of others, and goes as a whole: the scraps left of it would no
-    longer be like what it was copied from. Null and empty texts stay as they are."""
-    out = linededup.dedup_lines(docs.select(*COLUMNS, F.length("text").alias("was")))
-    out = out.where((F.col("n_removed") == 0) | ((F.trim("text") != "") & (F.length("text") > (1 - REPEATED) * F.col("was"))))
+    """Repeated passages go from all documents but the first; what else a document holds stays, however
+    little. Documents of which nothing is left but white space go. Null and empty texts stay as they are."""
+    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
