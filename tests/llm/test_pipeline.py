@@ -27,7 +27,19 @@ def test_stages(spark, tmp_path):
         seen[name] = {r["doc_id"]: r for r in docs.collect()}
     assert set(seen["language_id"]) == {r[0] for r in rows} - {300, 301}
     assert sum(passage in r["text"] for r in seen["line_dedup"].values()) == 1
-    assert 100 not in seen["line_dedup"] or len(seen["line_dedup"][100]["text"]) < len(rows[0][1])
+    # a copy goes as a whole, an edited one keeps the line of its own
+    assert 100 not in seen["line_dedup"] and seen["line_dedup"][0]["text"] == rows[0][1]
+    edited = next(s for s in rows[61][1].split("\n") if s not in rows[1][1])
+    assert edited in seen["line_dedup"][101]["text"] and len(seen["line_dedup"][101]["text"]) < len(rows[61][1])
     assert set(range(60)) <= set(seen["line_dedup"]) | {0} and 200 in seen["near_dedup"] and 200 not in seen["decontaminate"]
     assert set(range(60)) <= set(seen["decontaminate"])
     assert set(seen["mix"]) <= set(seen["decontaminate"]) and all(r["copies"] in (1, 2) for r in seen["mix"].values())
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
