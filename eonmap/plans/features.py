@@ -33,6 +33,10 @@ WARNINGS = {"open_ring": ("nonclosed-ring", "OpenRingWarning(node_id_start=%d, n
 FAULTS = {"Nested shells": "nested-shells", "Ring Self-intersection": "ring-self-intersect", "Self-intersection": "self-intersect"}
 #: Share of a unit's area inside another from which it is contained.
 CONTAINED = 0.90
+#: Partitions, and rows of each, of which equal rows go to one task.
+PARTS, HOT = 32, 500_000
+#: Whether the boxes of a pair share more than a border.
+MEET = "a_box[0] < b_box[2] and b_box[0] < a_box[2] and a_box[1] < b_box[3] and b_box[1] < a_box[3]"
 
 
 def to_geom(value: object) -> geometry.Geometry:
@@ -90,10 +94,46 @@ def with_computed(rows: DataFrame, inputs: Sequence[str], f: Callable[[list[list
     return rows.select(*keep).mapInArrow(work, schema)
 
 
-def spread(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt anew, for work that is dear for its bytes: small inputs would else be few tasks, and large shapes
-    that stand together would share one."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by))
+def remembered(f: Callable[[list[list]], list[list]]) -> Callable[[list[list]], list[list]]:
+    """``f`` on lists of which equal rows stand together: each is worked out once, also where it goes on in the next list."""
+    last: dict[tuple, tuple] = {}
+
+    def shape_of(value: object) -> object:
+        if isinstance(value, list) and (not value or isinstance(value[0], list)):
+            return tuple(tuple(r.tobytes() for r in polygon) for polygon in value)
+        return repr(value)
+
+    def each(columns: list[list]) -> list[list]:
+        keys = [tuple(map(shape_of, row)) for row in zip(*columns, strict=True)]
+        new: dict[tuple, int] = {}
+        for i, k in enumerate(keys):
+            if k not in last:
+                new.setdefault(k, i)
+        made = dict(last)
+        if new:
+            at = list(new.values())
+            made.update(zip(new, zip(*f([[c[i] for i in at] for c in columns]), strict=True), strict=True))
+        last.clear()
+        if keys:
+            last[keys[-1]] = made[keys[-1]]
+        found = [made[k] for k in keys]
+        return [list(c) for c in zip(*found, strict=True)] if found else f(columns)
+
+    return each
+
+
+def once_each(rows: DataFrame, inputs: Sequence[str], f: Callable[[list[list]], list[list]], new: Sequence[tuple[str, str, pa.DataType]], drop: Sequence[str] = ()) -> DataFrame:
+    """``with_computed`` for work that is dear for its bytes: rows are dealt anew by their inputs, since small tables would
+    else be few tasks, and equal inputs stand together and are worked out once for ``PARTS`` partitions and ``HOT`` rows of each, so that very many equal rows are no single task."""
+    part = F.struct(F.floor(F.spark_partition_id() / PARTS).alias("of"), F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / HOT).alias("at"))
+    keyed = rows.withColumn("__key", F.xxhash64(*inputs)).withColumn("__part", part)
+    dealt = keyed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "__part").sortWithinPartitions("__key")
+    return with_computed(dealt, inputs, remembered(f), new, [*drop, "__key", "__part"])
+
+
+def shape_key(geom: str = "geom") -> Column:
+    """A key of a geometry's value: two hashes, so that unequal ones don't share it."""
+    return F.struct(F.xxhash64(geom).alias("h1"), F.xxhash64(F.lit(1), geom).alias("h2"))
 
 
 # ------------------------------------------------------------- geometry of relations
@@ -151,12 +191,12 @@ def measured(rows: DataFrame, repair: bool = False) -> DataFrame:
         return [[geometry.area_km2(g) for g in geoms], faults, boxes, *([geoms] if repair else [])]
 
     new = [("km2", "double", pa.float64()), ("fault", "string", pa.string()), ("box", "array<double>", pa.list_(pa.float64()))]
-    return with_computed(rows, ["geom"], measure, [*new, ("geom", GEOM, ARROW_GEOM)] if repair else new)
+    return once_each(rows, ["geom"], measure, [*new, ("geom", GEOM, ARROW_GEOM)] if repair else new)
 
 
 def repaired(rows: DataFrame, odd: bool = False) -> DataFrame:
     """Replaces ``geom`` by valid polygons of what it covers; ``odd``: by the even-odd rule (see ``arrangement.repair``)."""
-    return with_computed(rows, ["geom"], lambda columns: [[arrangement.repair(g, odd) for g in columns[0]]], [("geom", GEOM, ARROW_GEOM)])
+    return once_each(rows, ["geom"], lambda columns: [[arrangement.repair(g, odd) for g in columns[0]]], [("geom", GEOM, ARROW_GEOM)])
 
 
 def cells(box: Column, degrees: float) -> Column:
@@ -184,10 +224,11 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str]
     lo = [F.greatest(F.col("a_box")[i], F.col("b_box")[i]) for i in (0, 1)]
     hi = [F.least(F.col("a_box")[i], F.col("b_box")[i]) for i in (2, 3)]
     once = quadtree.holds(F.col("cell"), *lo)
-    pairs = left.join(right, on).where((lo[0] <= hi[0]) & (lo[1] <= hi[1]) & once & F.expr(where)).drop("cell", "cell_b")
+    # never sent whole through the driver: a box may have many cells, and small files hold large geometries
+    pairs = left.join(right.hint("merge"), on).where((lo[0] <= hi[0]) & (lo[1] <= hi[1]) & once & F.expr(where)).drop("cell", "cell_b")
     for df, p, ids in ((a, "a", a_id), (b, "b", b_id)):
         if "geom" in df.columns:
-            pairs = pairs.join(side(df.select(*ids, "geom"), p), [f"{p}_{c}" for c in ids])
+            pairs = pairs.join(side(df.select(*ids, "geom"), p).hint("merge"), [f"{p}_{c}" for c in ids])
     return pairs
 
 
@@ -200,7 +241,7 @@ def overlaid(pairs: DataFrame) -> DataFrame:
         got = [arrangement.overlay_km2(x, y) for x, y in zip(*columns, strict=True)]
         return [[g[0] for g in got], [g[2] for g in got], [g[3] for g in got]]
 
-    return with_computed(spread(pairs, "a_geom", "b_geom"), ["a_geom", "b_geom"], areas, [("shared_km2", "double", pa.float64()), ("rest_km2", "double", pa.float64()), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
+    return once_each(pairs, ["a_geom", "b_geom"], areas, [("shared_km2", "double", pa.float64()), ("rest_km2", "double", pa.float64()), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
 
 
 def combined(pairs: DataFrame, how: str) -> DataFrame:
@@ -210,7 +251,7 @@ def combined(pairs: DataFrame, how: str) -> DataFrame:
         got = [arrangement.combine(x, y, how) for x, y in zip(*columns, strict=True)]
         return [[g for g, _ in got], [rung for _, rung in got]]
 
-    return with_computed(spread(pairs, "a_geom", "b_geom"), ["a_geom", "b_geom"], draw, [("geom", GEOM, ARROW_GEOM), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
+    return once_each(pairs, ["a_geom", "b_geom"], draw, [("geom", GEOM, ARROW_GEOM), ("rung", "int", pa.int32())], ["a_geom", "b_geom"])
 
 
 def dissolved(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -401,7 +442,7 @@ def double_coverage(rows: DataFrame, least: float = 0.0) -> DataFrame:
     The one that starts first is b. Pairs that can't have ``least`` earth years are not drawn.
     """
     own = rows.select("level", "ftype", "id", "lo", "hi", "km2", "box", "geom")
-    later = "(a_lo > b_lo or (a_lo = b_lo and struct(a_ftype, a_id) > struct(b_ftype, b_id)))"
+    later = f"(a_lo > b_lo or (a_lo = b_lo and struct(a_ftype, a_id) > struct(b_ftype, b_id))) and {MEET}"
     heavy = f"(least(a_hi, b_hi) - greatest(a_lo, b_lo)) * least(a_km2, b_km2) / {geometry.LAND_KM2} >= {least}"
     pairs = meeting(own, own, ["level"], ["level", "ftype", "id"], ["level", "ftype", "id"], f"{later} and a_lo < b_hi and b_lo < a_hi and {heavy}")
     span = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")
@@ -446,7 +487,7 @@ def clipped(rows: DataFrame, degrees: float) -> DataFrame:
             out.append([[r for r in rings if len(r) >= 3] for rings in part if len(rings[0]) >= 3])
         return [out]
 
-    some = with_computed(rows.withColumn("cell", F.explode(cells(F.col("box"), degrees))), ["cell", "geom"], cut, [("geom", GEOM, ARROW_GEOM)])
+    some = with_computed(rows.withColumn("cell", F.explode(cells(F.col("box"), degrees))), ["cell", "geom"], remembered(cut), [("geom", GEOM, ARROW_GEOM)])
     return some.where(F.size("geom") > 0)
 
 
@@ -496,7 +537,7 @@ def in_cells(rows: DataFrame, degrees: float) -> DataFrame:
         whole = [geometry.area_km2([[np.array([(x, y), (x + degrees, y), (x + degrees, y + degrees), (x, y + degrees)])]]) for x, y in ((c["cx"] * degrees, c["cy"] * degrees) for c in columns[1])]
         return [km2, [k >= w * (1 - 1e-12) for k, w in zip(km2, whole, strict=True)]]
 
-    return with_computed(clipped(rows, degrees), ["geom", "cell"], measure, [("part_km2", "double", pa.float64()), ("full", "boolean", pa.bool_())])
+    return with_computed(clipped(rows, degrees), ["geom", "cell"], remembered(measure), [("part_km2", "double", pa.float64()), ("full", "boolean", pa.bool_())])
 
 
 def region_era(rows: DataFrame, regions: DataFrame, eras: DataFrame, degrees: float = 10.0) -> DataFrame:
