@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eonmap.functions import arrangement, dates, geometry, text
 from eonmap.operators import temporal, topology
-from eonmap.plans.features import ARROW_GEOM, GEOM, cells, combined, dissolved, from_geom, measured, meeting, with_computed
+from eonmap.plans.features import ARROW_GEOM, GEOM, MEET, cells, combined, dissolved, from_geom, measured, meeting, once_each, shape_key
 from eonmap.sources import tables
 
 VALUES = ["fill", "d", "title", "layer"]
@@ -61,23 +61,23 @@ def project(rows: DataFrame, mesh: geometry.Mesh | None = None) -> DataFrame:
 def clip_to(rows: DataFrame, land: DataFrame) -> DataFrame:
     """Replaces geom by its polygons inside ``land`` (column geom, any polygons); empty where none is.
 
-    Faulty rows count by the even-odd rule, faulty land by its valid parts. Rows and land polygons meet on grid cells
-    and are cut pair by pair; a row's parts are then united, so that borders between land polygons
+    Faulty rows count by the even-odd rule, faulty land by its valid parts. Equal rows are cut once, by each of
+    unequal land polygons; they meet on grid cells and are cut pair by pair; a shape's parts are then united, so that borders between land polygons
     leave no seam. Lines and points of contact are no part of the result.
     """
-    own = tables.materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
+    own = tables.materialise(rows.withColumn("__shape", shape_key()))
+    shapes = tables.materialise(own.groupBy("__shape").agg(F.first("geom").alias("geom")))
 
     def sound(columns: list[list]) -> list[list]:
         return [[g if arrangement.why_invalid(g) is None else arrangement.repair(g, odd=True) for g in columns[0]]]
 
-    left = measured(with_computed(own.select("__row", "geom"), ["geom"], sound, [("geom", GEOM, ARROW_GEOM)])).where("box is not null")
-    single = land.select(F.posexplode("geom").alias("pos", "polygon")).select(F.monotonically_increasing_id().alias("land"), F.array("polygon").alias("geom"))
-    pairs = meeting(left.select("__row", "box", "geom"), tables.materialise(measured(single, repair=True).where("box is not null").select("land", "box", "geom")), [], ["__row"], ["land"],
-                    "a_box[0] < b_box[2] and b_box[0] < a_box[2] and a_box[1] < b_box[3] and b_box[1] < a_box[3]")
-    parts = combined(pairs.select(F.col("a___row").alias("__row"), "a_geom", "b_geom"), "intersection").where(F.size("geom") > 0)
-    made = dissolved(parts.select("__row", "geom"), ["__row"]).withColumnRenamed("geom", "clipped")
+    left = tables.materialise(measured(once_each(shapes, ["geom"], sound, [("geom", GEOM, ARROW_GEOM)])).where("box is not null").select("__shape", "box", "geom"))
+    single = land.select(F.explode("geom").alias("polygon")).select(F.array("polygon").alias("geom")).withColumn("land", shape_key()).groupBy("land").agg(F.first("geom").alias("geom"))
+    pairs = meeting(left, tables.materialise(measured(single, repair=True).where("box is not null").select("land", "box", "geom")), [], ["__shape"], ["land"], MEET)
+    parts = combined(pairs.select(F.col("a___shape").alias("__shape"), "a_geom", "b_geom"), "intersection").where(F.size("geom") > 0)
+    made = dissolved(parts.select("__shape", "geom"), ["__shape"]).withColumnRenamed("geom", "clipped")
     geom = F.coalesce("clipped", F.array().cast(GEOM)).alias("geom")
-    return own.join(made, "__row", "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != "geom"], geom)
+    return own.join(made, "__shape", "left").select(*[F.col(f"`{c}`") for c in rows.columns if c != "geom"], geom)
 
 
 def features(segments: DataFrame, mesh: geometry.Mesh | None = None) -> DataFrame:

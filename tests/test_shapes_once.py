@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from eonmap.plans import atlas
 from eonmap.plans import features as Q
 
 
@@ -46,3 +48,14 @@ def test_runs_go_on_across_lists():
     a, b = [[np.ones((3, 2))]], [[np.zeros((3, 2))]]
     assert f([[a, a, b]]) == [[6.0, 6.0, 0.0]] and f([[b, b]]) == [[0.0, 0.0]] and f([[]]) == [[]]
     assert seen == [2, 0]
+
+
+def test_clip_cuts_equal_rows_once(spark, monkeypatch):
+    cut = []
+    keep = atlas.combined
+    monkeypatch.setattr(atlas, "combined", lambda p, how: cut.append(p.count()) or keep(p, how))
+    rows = areas(spark, [(i, "2", 0, 1, box(i % 2, 0)) for i in range(20)]).select("id", "geom")
+    land = areas(spark, [(i, "2", 0, 1, box(0.5, 0)) for i in range(10)]).select("geom")
+    out = Q.measured(atlas.clip_to(rows, land)).collect()
+    whole = Q.measured(land).first()["km2"] / 2
+    assert len(out) == 20 and all(r["km2"] == pytest.approx(whole) for r in out) and cut == [2]
