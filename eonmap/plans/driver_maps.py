@@ -66,7 +66,7 @@ def map_earth_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(MAP_SQL + """select 'double-covered-admin-' || a.level as type, round(sum((least(a.hi, b.hi) - greatest(a.lo, b.lo)) * a.km2) / 149e6, 6) as count
 from p a join p b on a.x = b.x and a.y = b.y and a.level = b.level and a.id < b.id and a.lo < b.hi and b.lo < a.hi group by a.level""")
 def map_double_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.double_coverage_totals(features.double_coverage(features.coverage_rows(part_areas(spark, sf_dir), SNAPSHOT)))
+    return features.double_coverage_totals(features.double_coverage_by_shape(features.coverage_rows(part_areas(spark, sf_dir), SNAPSHOT)))
 
 
 @query(MAP_SQL + """, d as (select distinct level, x, y, km2, unnest(range(cast(ceil(lo / 10.0) * 10 as int), hi + 1, 10)) as decade from p where level in (2, 4))

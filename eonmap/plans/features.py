@@ -451,6 +451,30 @@ def double_coverage(rows: DataFrame, least: float = 0.0) -> DataFrame:
     return out.select("level", "a_type", "a", "b_type", "b", "earth_years").orderBy(F.desc("earth_years"))
 
 
+def double_coverage_by_shape(rows: DataFrame) -> DataFrame:
+    """level, earth_years: the totals of ``double_coverage`` by level and pair of shapes, without a row for each pair.
+
+    Rows of equal geometry are one shape. How long two of them, or two of two shapes, are there together is summed over
+    the times at which their numbers change, so that the work grows with rows and with pairs of unequal shapes that overlap.
+    """
+    keyed = tables.materialise(rows.where("lo < hi").select("level", shape_key().alias("shape"), "lo", "hi", "km2", "box", "geom"))
+    shapes = tables.materialise(keyed.groupBy("level", "shape").agg(F.first("km2").alias("km2"), F.first("box").alias("box"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("geom").alias("geom")))
+    alive = tables.materialise(temporal.elementary(keyed.select("level", "shape", "lo", "hi"), ["level", "shape"], "lo", "hi"))
+    twice = alive.groupBy("level", "shape").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("alive") * (F.col("alive") - 1) / 2).alias("years"))
+    own = twice.where("years > 0").join(shapes.select("level", "shape", "km2"), ["level", "shape"]).select("level", (F.col("years") * F.col("km2") / geometry.LAND_KM2).alias("earth_years"))
+    pairs = meeting(shapes, shapes, ["level"], ["level", "shape"], ["level", "shape"], f"a_shape < b_shape and a_lo < b_hi and b_lo < a_hi and {MEET}")
+    shared = tables.materialise(overlaid(pairs.select(F.col("a_level").alias("level"), "a_shape", "b_shape", "a_geom", "b_geom")).where("shared_km2 > 0"))
+    step = lambda side: shared.select("level", "a_shape", "b_shape", F.col(f"{side}_shape").alias("shape")).join(alive, ["level", "shape"]).select(
+        "level", "a_shape", "b_shape", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.col("alive").alias("n")), F.struct(F.col("hi").alias("at"), (-F.col("alive")).alias("n")))).alias("m")).select(
+        "level", "a_shape", "b_shape", "m.at", *[(F.col("m.n") if c == side else F.lit(0)).cast("bigint").alias(c) for c in "ab"])
+    marks = step("a").unionByName(step("b")).groupBy("level", "a_shape", "b_shape", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy("level", "a_shape", "b_shape").orderBy("at")
+    together = marks.select("level", "a_shape", "b_shape", (F.sum("a").over(w) * F.sum("b").over(w) * (F.lead("at").over(w) - F.col("at"))).alias("years"))
+    together = together.groupBy("level", "a_shape", "b_shape").agg(F.sum("years").alias("years")).where("years > 0")
+    other = together.join(shared, ["level", "a_shape", "b_shape"]).select("level", (F.col("years") * F.col("shared_km2") / geometry.LAND_KM2).alias("earth_years"))
+    return own.unionByName(other)
+
+
 def double_coverage_totals(pairs: DataFrame) -> DataFrame:
     """type (double-covered-admin-2, say) and count: the earth years of all pairs of each level."""
     return pairs.groupBy(F.concat(F.lit("double-covered-admin-"), "level").alias("type")).agg(F.round(F.sum("earth_years"), 6).alias("count"))

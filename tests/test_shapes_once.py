@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eonmap.plans import atlas
 from eonmap.plans import features as Q
+from eonmap.sources import tables
 
 
 def box(x, y, w=1.0, h=1.0):
@@ -59,3 +60,16 @@ def test_clip_cuts_equal_rows_once(spark, monkeypatch):
     out = Q.measured(atlas.clip_to(rows, land)).collect()
     whole = Q.measured(land).first()["km2"] / 2
     assert len(out) == 20 and all(r["km2"] == pytest.approx(whole) for r in out) and cut == [2]
+
+
+def test_double_coverage_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, str(1 + i % 2), s := int(rng.integers(0, 40)), s + int(rng.integers(0, 30)), box(float(rng.integers(0, 3)) / 2, 0)) for i in range(80)]
+    rows = tables.materialise(areas(spark, [*rows, (100, "1", 30, 10, box(0, 0))]))
+    pairs = {r["type"]: r["count"] for r in Q.double_coverage_totals(Q.double_coverage(rows)).collect()}
+    held = []
+    keep = Q.overlaid
+    monkeypatch.setattr(Q, "overlaid", lambda p: held.append(p.count()) or keep(p))
+    found = {r["type"]: r["count"] for r in Q.double_coverage_totals(Q.double_coverage_by_shape(rows)).collect()}
+    assert found == pytest.approx(pairs, abs=2e-6) and len(found) == 2
+    assert sum(held) <= 2 * 3
