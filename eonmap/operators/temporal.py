@@ -136,6 +136,13 @@ def elementary(rows: DataFrame, by: Sequence[str], start: str, end: str) -> Data
     return out.where("alive > 0").select(*by, "lo", "hi", "alive")
 
 
+def islands(rows: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
+    """by, lo, hi: the union of the ranges of each group as ranges that don't touch."""
+    w = Window.partitionBy(*by).orderBy("lo")
+    pieces = elementary(rows, by, start, end).withColumn("_new", F.when(F.col("lo") == F.lag("hi").over(w), 0).otherwise(1))
+    return pieces.withColumn("_island", F.sum("_new").over(w)).groupBy(*by, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+
+
 def covered_length(rows: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
     """by, covered: length of the union of the ranges of each group."""
     return elementary(rows, by, start, end).groupBy(*by).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))

@@ -35,6 +35,8 @@ FAULTS = {"Nested shells": "nested-shells", "Ring Self-intersection": "ring-self
 CONTAINED = 0.90
 #: Partitions, and rows of each, of which equal rows go to one task.
 PARTS, HOT = 32, 500_000
+#: Sets of shapes whose common area a task remembers.
+KNOWN = 1_000
 #: Whether the boxes of a pair share more than a border.
 MEET = "a_box[0] < b_box[2] and b_box[0] < a_box[2] and a_box[1] < b_box[3] and b_box[1] < a_box[3]"
 
@@ -524,19 +526,29 @@ def coverage_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     own = a.where("lo < hi")
     mine = tables.materialise(clipped(own.select("id", "lo", "hi", "box", "geom"), 10.0).select("id", "lo", "hi", "cell", F.col("box").alias("at"), "geom"))
-    theirs = tables.materialise(clipped(b.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "box", "geom"), 10.0).select("b", "blo", "bhi", "cell", "box", F.col("geom").alias("other")))
+    # of equal pieces in a cell one is left, with the times at which any of them is there
+    pieces = tables.materialise(clipped(b.where("lo < hi").select("lo", "hi", "box", "geom"), 10.0).withColumn("b", shape_key()).select("b", "lo", "hi", "cell", "box", F.col("geom").alias("other")))
+    theirs = tables.materialise(pieces.groupBy("b", "cell").agg(F.first("box").alias("box"), F.first("other").alias("other")))
+    times = temporal.islands(pieces.select("b", "cell", "lo", "hi"), ["b", "cell"], "lo", "hi").select("b", "cell", F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    there = tables.materialise(theirs.drop("other").join(times, ["b", "cell"]))
     inside = "at[0] < box[2] and box[0] < at[2] and at[1] < box[3] and box[1] < at[3]"
-    pairs = mine.drop("geom").join(theirs.drop("other"), "cell").where(f"lo < bhi and blo < hi and {inside}")
+    pairs = mine.drop("geom").join(there.hint("merge"), "cell").where(f"lo < bhi and blo < hi and {inside}")
     pairs = tables.materialise(pairs.select("id", "cell", "b", F.greatest("lo", "blo").alias("blo"), F.least("hi", "bhi").alias("bhi")))
     pieces = temporal.elementary(pairs, ["id", "cell"], "blo", "bhi").select("id", "cell", F.col("lo").alias("plo"), F.col("hi").alias("phi"))
     there = pieces.join(pairs, ["id", "cell"]).where("blo <= plo and phi <= bhi")
     drawn = there.join(theirs.select("b", "cell", "other"), ["b", "cell"]).select("id", "cell", "plo", "phi", F.col("other").alias("geom"), F.lit(False).alias("own"))
     drawn = drawn.unionByName(pieces.join(mine.select("id", "cell", "geom"), ["id", "cell"]).select("id", "cell", "plo", "phi", "geom", F.lit(True).alias("own")))
 
+    shared: dict[tuple, float] = {}
+
     def covered(t: pa.Table) -> pa.Table:
         geoms = list(zip(t.column("own").to_pylist(), geoms_of(t.column("geom")), strict=True))
-        both = [[polygon for own, g in geoms if own == side for polygon in g] for side in (True, False)]
-        km2 = arrangement.overlay_km2(*both)[0]
+        key = tuple(sorted((own, tuple(tuple(r.tobytes() for r in polygon) for polygon in g)) for own, g in geoms))
+        if key not in shared:
+            if len(shared) >= KNOWN:
+                shared.clear()
+            shared[key] = arrangement.overlay_km2(*[[polygon for own, g in geoms if own == side for polygon in g] for side in (True, False)])[0]
+        km2 = shared[key]
         return pa.table({"id": t.column("id")[:1], "covered": [(t.column("phi")[0].as_py() - t.column("plo")[0].as_py()) * max(0.0, km2) / geometry.LAND_KM2]})
 
     kind = a.schema["id"].dataType.simpleString()
