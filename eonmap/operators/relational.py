@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eonmap.operators.numbering import key_pairs, numbered
+from eonmap.operators.numbering import key_neighbours, neighbour_counts, numbered
 
 # ------------------------------------------------------------- tags
 #: Prefixes of keys that don't tell duplicates apart.
@@ -82,7 +82,7 @@ def keepers(rows: DataFrame, by: Sequence[str], preferred: Column, id_col: str)
 
 def shared_key_edges(pairs: DataFrame, key: str, node: str, least: int = 1) -> DataFrame:
     """a, b, shared: nodes that share ``least`` keys or more, a < b."""
-    return key_pairs(pairs, key, node).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return neighbour_counts(key_neighbours(pairs, [key], node)).withColumnRenamed("n", "shared").where(F.col("shared") >= least)
 
 
 def value_counts(rows: DataFrame, value: str, pos: str | None = None) -> DataFrame:
