@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eonmap.operators.numbering import key_pairs
+from eonmap.operators.numbering import key_neighbours, neighbour_counts, overlapping_neighbours
 from eonmap.sources.tables import materialise
 
 Adjacency = dict[int, set[int]]
@@ -60,14 +60,19 @@ def merged_chronologies(members: DataFrame, chrono: str = "chrono_id", member: s
     return first.select(F.col("canonical").alias(chrono), (F.row_number().over(w) - 1).alias(pos), member)
 
 
-def node_edges(node_ways: DataFrame, node_ranges: DataFrame) -> DataFrame:
+def node_edges(node_ways: DataFrame, node_ranges: DataFrame, of_ages: bool = False) -> DataFrame:
     """a, b (a < b): nodes that share a way and have ranges that overlap.
 
-    node_ways: node, way_id. node_ranges: node, start, end (date keys); a node may have several.
+    node_ways: node, way_id. node_ranges: node, start, end (date keys); a node may have several. of_ages: ways have
+    nodes of many ages, of which only contemporaries are paired; else ranges are compared once for each pair of nodes.
     """
-    near = key_pairs(node_ways, "way_id", "node").select("a", "b").distinct()
-    ra = node_ranges.select(F.col("node").alias("a"), F.col("start").alias("sa"), F.col("end").alias("ea"))
-    rb = node_ranges.select(F.col("node").alias("b"), F.col("start").alias("sb"), F.col("end").alias("eb"))
+    ranges = node_ranges.select("node", "start", "end").distinct()
+    if of_ages:
+        near = neighbour_counts(overlapping_neighbours(node_ways.select("way_id", "node").distinct().join(ranges, "node"), "way_id", "node", "start", "end"))
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = neighbour_counts(key_neighbours(node_ways, ["way_id"], "node")).select("a", "b")
+    ra = ranges.select(F.col("node").alias("a"), F.col("start").alias("sa"), F.col("end").alias("ea"))
+    rb = ranges.select(F.col("node").alias("b"), F.col("start").alias("sb"), F.col("end").alias("eb"))
     return near.join(ra, "a").join(rb, "b").where("sa < eb and sb < ea").select("a", "b").distinct()
 
 
