@@ -639,9 +639,11 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     shapes = measured(relation_geometry(rows, way_pts), repair=True).where("km2 > 0").select("id", "km2", "geom").join(rows.select("id", "lo", "hi"), "id")
     placed = rows.select("id", F.posexplode("order").alias("pos", "way"))
     seen = placed.groupBy("way").agg(F.min(F.struct("id", "pos")).alias("first"))
-    near = numbering.key_pairs(placed, "way", "id").join(seen, "way").groupBy("a", "b").agg(F.min("first").alias("first"))
+    # only contemporaries meet, so that a border of many ages makes no pair of each two of them
+    met = numbering.overlapping_neighbours(placed.join(rows.select("id", "lo", "hi"), "id"), "way", "id", "lo", "hi").select("way", F.col("a").alias("x"), F.explode("bs").alias("y"))
+    near = met.select("way", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(seen, "way").groupBy("a", "b").agg(F.min("first").alias("first"))
     side = lambda p: shapes.select(*[F.col(c).alias(f"{p}_{c}") for c in shapes.columns])
-    pairs = near.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where("a_lo < b_hi and b_lo < a_hi")
+    pairs = near.join(side("a").hint("merge"), F.col("a") == F.col("a_id")).join(side("b").hint("merge"), F.col("b") == F.col("b_id")).where("a_lo < b_hi and b_lo < a_hi")
     lean = overlaid(pairs.select("a", "b", "first", "a_km2", "b_km2", "a_geom", "b_geom"))
     a_in_b = F.col("a_km2") <= F.col("b_km2")
     inside = lean.where(F.col("shared_km2") >= CONTAINED * F.least("a_km2", "b_km2")).select(
@@ -651,7 +653,7 @@ def connectivity(relations: DataFrame, way_pts: DataFrame) -> dict[str, DataFram
     node_of = rows.select("id").join(own_chron.drop("pos"), "id", "left").select("id", F.coalesce("node", "id").alias("node"))
     home = rows.select("id", "ways", "lo", "hi").join(dropped, "id", "left").withColumn("at", F.coalesce("into", "id")).join(node_of.withColumnRenamed("id", "at"), "at")
     home = tables.materialise(home)
-    edges = tables.materialise(graph.node_edges(home.select("node", F.explode("ways").alias("way_id")), home.select("node", F.col("lo").alias("start"), F.col("hi").alias("end"))))
+    edges = tables.materialise(graph.node_edges(home.select("node", F.explode("ways").alias("way_id")), home.select("node", F.col("lo").alias("start"), F.col("hi").alias("end")), of_ages=True))
     gone = copies.join(home.select(F.col("id").alias("into"), "node"), "into").select("id", "node", F.lit(True).alias("gone"))
     whole = home.select("id", "node", F.col("into").isNotNull().alias("gone")).unionByName(gone)
     # members stand as in their chronology
