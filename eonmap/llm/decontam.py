@@ -41,7 +41,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Bytes of test items in a block.
 BLOCK_BYTES = 8_000_000
-CHARS = 2_000_000
+#: Bytes of texts whose leaks are found at once, and whose words are counted at once.
+CHARS, COUNTED = 2_000_000, 10_000_000
 
 
 @dataclass
@@ -175,17 +176,25 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     """Best local alignment score of each passage with the item, and the passage word where it ends."""
     m, c = len(item), len(passages)
     longest = max(map(len, passages))
-    text = np.full((c, longest), -1, np.int64)
+    text = np.full((longest, c, 1), -1, np.int32)
     for i, p in enumerate(passages):
-        text[i, :len(p)] = p
+        text[:len(p), i, 0] = p
     text[text == 0] = -1  # words outside the vocabulary match nothing
-    row, best, end = np.zeros((c, m + 1)), np.zeros(c), np.zeros(c, int)
-    slope = -GAP * np.arange(m + 1)
+    item = item.astype(np.int32)
+    row, best, end = np.zeros((c, m + 1), np.int32), np.zeros(c, np.int32), np.zeros(c, int)
+    new, up = np.zeros_like(row), np.empty((c, m), np.int32)
+    slope = -GAP * np.arange(m + 1, dtype=np.int32)
     for j in range(longest):
-        step = np.where(item[None] == text[:, j, None], MATCH, MISMATCH)
-        new = np.zeros((c, m + 1))
-        new[:, 1:] = np.maximum(np.maximum(row[:, :-1] + step, row[:, 1:] + GAP), 0)
-        row = np.maximum.accumulate(new + slope, axis=1) - slope  # gaps along the item
+        step = (item == text[j]).astype(np.int32)
+        step *= MATCH - MISMATCH
+        step += row[:, :-1]
+        step += MISMATCH
+        np.add(row[:, 1:], GAP, out=up)
+        np.maximum(step, up, out=up)
+        np.maximum(up, 0, out=new[:, 1:])
+        np.add(new, slope, out=row)
+        np.maximum.accumulate(row, axis=1, out=row)  # gaps along the item
+        row -= slope
         top = row.max(axis=1)
         better = top > best
         best[better], end[better] = top[better], j + 1
@@ -243,9 +252,9 @@ def _one_block(spark, docs: DataFrame, items: Items, schema: str, threshold: flo
         vocabulary = shared.value.vocabulary
         total = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
-            texts = batch.column(0)
-            for i in range(batch.num_rows):
-                np.add.at(total, numbers(texts[i].as_py(), vocabulary), 1)
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), COUNTED):
+                words = [numbers(t, vocabulary) for t in batch.column(0).slice(a, b - a).to_pylist()]
+                total += np.bincount(np.concatenate(words), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["word", "n"])
 
