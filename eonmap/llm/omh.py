@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,10 @@ WORD_BINS = 128
 SMALL, THIN = 16, 4
 #: Features of a text outside shared passages, and classes that share one of them up to which they join nodes.
 OWN, FEW = 40, 20
+#: Words in front of another one by which a pair that comes by several words is known; more would only spare repetitions.
+BEFORE = 16
+#: Rows up to which a join needs no care for hot keys.
+FEW_ROWS = 100_000
 #: Nodes by which words are ordered, and words known as frequent; the order changes costs, not results.
 ORDER_NODES, FREQUENT = 20_000, 200_000
 #: Bits of a k-mer's hash by which the least are found (ties go to the first in the text), and of its bin.
@@ -191,13 +196,9 @@ def rare_words(hashes: list[np.ndarray], similarity: float, known: tuple[np.ndar
     key is a word with that length; longer: whether the text has it. Only then is it held against
     the others of the key, which are as long or shorter. known: sorted words and their counts.
     """
-    words, starts, size = grams_of(hashes, 1)
-    words, of = words.view(np.int64), np.repeat(np.arange(len(hashes)), size)
-    at = np.minimum(np.searchsorted(known[0], words), max(len(known[0]) - 1, 0))
-    count = np.where(known[0][at] == words, known[1][at], 0) if len(known[0]) else np.zeros(len(words), np.int64)
-    order = np.lexsort((words, count, of))
-    rank = np.arange(len(words)) - np.repeat(starts, size)
-    own = np.repeat(size, size)
+    words, of, rank, order = _by_rarity(hashes, known)
+    size = np.maximum([len(h) for h in hashes], 1)
+    own = size[of]
     found = []
     for more in range(int(most_edits(size, similarity).max(initial=0)) + 1):
         length = own + more
@@ -207,41 +208,75 @@ def rare_words(hashes: list[np.ndarray], similarity: float, known: tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def shared_rare(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, text) -> node, words (hashes of all of them), rare and longer: those keys of ``rare_words`` of which texts alike share one."""
-    def made(f: Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = Hasher()
-            for batch in batches:
-                for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), CHARS):
-                    words = [words_of(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                    hashes = np.split(hasher([w for ws in words for w in ws]), np.cumsum([len(w) for w in words])[:-1])
-                    lists = []
-                    for of, values in f(hashes):
-                        values, of = values[np.argsort(of, kind="stable")], np.sort(of)
-                        ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(hashes)))].astype(np.int32)
-                        lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["node", "words", "rare", "longer"][:1 + len(lists)])
-
-        return work
-
-    def every(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        words, _, size = grams_of(hashes, 1)
-        return np.repeat(np.arange(len(hashes)), size), words.view(np.int64)
+def first_words(hashes: list[np.ndarray], similarity: float, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word): the rarest words of each text, rarest first, one more than edits that its longest text alike allows.
+
+    Words and their order are those of ``rare_words``: the first word that two texts alike have in common comes, in
+    both, after no more words than the longer one's length allows edits.
+    """
+    words, of, rank, order = _by_rarity(hashes, known)
+    kept = rank <= most_edits(np.array([len(h) for h in hashes]), similarity)[of]
+    return of[kept], words[order[kept]]
+
 
+def _by_rarity(hashes: list[np.ndarray], known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words labelled with their occurrence number, and by text, rarest first: text, rank in it, and place among the words."""
+    words, starts, size = grams_of(hashes, 1)
+    words, of = words.view(np.int64), np.repeat(np.arange(len(hashes)), size)
+    at = np.minimum(np.searchsorted(known[0], words), max(len(known[0]) - 1, 0))
+    count = np.where(known[0][at] == words, known[1][at], 0) if len(known[0]) else np.zeros(len(words), np.int64)
+    return words, of, np.arange(len(words)) - np.repeat(starts, size), np.lexsort((words, count, of))
+
+
+def _lists_of(f: Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray]]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of node and text to node and lists of what ``f`` makes, (text, value) in the order of values."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), CHARS):
+                words = [words_of(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                hashes = np.split(hasher([w for ws in words for w in ws]), np.cumsum([len(w) for w in words])[:-1])
+                lists = []
+                for of, values in f(hashes):
+                    values, of = values[np.argsort(of, kind="stable")], np.sort(of)
+                    ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(hashes)))].astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["node", *names])
+
+    return work
+
+
+def _every_word(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    words, _, size = grams_of(hashes, 1)
+    return np.repeat(np.arange(len(hashes)), size), words.view(np.int64)
+
+
+def _known_words(texts: DataFrame) -> Broadcast:
+    """Sorted words and counts of the frequent ones among (node, text), by some of the nodes."""
     part = min(1.0, ORDER_NODES / max(texts.count(), 1))
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(part * 1_000_000)).select("node", "text")
-    seen = some.mapInArrow(made(lambda hashes: [every(hashes)]), "node binary, words array<long>").select(F.explode("words").alias("word"))
+    seen = some.mapInArrow(_lists_of(lambda hashes: [_every_word(hashes)], ["words"]), "node binary, words array<long>").select(F.explode("words").alias("word"))
     often = seen.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT)
     known = sorted(tuple(r) for r in often.collect())
-    sent = texts.sparkSession.sparkContext.broadcast((np.array([r[0] for r in known], np.int64), np.array([r[1] for r in known], np.int64)))
+    return texts.sparkSession.sparkContext.broadcast((np.array([r[0] for r in known], np.int64), np.array([r[1] for r in known], np.int64)))
+
+
+def shared_rare(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, text) -> node, words (hashes of all of them), rare and longer: those keys of ``rare_words`` of which texts alike share one."""
+    sent = _known_words(texts)
 
     def both(hashes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        of, words = every(hashes)
+        of, words = _every_word(hashes)
         text, key, longer = rare_words(hashes, similarity, sent.value)
         return [(of, words.astype(np.int32)), (text, key), (text, longer)]
 
-    return texts.select("node", "text").mapInArrow(made(both), "node binary, words array<int>, rare array<long>, longer array<boolean>")
+    return texts.select("node", "text").mapInArrow(_lists_of(both, ["words", "rare", "longer"]), "node binary, words array<int>, rare array<long>, longer array<boolean>")
+
+
+def shared_first(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, text) -> node, firsts: the words of ``first_words``, of which texts alike share one."""
+    sent = _known_words(texts)
+    return texts.select("node", "text").mapInArrow(_lists_of(lambda hashes: [first_words(hashes, similarity, sent.value)], ["firsts"]), "node binary, firsts array<long>")
 
 
 def features_behind(texts: DataFrame, rounds: int) -> DataFrame:
@@ -334,21 +369,63 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the least node of each connected component.
 
-    Labels spread along edges and jump along labels; a round is a few joins, and the rounds grow
-    with the logarithm of the longest chain.
+    In each round every node goes to the least of its neighbours and itself, in an order that changes with
+    the round; edges between the nodes that are left go on. So edges become fewer by a share each
+    round, and all rounds together move a few times as many as there are.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = hot_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = materialise(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
-        of = spread.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = materialise(hot_join(spread, of, "label").select("node", F.least("label", "jump").alias("label"), "old"))
-        release(labels, spread)
-        labels = new
-        if not new.where("label <> old").limit(1).count():
-            release(both)
-            return new.select("node", "label")
+    left = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("to"))
+        to = materialise(left.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["to"].alias("to")).withColumnRenamed("a", "node"))
+        half = _meet(left, to.select(F.col("node").alias("a"), F.col("to").alias("c")), "a").select("c", "b").distinct()
+        half = materialise(half) if left.count() > FEW_ROWS else half
+        fewer = materialise(_meet(half, to.select(F.col("node").alias("b"), F.col("to").alias("d")), "b").where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+        release(left, half)
+        left = fewer
+        steps.append(to)
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    done, found = [left], steps.pop()
+    while steps:
+        done.append(found)
+        found = _moved(steps.pop(), "to", found)
+    if "stored_at" not in vars(found):
+        done.append(found := materialise(found))
+    out = materialise(_meet(found, found.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label"))
+    release(*done, found)
+    return out
+
+
+def _meet(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``hot_join`` of stored rows; a plain join of few rows, stored or not, where no key can be much work."""
+    return hot_join(rows, facts, key) if "stored_at" in vars(rows) and rows.count() > FEW_ROWS else rows.join(facts, key)
+
+
+def _moved(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """Stored ``rows`` (node, ``column``) with values of ``column`` replaced by where (node, ``column``) of ``to`` leads from them, if anywhere."""
+    further = to.select(F.col("node").alias(column), F.col(column).alias("further"))
+    many = rows.count() > FEW_ROWS
+    if many:
+        joined = hot_join(rows, rows.select(column).distinct().join(further, column, "left"), column)
+    else:
+        joined = rows.join(further, column, "left")
+    out = joined.select("node", F.coalesce("further", column).alias(column))
+    return materialise(out) if many else out
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of ``components``, after further links (a, b): only the classes that they join are worked through."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"))
+    every = materialise(labels.union(ends.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label")))
+    top = components(materialise(between))
+    out = _moved(every, "label", top)
+    if "stored_at" not in vars(out):
+        out = materialise(out)
+    release(labels, every, top)
+    return out
 
 
 def lengths_fit(a: Column, b: Column, similarity: float) -> Column:
@@ -356,6 +433,13 @@ def lengths_fit(a: Column, b: Column, similarity: float) -> Column:
     return F.abs(a - b) <= F.floor((1 - similarity) * F.greatest(a, b) + 1e-9)
 
 
+def bins_fit(similarity: float) -> Column:
+    """Whether texts of n_a and n_b words, whose ``word_bins`` are bins_a and bins_b, can be alike."""
+    more = "aggregate(zip_with(bins_{0}, bins_{1}, (x, y) -> greatest(int(x) - int(y), 0)), 0, (s, x) -> s + x)"
+    most = F.floor((1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    return (F.expr(more.format("a", "b")) <= most) & (F.expr(more.format("b", "a")) <= most)
+
+
 def unlike(rows: DataFrame, by: str, similarity: float, also: str = "true") -> DataFrame:
     """a, b: pairs of nodes in one group that lie in different classes, of lengths that may be alike.
 
@@ -385,6 +469,26 @@ def unlike_short(rows: DataFrame, similarity: float, also: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1]).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def unlike_first(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of nodes that share one of their first words, and lie in different classes (see ``first_words``).
+
+    rows: word, at (its place among the first ones), before (some of those in front of it), node, label, n, bins. A pair comes by
+    the first word that it shares, as far as ``before`` tells. Members of a word's largest class are not held against each other.
+    """
+    classes = rows.groupBy("word", "label").agg(F.count("*").alias("m"))
+    main = classes.groupBy("word").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    some = materialise(rows.join(main, "word"))
+    side = lambda df, p: df.select("word", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "bins", "at", "before")], (F.col("label") == F.col("main")).alias(f"main_{p}"))
+    most = F.floor((1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    # of two rows of other classes than the largest one, either comes once
+    once = F.col("main_b") | (F.col("node_a") < F.col("node_b"))
+    fits = once & lengths_fit(F.col("n_a"), F.col("n_b"), similarity) & (F.greatest("at_a", "at_b") <= most) & ~F.arrays_overlap("before_a", "before_b") & bins_fit(similarity)
+    pairs = side(some.where("label <> main"), "a").join(side(some, "b"), "word").where((F.col("label_a") != F.col("label_b")) & fits)
+    out = materialise(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    release(some)
+    return out
+
+
 def by_features(features: DataFrame, similarity: float, most: int = FEW) -> DataFrame:
     """a, b: pairs of ids of different classes by the features (id, label, n, feature) that at most ``most`` classes share.
 
@@ -464,19 +568,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if part.num_rows:
                     yield part
 
-        # texts alike have nearly equal counts of words in each bin; the others' texts are not fetched
-        side = lambda c, *names: texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
-        more = "aggregate(zip_with(bins_{0}, bins_{1}, (x, y) -> greatest(int(x) - int(y), 0)), 0, (s, x) -> s + x)"
-        most = F.floor((1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
-        near = few.select("a", "b").join(side("a", "n", "bins"), "a").join(side("b", "n", "bins"), "b")
-        near = materialise(near.where((F.expr(more.format("a", "b")) <= most) & (F.expr(more.format("b", "a")) <= most)).select("a", "b"))
-        with_b = near.join(side("a", "text"), "a").join(side("b", "text"), "b")
-        return materialise(with_b.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary"))
+        # texts alike have nearly equal counts of words in each bin; the others are not aligned
+        side = lambda c: texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("text", "n", "bins")])
+        near = few.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(bins_fit(similarity))
+        return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary"))
 
     # first the likeliest pair of each node, then all pairs of a bucket that still lie in different classes
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = verified(best)
-    labels = components(links)
+    labels = components(verified(best))
     at = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     apart = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").select("a", "b")
     apart = materialise(apart.join(at[0], "a", "left").join(at[1], "b", "left").where("la is null or lb is null or la <> lb"))
@@ -487,6 +586,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         mixed = members.groupBy("sample").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
         return materialise(members.join(mixed.select("sample"), "sample", "left_semi"))
 
+    def behind_large(labels: DataFrame) -> DataFrame:
+        """``labels`` with the links of all nodes in large buckets of different classes, by their first words: none is missed."""
+        at = held.where(F.col("size") > SMALL).join(labels, "node", "left").select("sample", "node", "n", F.coalesce("label", "node").alias("label"))
+        mixed = at.groupBy("sample").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+        open_nodes = materialise(at.join(mixed.select("sample"), "sample", "left_semi").select("node", "n", F.xxhash64("label").alias("label")).distinct())
+        if open_nodes.isEmpty():
+            return labels
+        firsts = shared_first(texts.join(open_nodes.select("node"), "node"), similarity)
+        words = open_nodes.join(firsts, "node").join(texts.select("node", "bins"), "node").select("node", "label", "n", "bins", "firsts", F.posexplode("firsts").alias("at", "word"))
+        todo = unlike_first(words.withColumn("before", F.slice("firsts", F.lit(1), F.least("at", F.lit(BEFORE)))).drop("firsts"), similarity)
+        # again one pair of each node comes first
+        lead = materialise(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        labels = with_links(labels, verified(lead))
+        now = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        rest = todo.join(lead, ["a", "b"], "left_anti").join(now("a"), "a", "left").join(now("b"), "b", "left")
+        labels = with_links(labels, verified(rest.where("la is null or lb is null or la <> lb").select("a", "b")))
+        release(open_nodes, todo, lead)
+        return labels
+
     members = still_apart()
     for turn in range(PIVOTS):
         if members.isEmpty():
@@ -497,8 +615,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = verified(materialise(few.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()))
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        labels = components(links)
+        labels = with_links(labels, found)
         release(members)
         members = still_apart()
     left = unlike(members.where(F.col("size") <= SMALL).select("sample", "node", "label", "n"), "sample", similarity)
@@ -517,8 +634,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.join(name("a"), "id_a").join(name("b"), "id_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = left.union(found)
     left = materialise(left.join(best, ["a", "b"], "left_anti").union(apart.select("a", "b")).distinct())
-    links = links.unionByName(verified(left))
-    labels = components(links)
+    labels = with_links(labels, verified(left))
+    labels = behind_large(labels)
 
     named = materialise(rows.join(labels, "node", "left").select("doc_id", "key", "n_words", F.coalesce("label", "node").alias("label")))
     release(rows, nodes, held, pairs, texts, left, brief, large, members, labels)
