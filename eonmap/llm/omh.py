@@ -16,7 +16,9 @@ all pairs of a small bucket whose nodes still lie in different classes follow.
 
 In a large bucket (a passage that many documents share) comparing all pairs would grow with the square
 of its size. Its nodes are sampled again without the stretches that its samples come from: by single
-words, neighbours and next but one of what is left, of which those that few classes share join nodes.
+words, neighbours and next but one of what is left, of which those that few classes share join nodes. All nodes
+of large buckets that lie apart even then are candidates by their first words: ordered by rarity, two texts
+alike have one of those in common, so that none is missed.
 Short texts, of which samples miss some, are candidates by their rare words as well, without samples:
 by the number of edits that a link allows, texts that are alike share one of those, so that none is
 missed.
