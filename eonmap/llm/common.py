@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,21 @@ def materialise_by(df: DataFrame, column: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a query go when the query has ended, not when the driver next collects garbage.
+
+    What runs again later (a lost executor's tasks, a result read twice) makes its shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that no later step reads."""
     for table in tables:

@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eonmap.llm.common import hot_join, materialise, materialise_by, release, row_key, slices
+from eonmap.llm.common import hot_join, materialise, materialise_by, release, row_key, shuffles_freed, slices
 
 WORD = re.compile(r"\w+")
 #: Words in a k-mer; rounds of hashing and bins in each, of which every one gives a sample; similarity of a link.
@@ -52,12 +52,14 @@ SHORT = 50
 PIVOTS = 1
 #: Bins of a text's words, by which pairs that can't be alike are found before their texts are fetched.
 WORD_BINS = 128
+#: Numbers of 64 bits for a text's words, by which more such pairs are found, once a pair.
+WORD_LONGS = 64
 #: Nodes in a bucket up to which all pairs are compared; of larger ones, whose nodes share many, every so many-th takes part in rounds.
 SMALL, THIN = 16, 4
 #: Features of a text outside shared passages, and classes that share one of them up to which they join nodes.
 OWN, FEW = 40, 20
-#: Words in front of another one by which a pair that comes by several words is known; more would only spare repetitions.
-BEFORE = 16
+#: First words of a text, those of least hash, by which a pair that comes by several words is known; more would only spare repetitions.
+LEAST_WORDS = 16
 #: Rows up to which a join needs no care for hot keys.
 FEW_ROWS = 100_000
 #: Nodes by which words are ordered, and words known as frequent; the order changes costs, not results.
@@ -184,6 +186,15 @@ def word_bins(hashes: list[np.ndarray], bins: int = WORD_BINS) -> np.ndarray:
     return np.minimum(np.bincount(of * bins + at, minlength=len(hashes) * bins), 127).astype(np.int8)
 
 
+def word_bits(hashes: list[np.ndarray], longs: int = WORD_LONGS) -> np.ndarray:
+    """A bit for each word of a text, labelled with its occurrence number, as ``longs`` numbers a text; an edit changes one word for one."""
+    words, _, size = grams_of(hashes, 1)
+    of, at = np.repeat(np.arange(len(hashes)), size), words >> np.uint64(40)
+    out = np.zeros(len(hashes) * longs, np.uint64)
+    np.bitwise_or.at(out, of * longs + (at // np.uint64(64) % np.uint64(longs)).astype(np.int64), np.uint64(1) << at % np.uint64(64))
+    return out.view(np.int64)
+
+
 def most_edits(n: np.ndarray, similarity: float) -> np.ndarray:
     """Edits between a text of ``n`` words and any text alike, which may be the longer one."""
     return np.floor(n * (1 - similarity) / similarity + 1e-9).astype(np.int64)
@@ -276,9 +287,13 @@ def shared_rare(texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def shared_first(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, text) -> node, firsts: the words of ``first_words``, of which texts alike share one."""
+    """(node, text) -> node, firsts: the words of ``first_words``, of which texts alike share one; and bits: ``word_bits``."""
     sent = _known_words(texts)
-    return texts.select("node", "text").mapInArrow(_lists_of(lambda hashes: [first_words(hashes, similarity, sent.value)], ["firsts"]), "node binary, firsts array<long>")
+
+    def both(hashes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [first_words(hashes, similarity, sent.value), (np.repeat(np.arange(len(hashes)), WORD_LONGS), word_bits(hashes))]
+
+    return texts.select("node", "text").mapInArrow(_lists_of(both, ["firsts", "bits"]), "node binary, firsts array<long>, bits array<long>")
 
 
 def features_behind(texts: DataFrame, rounds: int) -> DataFrame:
@@ -442,6 +457,13 @@ def bins_fit(similarity: float) -> Column:
     return (F.expr(more.format("a", "b")) <= most) & (F.expr(more.format("b", "a")) <= most)
 
 
+def bits_fit(similarity: float) -> Column:
+    """Whether texts of n_a and n_b words, whose ``word_bits`` are bits_a and bits_b, can be alike."""
+    only = "aggregate(zip_with(bits_{0}, bits_{1}, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
+    most = F.floor((1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    return (F.expr(only.format("a", "b")) <= most) & (F.expr(only.format("b", "a")) <= most)
+
+
 def unlike(rows: DataFrame, by: str, similarity: float, also: str = "true") -> DataFrame:
     """a, b: pairs of nodes in one group that lie in different classes, of lengths that may be alike.
 
@@ -474,17 +496,17 @@ def unlike_short(rows: DataFrame, similarity: float, also: str) -> DataFrame:
 def unlike_first(rows: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs of nodes that share one of their first words, and lie in different classes (see ``first_words``).
 
-    rows: word, at (its place among the first ones), before (some of those in front of it), node, label, n, bins. A pair comes by
-    the first word that it shares, as far as ``before`` tells. Members of a word's largest class are not held against each other.
+    rows: word, least (of the ``LEAST_WORDS`` least hashes of the text's first words those that are less than ``word``), node, label, n, bins.
+    A pair comes by the least word that it shares, as far as ``least`` tells: by rarity, by which first words are chosen, texts share
+    the last ones of many. Members of a word's largest class are not held against each other.
     """
     classes = rows.groupBy("word", "label").agg(F.count("*").alias("m"))
     main = classes.groupBy("word").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     some = materialise(rows.join(main, "word"))
-    side = lambda df, p: df.select("word", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "bins", "at", "before")], (F.col("label") == F.col("main")).alias(f"main_{p}"))
-    most = F.floor((1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    side = lambda df, p: df.select("word", *[F.col(c).alias(f"{c}_{p}") for c in ("node", "label", "n", "bins", "least")], (F.col("label") == F.col("main")).alias(f"main_{p}"))
     # of two rows of other classes than the largest one, either comes once
     once = F.col("main_b") | (F.col("node_a") < F.col("node_b"))
-    fits = once & lengths_fit(F.col("n_a"), F.col("n_b"), similarity) & (F.greatest("at_a", "at_b") <= most) & ~F.arrays_overlap("before_a", "before_b") & bins_fit(similarity)
+    fits = once & lengths_fit(F.col("n_a"), F.col("n_b"), similarity) & ~F.arrays_overlap("least_a", "least_b") & bins_fit(similarity)
     pairs = side(some.where("label <> main"), "a").join(side(some, "b"), "word").where((F.col("label_a") != F.col("label_b")) & fits)
     out = materialise(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     release(some)
@@ -518,6 +540,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are in classes of their own. Repeated rows count in class_size. An empty table gives no rows;
     other columns are not read.
     """
+    with shuffles_freed(docs.sparkSession):
+        return _near_classes(docs, id_col, text_col, similarity, rounds)
+
+
+def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, rounds: int) -> DataFrame:
     key = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), key.alias("key"), F.col(f"`{text_col}`").alias("text"))
     kind = some.schema["doc_id"].dataType.simpleString()
@@ -544,6 +571,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = materialise(some.mapInArrow(work, f"doc_id {kind}, key long, node binary, n_words long, samples array<long>, bins array<tinyint>"))
     nodes = materialise(rows.where("n_words > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n_words").alias("n"), F.first("samples").alias("samples"), F.first("bins").alias("bins")))
+    sampled, rows = rows, materialise(rows.drop("samples", "bins"))
+    release(sampled)
     # one exchange serves the count of each bucket and its nodes; a node is in a bucket once
     keys = nodes.select("node", "n", F.explode("samples").alias("sample")).repartition("sample")
     sizes = keys.groupBy("sample").agg(F.count("*").alias("size")).where("size > 1")
@@ -595,16 +624,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         open_nodes = materialise(at.join(mixed.select("sample"), "sample", "left_semi").select("node", "n", F.xxhash64("label").alias("label")).distinct())
         if open_nodes.isEmpty():
             return labels
-        firsts = shared_first(texts.join(open_nodes.select("node"), "node"), similarity)
-        words = open_nodes.join(firsts, "node").join(texts.select("node", "bins"), "node").select("node", "label", "n", "bins", "firsts", F.posexplode("firsts").alias("at", "word"))
-        todo = unlike_first(words.withColumn("before", F.slice("firsts", F.lit(1), F.least("at", F.lit(BEFORE)))).drop("firsts"), similarity)
+        firsts = materialise(shared_first(texts.join(open_nodes.select("node"), "node"), similarity))
+        words = open_nodes.join(firsts.drop("bits"), "node").join(texts.select("node", "bins"), "node").select("node", "label", "n", "bins", F.slice(F.array_sort("firsts"), 1, LEAST_WORDS).alias("least"), F.explode("firsts").alias("word"))
+        shared = unlike_first(words.withColumn("least", F.filter("least", lambda w: w < F.col("word"))), similarity)
+        side = lambda c: open_nodes.join(firsts, "node").select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        todo = materialise(shared.join(side("a"), "a").join(side("b"), "b").where(bits_fit(similarity)).select("a", "b"))
         # again one pair of each node comes first
         lead = materialise(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         labels = with_links(labels, verified(lead))
         now = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         rest = todo.join(lead, ["a", "b"], "left_anti").join(now("a"), "a", "left").join(now("b"), "b", "left")
         labels = with_links(labels, verified(rest.where("la is null or lb is null or la <> lb").select("a", "b")))
-        release(open_nodes, todo, lead)
+        release(open_nodes, firsts, shared, todo, lead)
         return labels
 
     members = still_apart()

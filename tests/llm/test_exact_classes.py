@@ -87,3 +87,47 @@ def test_alignment_against_plain_smith_waterman():
             plain.append((top[0], -top[1]))
         score, end = decontam.align(np.array(item), [np.array(t) for t in texts])
         assert list(zip(score.tolist(), end.tolist(), strict=True)) == plain
+
+
+def test_a_pair_that_shares_many_first_words_comes_about_once(spark):
+    """Two texts whose rarest words differ share 200 of their first words: the join makes few rows, and each pair is there."""
+    rng, rows = random.Random(45), []
+    common = [rng.randrange(-2**63, 2**63) for _ in range(200)]
+    for node, label in (("a", 1), ("b", 2), ("c", 3)):
+        firsts = [rng.randrange(-2**63, 2**63) for _ in range(40)] + common
+        least = sorted(firsts)[:omh.LEAST_WORDS]
+        rows += [(bytearray(node, "utf8"), label, 1000, [0] * omh.WORD_BINS, w, [x for x in least if x < w]) for w in firsts]
+    frame = spark.createDataFrame(rows, "node binary, label long, n long, bins array<tinyint>, word long, least array<long>")
+    got = omh.unlike_first(frame, omh.SIMILARITY).collect()
+    assert sorted((bytes(r["a"]), bytes(r["b"])) for r in got) == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
+    side = lambda p: frame.select("word", *[frame[c].alias(f"{c}_{p}") for c in ("node", "least")])
+    rows = side("a").join(side("b"), "word").where("node_a < node_b and not arrays_overlap(least_a, least_b)").count()
+    assert rows < 30
+
+
+def test_word_bits_never_tell_texts_alike_apart(spark):
+    rng = random.Random(44)
+    hasher = omh.Hasher()
+    rows = []
+    for i in range(60):
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(1, 300))]
+        b = [w if rng.random() > 0.1 * (i % 4) else "new" for w in a][rng.randint(0, 1):] or ["x"]
+        bits = [omh.word_bits([hasher(x)]).tolist() for x in (a, b)]
+        rows.append((omh.alike(" ".join(a), " ".join(b)), len(a), len(b), *bits))
+    got = spark.createDataFrame(rows, "alike boolean, n_a long, n_b long, bits_a array<long>, bits_b array<long>").withColumn("fit", omh.bits_fit(omh.SIMILARITY)).collect()
+    assert all(r["fit"] for r in got if r["alike"]) and any(r["alike"] for r in got) and not all(r["fit"] for r in got)
+
+
+def test_shuffle_files_go_when_a_query_ends(spark):
+    """Of the setting within and behind; the classes do not change by it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen = []
+    before = spark.conf.get(name)
+    keep = omh._near_classes
+    try:
+        omh._near_classes = lambda docs, *a: (seen.append(spark.conf.get(name)), keep(docs, *a))[1]
+        out = omh.near_classes(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")], "doc_id long, text string"))
+        assert sorted((r["doc_id"], r["class_id"]) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    finally:
+        omh._near_classes = keep
+    assert seen == ["true"] and spark.conf.get(name) == before
