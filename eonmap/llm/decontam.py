@@ -201,14 +201,28 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best, end
 
 
+def may_reach(item: np.ndarray, passage: np.ndarray, there: np.ndarray, threshold: float) -> bool:
+    """Whether the passage holds so many of the item's words that an alignment can score ``threshold``: no word of the item counts twice.
+
+    there: for each word of the vocabulary False, as it is again afterwards.
+    """
+    there[passage] = True
+    there[0] = False  # words outside the vocabulary match nothing
+    held = np.count_nonzero(there[item])
+    there[passage] = False
+    return held / len(item) >= threshold
+
+
 def score_texts(texts: list[str | None], items: Items, seeds: Seeds, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, window start, passage end) of the best passage for each text and item."""
     numbered, todo = [], {}
+    there = np.zeros(len(items.vocabulary) + 1, bool)
     for t, text in enumerate(texts):
         words = numbers(text, items.vocabulary)
         numbered.append(words)
         for i, a, b in windows(words, seeds, items):
-            todo.setdefault(i, []).append((t, a, b))
+            if may_reach(items.words[i], words[a:b], there, threshold):
+                todo.setdefault(i, []).append((t, a, b))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for i, spots in todo.items():
         spots.sort(key=lambda s: s[2] - s[1])

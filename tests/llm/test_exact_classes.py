@@ -131,3 +131,24 @@ def test_shuffle_files_go_when_a_query_ends(spark):
     finally:
         omh._near_classes = keep
     assert seen == ["true"] and spark.conf.get(name) == before
+
+
+def test_only_passages_that_may_reach_the_threshold_are_aligned(monkeypatch):
+    """A passage with a seed and nothing else of its item is left out; results are those of aligning every passage."""
+    rng = random.Random(46)
+    items = decontam.number([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(30))) for i in range(20)])
+    back = {n: w for w, n in items.vocabulary.items()}
+    texts = []
+    for i in range(60):
+        item = [back[n] for n in items.words[i % 20].tolist()]
+        copy = [w if rng.random() < 0.8 else "other" for w in item] if i % 3 == 0 else item[10:13]
+        texts.append(" ".join(["before"] * 20 + copy + ["behind"] * 20))
+    seeds = decontam.choose_seeds(items, np.ones(len(items.vocabulary) + 1, np.int64))
+    aligned = []
+    keep = decontam.align
+    monkeypatch.setattr(decontam, "align", lambda item, passages: (aligned.extend(passages), keep(item, passages))[1])
+    got = decontam.score_texts(texts, items, seeds, decontam.THRESHOLD)
+    few = len(aligned)
+    monkeypatch.setattr(decontam, "may_reach", lambda *a: True)
+    assert got == decontam.score_texts(texts, items, seeds, decontam.THRESHOLD)
+    assert len(got) >= 18 and few < (len(aligned) - few) / 2
