@@ -577,6 +577,8 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
     keys = nodes.select("node", "n", F.explode("samples").alias("sample")).repartition("sample")
     sizes = keys.groupBy("sample").agg(F.count("*").alias("size")).where("size > 1")
     held = materialise(keys.join(sizes, "sample"))
+    sampled, nodes = nodes, materialise(nodes.drop("samples"))
+    release(sampled)
     whole = F.struct("node", "n")
     ends = held.groupBy("sample").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"))
     pairs = held.join(ends, "sample").select("node", "n", F.explode(F.array("lo", "hi")).alias("lead")).where("node <> lead.node")
