@@ -17,6 +17,8 @@ Every removed line stands earlier in the corpus, so that the first of all occurr
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,19 @@ SENTENCE = 40
 #: Stands between wrapped lines while they are made; a line that holds it is not wrapped.
 MARK = "\u0001"
 #: A line's end; blank lines belong to the line before.
-NEWLINE, SENTENCE_END = r"\n(?![\r\n])", r"(?<=[.!?] |[。！？])"
+NEWLINE = r"\n(?![\r\n])"
+#: Ends of sentences.
+SENTENCE_ENDS = (". ", "! ", "? ", "。", "！", "？")
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text. A physical line's first has a line end before it, so that
     ``joined`` restores the exact text. All steps are linear in the length of the text."""
     def logical(line: Column) -> Column:
-        sentences = F.transform(F.split(line, SENTENCE_END), lambda s: F.when(F.length(s) >= SENTENCE, F.concat(s, F.lit(MARK))).otherwise(s))
         wraps = ~F.contains(line, F.lit(MARK))
+        # no two ends overlap, so that marks behind each of them in turn are those of one pass
+        ended = functools.reduce(lambda s, end: F.replace(s, F.lit(end), F.lit(end + MARK)), SENTENCE_ENDS, line)
+        sentences = F.transform(F.split(ended, MARK), lambda s: F.when(F.length(s) >= SENTENCE, F.concat(s, F.lit(MARK))).otherwise(s))
         some = F.when(wraps, F.split(F.rtrim(F.array_join(sentences, ""), F.lit(MARK)), MARK)).otherwise(F.array(line))
         return F.transform(some, lambda s, i: F.when(i == 0, F.concat(F.lit("\n"), s)).otherwise(s))
 
@@ -58,18 +64,16 @@ def contents(lines: Column) -> Column:
 def cuts_of(text: Column, divisor: int = DIVISOR, cuts: int = CUTS) -> Column:
     """The cuts of a text in order: pos (the line after the cut), lo and hi (first line of the chunk
     before, end of the chunk after) and hash (of the two lines beside the cut, which aren't blank)."""
-    def rolled(lines: Column) -> Column:
-        def at(hashes: Column) -> Column:
-            pair = lambda h, i: F.struct(i.alias("pos"), F.when(
-                (i > 0) & (F.get(lines, i - 1) != "") & (F.get(lines, i) != ""), F.xxhash64(F.get(hashes, i - 1), F.lit(ROLL), h)).alias("hash"))
-            return F.filter(F.transform(hashes, pair), lambda c: F.pmod(c["hash"], F.lit(divisor)) < cuts)
-
-        found = bind(F.transform(lines, lambda s: F.xxhash64(s)), at)
+    def rolled(hashes: Column) -> Column:
+        # the hash of a blank line is null
+        pair = lambda h, i: F.struct(i.alias("pos"), F.when(
+            (i > 0) & h.isNotNull() & F.get(hashes, i - 1).isNotNull(), F.xxhash64(F.get(hashes, i - 1), F.lit(ROLL), h)).alias("hash"))
+        found = F.filter(F.transform(hashes, pair), lambda c: F.pmod(c["hash"], F.lit(divisor)) < cuts)
         return bind(found, lambda some: F.transform(some, lambda c, i: F.struct(
             c["pos"].alias("pos"), F.coalesce(F.get(some, i - 1)["pos"], F.lit(0)).alias("lo"),
-            F.coalesce(F.get(some, i + 1)["pos"], F.size(lines)).alias("hi"), c["hash"].alias("hash"))))
+            F.coalesce(F.get(some, i + 1)["pos"], F.size(hashes)).alias("hi"), c["hash"].alias("hash"))))
 
-    return bind(contents(lines_of(text)), rolled)
+    return bind(F.transform(contents(lines_of(text)), lambda s: F.when(s != "", F.xxhash64(s))), rolled)
 
 
 def agreeing(a: Column, b: Column) -> Column:

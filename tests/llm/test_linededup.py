@@ -167,3 +167,18 @@ def test_filters_on_the_result_stay_linear(spark):
     big = "\n".join(line(rng) for _ in range(20_000))
     df = linededup.dedup_lines(spark.createDataFrame([(1, big), (2, big)], "doc_id long, text string"))
     assert [r["doc_id"] for r in df.where((F.col("n_removed") == 0) | (F.trim("text") != "")).collect()][:1] == [1]
+
+
+def test_sentences_end_without_a_look_behind(spark):
+    """A regular expression tried every character of a text before; the sentences are the same."""
+    rng = random.Random(45)
+    texts = ["".join(rng.choice(["a", "b" * 20, ". ", "! ", "? ", "。", "！", "？", " ", ".", "\n", "\r\n", "\u0001"][:12 if i % 9 else 13]) for _ in range(rng.randrange(80))) for i in range(500)]
+    texts += ["", " ", ". ", "." * 50 + " ", ". . " * 30, "x" * 60 + "。。" + "y" * 60]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", linededup.lines_of(F.col("text")).alias("lines"))
+    assert "?<=" not in got._jdf.queryExecution().toString()
+    for row in got.collect():
+        plain = []
+        for line in re.split(r"\n(?![\r\n])", row["text"]):
+            some = [line] if "\u0001" in line else "".join(s + "\u0001" * (len(s) >= linededup.SENTENCE) for s in re.split(r"(?<=[.!?] )|(?<=[。！？])", line)).rstrip("\u0001").split("\u0001")
+            plain += ["\n" + some[0], *some[1:]]
+        assert row["lines"] == plain
