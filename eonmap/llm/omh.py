@@ -60,8 +60,9 @@ SMALL, THIN = 16, 4
 OWN, FEW = 40, 20
 #: First words of a text, those of least hash, by which a pair that comes by several words is known; more would only spare repetitions.
 LEAST_WORDS = 16
-#: Rows up to which a join needs no care for hot keys.
-FEW_ROWS = 100_000
+#: Rows up to which a join needs no care for hot keys, and tasks that such rows are dealt to: their rounds are many, and
+#: a task has costs of its own (files, log, what the driver keeps of it).
+FEW_ROWS, FEW_TASKS = 100_000, 4
 #: Nodes by which words are ordered, and words known as frequent; the order changes costs, not results.
 ORDER_NODES, FREQUENT = 20_000, 200_000
 #: Bits of a k-mer's hash by which the least are found (ties go to the first in the text), and of its bin.
@@ -392,12 +393,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     steps: list[DataFrame] = []
-    while not left.isEmpty():
+    while rows := left.count():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("to"))
-        to = materialise(left.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["to"].alias("to")).withColumnRenamed("a", "node"))
-        half = _meet(left, to.select(F.col("node").alias("a"), F.col("to").alias("c")), "a").select("c", "b").distinct()
-        half = materialise(half) if left.count() > FEW_ROWS else half
-        fewer = materialise(_meet(half, to.select(F.col("node").alias("b"), F.col("to").alias("d")), "b").where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+        to = materialise(_dealt(left.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["to"].alias("to")).withColumnRenamed("a", "node"), rows))
+        half = _dealt(_meet(left, to.select(F.col("node").alias("a"), F.col("to").alias("c")), "a").select("c", "b"), rows).distinct()
+        half = materialise(half) if rows > FEW_ROWS else _dealt(half, rows)
+        whole = _meet(half, to.select(F.col("node").alias("b"), F.col("to").alias("d")), "b").where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b"))
+        fewer = materialise(_dealt(_dealt(whole, rows).distinct(), rows))
         release(left, half)
         left = fewer
         steps.append(to)
@@ -409,11 +411,17 @@ def components(edges: DataFrame) -> DataFrame:
         found = _moved(steps.pop(), "to", found)
     if "stored_at" not in vars(found):
         done.append(found := materialise(found))
-    out = materialise(_meet(found, found.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label"))
+    rows = found.count()
+    out = materialise(_dealt(_meet(found, _dealt(found.groupBy("to").agg(F.min("node").alias("label")), rows), "to").select("node", "label"), rows))
     release(*done, found)
     return out
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made from so many rows, in few tasks where they are few."""
+    return df.coalesce(FEW_TASKS) if rows <= FEW_ROWS else df
+
+
 def _meet(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """``hot_join`` of stored rows; a plain join of few rows, stored or not, where no key can be much work."""
     return hot_join(rows, facts, key) if "stored_at" in vars(rows) and rows.count() > FEW_ROWS else rows.join(facts, key)
@@ -422,13 +430,13 @@ def _meet(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 def _moved(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
     """Stored ``rows`` (node, ``column``) with values of ``column`` replaced by where (node, ``column``) of ``to`` leads from them, if anywhere."""
     further = to.select(F.col("node").alias(column), F.col(column).alias("further"))
-    many = rows.count() > FEW_ROWS
-    if many:
+    n = rows.count()
+    if n > FEW_ROWS:
         joined = hot_join(rows, rows.select(column).distinct().join(further, column, "left"), column)
     else:
         joined = rows.join(further, column, "left")
-    out = joined.select("node", F.coalesce("further", column).alias(column))
-    return materialise(out) if many else out
+    out = _dealt(joined.select("node", F.coalesce("further", column).alias(column)), n)
+    return materialise(out) if n > FEW_ROWS else out
 
 
 def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -436,12 +444,16 @@ def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct()
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
-    every = materialise(labels.union(ends.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label")))
-    top = components(materialise(between))
+    if links.isEmpty():
+        return labels
+    rows = labels.count() + links.count()
+    every = materialise(_dealt(labels.union(ends.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label")), rows))
+    between = materialise(_dealt(between, rows))
+    top = components(between)
     out = _moved(every, "label", top)
     if "stored_at" not in vars(out):
         out = materialise(out)
-    release(labels, every, top)
+    release(labels, every, between, top)
     return out
 
 
@@ -612,10 +624,9 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
     at = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     apart = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").select("a", "b")
     apart = materialise(apart.join(at[0], "a", "left").join(at[1], "b", "left").where("la is null or lb is null or la <> lb"))
-    def still_apart() -> DataFrame:
-        """sample, node, n, size, label of the buckets whose nodes lie in different classes."""
-        some_large = (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("sample"), F.lit(THIN)) == 0)
-        members = held.where((F.col("size") > 2) & some_large).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def still_apart(before: DataFrame) -> DataFrame:
+        """sample, node, n, size, label of those buckets of ``before`` whose nodes lie in different classes."""
+        members = before.select("sample", "node", "n", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = members.groupBy("sample").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
         return materialise(members.join(mixed.select("sample"), "sample", "left_semi"))
 
@@ -640,7 +651,8 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
         release(open_nodes, firsts, shared, todo, lead)
         return labels
 
-    members = still_apart()
+    some_large = (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("sample"), F.lit(THIN)) == 0)
+    members = still_apart(held.where((F.col("size") > 2) & some_large))
     for turn in range(PIVOTS):
         if members.isEmpty():
             break
@@ -651,8 +663,8 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
         if found.isEmpty():
             break
         labels = with_links(labels, found)
-        release(members)
-        members = still_apart()
+        before, members = members, still_apart(members)  # classes only grow: a bucket of one class stays so
+        release(before)
     left = unlike(members.where(F.col("size") <= SMALL).select("sample", "node", "label", "n"), "sample", similarity)
     brief = materialise(short.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     if brief.limit(1).count():

@@ -70,6 +70,26 @@ def test_components_and_further_links(spark, monkeypatch):
     assert omh.components(frame(edges).limit(0)).count() == 0
 
 
+def test_rounds_of_few_edges_run_in_few_tasks(spark):
+    """With 50 partitions for a shuffle, the rounds over 300 edges took 50 tasks a step before."""
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {n: spark.conf.get(n) for n in names}
+    sc, edges = spark.sparkContext, [(i, i + 1) for i in range(300)]
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        sc.setJobGroup("few tasks", "")
+        found = {r["node"]: r["label"] for r in omh.components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+        status = sc.statusTracker()
+        tasks = sorted((i.numTasks for j in status.getJobIdsForGroup("few tasks") for k in status.getJobInfo(j).stageIds if (i := status.getStageInfo(k)) and i.numCompletedTasks), reverse=True)
+    finally:
+        sc._jsc.clearJobGroup()
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+    assert found == dict.fromkeys(range(301), 0)
+    assert sum(n == 50 for n in tasks) <= 2, tasks
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = random.Random(43)
     for _ in range(60):
