@@ -39,13 +39,13 @@ MAGIC = b"EONTOK01"
 SHARD_IDS, CHARS = 32_000_000, 2_000_000
 #: The dictionary: its bytes, about how many documents it is trained on, and ids taken of each.
 DICTIONARY, SAMPLE, SAMPLE_IDS = 65_536, 2_000, 2_048
-#: Parts of texts whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Parts of texts whose ids a worker remembers: of two generations, the older one goes as a whole when the newer one is half as many.
+REMEMBERED = 1_200_000
 #: Letters, and characters that the pattern below cuts as the vocabulary's own does.
 LATIN, KNOWN = "a-zß-öø-ÿ", r"\t-\r -~À-ÖØ-öø-ÿ"
 UNKNOWN = re.compile(f"[^{KNOWN}]")
-#: The vocabulary's pattern over these characters, once they are lowered (contractions are its fixed values).
-PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
+#: The vocabulary's pattern over these characters, once they are lowered (contractions are its fixed values); words, which start unlike all else, come first.
+PARTS = re.compile(rf"[{LATIN}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LATIN}0-9]+")
 
 
 class Encoder:
@@ -64,6 +64,7 @@ class Encoder:
         told = json.loads(vocabulary)
         self.by_word = told["model"].get("end_of_word_suffix") == "</w>" and told["normalizer"] == LOWERING and told["pre_tokenizer"] == CUTTING
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if self.by_word:
             size = self.library.get_vocab_size()
             self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -72,12 +73,15 @@ class Encoder:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
+        again = [p for p in new if p in self.older]
+        self.parts.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = new.difference(again)
         odd = [p for p in new if UNKNOWN.search(p)]
         self.parts.update(zip(odd, self._whole(odd), strict=True))
         new = list(new.difference(odd))
         for a, b in slices(map(len, new), 20_000):
             some = new[a:b]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.width)
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 starts, raw, step = [0, *ends[:-1].tolist()], ids.tobytes(), self.width.itemsize
@@ -98,8 +102,8 @@ class Encoder:
         """The packed ids of each text."""
         if not self.by_word:
             return self._whole(texts)
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
+        if len(self.parts) > REMEMBERED // 2:
+            self.parts, self.older = {}, self.parts
         special = [i for i, t in enumerate(texts) if "<|" in t]
         cut = [[] if "<|" in t else self._cut(t) for t in texts]
         self._learn(set().union(*cut).difference(self.parts))

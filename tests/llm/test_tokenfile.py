@@ -113,3 +113,17 @@ def test_empty_table_and_other_vocabularies(spark, vocabulary, tmp_path):
     encoder = tokenfile.Encoder(other, np.dtype(tokenfile.id_width(other, 2)))
     assert not encoder.by_word
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(TEXTS)] == [e.ids for e in encoder.library.encode_batch(TEXTS, add_special_tokens=False)]
+
+
+def test_parts_of_the_older_generation_are_not_encoded_again(monkeypatch):
+    """What comes again after a worker's memory was full was all encoded again before."""
+    vocabulary = open(public_tokenizers.path(NAME), encoding="utf-8").read()
+    encoder = tokenfile.Encoder(vocabulary, np.dtype("<u2"))
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 20)
+    texts = [" ".join(f"{'abcdefghij'[i]}{w}" for w in ("tree", "house", "stone")) for i in range(10)]
+    first = encoder.encode(texts)
+    seen, library = [], encoder.library
+    encoder.library = type("Counted", (), {"encode_batch_fast": lambda self, t, **o: (seen.extend(t), library.encode_batch_fast(t, **o))[1],
+                                           "encode": lambda self, t, **o: (seen.append(t), library.encode(t, **o))[1]})()
+    assert encoder.encode(texts) == first and not seen
+    assert len(encoder.parts) + len(encoder.older) == 60
