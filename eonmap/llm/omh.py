@@ -15,10 +15,9 @@ rounds hold all nodes of a bucket against one more of its nodes, as long as that
 all pairs of a small bucket whose nodes still lie in different classes follow.
 
 In a large bucket (a passage that many documents share) comparing all pairs would grow with the square
-of its size. Its nodes are sampled again without the stretches that its samples come from: by single
-words, neighbours and next but one of what is left, of which those that few classes share join nodes. All nodes
-of large buckets that lie apart even then are candidates by their first words: ordered by rarity, two texts
-alike have one of those in common, so that none is missed.
+of its size. All nodes of large buckets that lie apart after the rounds are candidates by their first words: ordered by rarity, two texts
+alike have one of those in common, so that none is missed. Who shares one is marked in blocks of texts of like length,
+where a pair costs little however many words it shares, and bits of words tell most of the marked ones apart.
 Short texts, of which samples miss some, are candidates by their rare words as well, without samples:
 by the number of edits that a link allows, texts that are alike share one of those, so that none is
 missed.
@@ -52,11 +51,13 @@ SHORT = 50
 PIVOTS = 1
 #: Bins of a text's words, by which pairs that can't be alike are found before their texts are fetched.
 WORD_BINS = 128
-#: Numbers of 64 bits for a text's words, by which more such pairs are found, once a pair.
-WORD_LONGS = 64
+#: Numbers of 64 bits for a text's words, by which more such pairs are found, once a pair; the least for a text, and words to each.
+WORD_LONGS, LONG_WORDS = 64, 8
+#: Bytes of such bits in a block of texts, of which two meet in a task; pairs that are held at once.
+BLOCK_BYTES, BLOCK_PAIRS = 4_000_000, 2_000_000
 #: Nodes in a bucket up to which all pairs are compared; of larger ones, whose nodes share many, every so many-th takes part in rounds.
 SMALL, THIN = 16, 4
-#: Features of a text outside shared passages, and classes that share one of them up to which they join nodes.
+#: Features of a text outside shared passages, and classes that share one of them up to which they may join nodes.
 OWN, FEW = 40, 20
 #: First words of a text, those of least hash, by which a pair that comes by several words is known; more would only spare repetitions.
 LEAST_WORDS = 16
@@ -74,19 +75,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Known(dict[str, int]):
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Hasher:
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound (and what one call adds)."""
 
     def __init__(self, remembered: int = REMEMBERED):
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.remembered = remembered
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known, new = {}, set(words)
-        digest = xxhash.xxh3_64_intdigest
-        self.known.update((w, digest(w)) for w in new)
+        if len(self.known) > self.remembered:
+            self.known = _Known()
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
@@ -196,6 +200,65 @@ def word_bits(hashes: list[np.ndarray], longs: int = WORD_LONGS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bands_of(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Bands of lengths: texts alike lie in one band or in neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.01 / similarity)).astype(np.int32)
+
+
+def longs_of(band: np.ndarray, similarity: float) -> np.ndarray:
+    """Numbers of 64 bits for the words of a text of a band: a power of two, ``LONG_WORDS`` words a number or fewer."""
+    most = (1.01 / similarity) ** (np.asarray(band) + 1.0)
+    return WORD_LONGS * 2 ** np.maximum(np.ceil(np.log2(most / (WORD_LONGS * LONG_WORDS))), 0).astype(np.int64)
+
+
+def sharing(words: Sequence[np.ndarray], owners: Sequence[np.ndarray], labels: Sequence[np.ndarray]) -> np.ndarray:
+    """A row for each text of one block, a column for each of another: whether they share a word. Sorted words, and whose each is.
+
+    Words that only one class has may be left out.
+    """
+    unique = [np.unique(w, return_index=True, return_counts=True) for w in words]
+    _, *at = np.intersect1d(unique[0][0], unique[1][0], assume_unique=True, return_indices=True)
+    (sx, kx), (sy, ky) = ((u[1][i], u[2][i]) for u, i in zip(unique, at, strict=True))
+    share = np.zeros((len(labels[0]), len(labels[1])), bool)
+    few = np.flatnonzero(kx * ky <= 64)
+    for s in range(0, len(few), BLOCK_PAIRS // 64):
+        part = few[s:s + BLOCK_PAIRS // 64]
+        size = kx[part] * ky[part]
+        each = np.repeat(part, size)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+        share[owners[0][sx[each] + nth // ky[each]], owners[1][sy[each] + nth % ky[each]]] = True
+    for w in np.flatnonzero(kx * ky > 64).tolist():
+        x, y = owners[0][sx[w]:sx[w] + kx[w]], owners[1][sy[w]:sy[w] + ky[w]]
+        if (labels[0][x] != labels[1][y[0]]).any() or (labels[1][y] != labels[0][x[0]]).any():
+            share[np.ix_(x, y)] = True
+    return share
+
+
+def fitting(bits: Sequence[np.ndarray], share: np.ndarray, n: Sequence[np.ndarray], labels: Sequence[np.ndarray], similarity: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that share a word, of two blocks (or twice the same ``one``), in different classes, that may be alike by lengths and ``word_bits``.
+
+    Rows of bits may be longer in one block by powers of two: they are folded.
+    """
+    longs = min(b.shape[1] for b in bits)
+    x, y = (np.bitwise_or.reduce(b.reshape(len(b), -1, longs), axis=1) for b in bits)
+    step, at_once = max(1, BLOCK_PAIRS // max(1, share.shape[1])), max(1, BLOCK_PAIRS // longs)
+    found = []
+    for r in range(0, len(share), step):
+        i, j = np.nonzero(share[r:r + step])
+        i += r
+        most = np.floor((1 - similarity) * np.maximum(n[0][i], n[1][j]) + 1e-9)
+        fit = (labels[0][i] != labels[1][j]) & (np.abs(n[0][i] - n[1][j]) <= most)
+        if one:
+            fit &= i < j
+        i, j, most = i[fit], j[fit], most[fit]
+        for s in range(0, len(i), at_once):
+            a, b = i[s:s + at_once], j[s:s + at_once]
+            u, v = x[a], y[b]
+            good = np.maximum(np.bitwise_count(u & ~v).sum(1, dtype=np.int64), np.bitwise_count(v & ~u).sum(1, dtype=np.int64)) <= most[s:s + at_once]
+            found.append((a[good], b[good]))
+    return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def most_edits(n: np.ndarray, similarity: float) -> np.ndarray:
     """Edits between a text of ``n`` words and any text alike, which may be the longer one."""
     return np.floor(n * (1 - similarity) / similarity + 1e-9).astype(np.int64)
@@ -287,34 +350,28 @@ def shared_rare(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.select("node", "text").mapInArrow(_lists_of(both, ["words", "rare", "longer"]), "node binary, words array<int>, rare array<long>, longer array<boolean>")
 
 
-def shared_first(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, text) -> node, firsts: the words of ``first_words``, of which texts alike share one; and bits: ``word_bits``."""
+def with_firsts(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, label, n, text) -> node, label, n, band (of lengths), firsts: 32 bits of each of ``first_words``, and bits: ``word_bits``, of a size by the band."""
     sent = _known_words(texts)
 
-    def both(hashes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [first_words(hashes, similarity, sent.value), (np.repeat(np.arange(len(hashes)), WORD_LONGS), word_bits(hashes))]
-
-    return texts.select("node", "text").mapInArrow(_lists_of(both, ["firsts", "bits"]), "node binary, firsts array<long>, bits array<long>")
-
-
-def features_behind(texts: DataFrame, rounds: int) -> DataFrame:
-    """(text, shared, id, label, n) -> id, label, n, feature: features of each text outside the passages of its shared samples."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(0)).to_pylist(), CHARS):
-                words = [words_of(t) for t in batch.column(0).slice(a, b - a).to_pylist()]
+            for a, b in slices(pc.binary_length(batch.column(3)).to_pylist(), CHARS):
+                words = [words_of(t) for t in batch.column(3).slice(a, b - a).to_pylist()]
                 hashes = np.split(hasher([w for ws in words for w in ws]), np.cumsum([len(w) for w in words])[:-1])
-                each, found, places = sketch_places(hashes, rounds)
-                ends = np.r_[0, np.cumsum(each)]
-                made = []
-                for i, hot in enumerate(batch.column(1).slice(a, b - a).to_pylist()):
-                    own = slice(ends[i], ends[i + 1])
-                    made.append(own_features(hashes[i], own_words(len(hashes[i]), places[own], np.isin(found[own], hot))))
-                of = pa.array(np.repeat(np.arange(b - a), [len(m) for m in made]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a).take(of) for c in (2, 3, 4)), pa.array(np.concatenate(made))], names=["id", "label", "n", "feature"])
+                of, first = first_words(hashes, similarity, sent.value)
+                firsts = np.split(first.astype(np.int32), np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+                band = bands_of(np.array([len(w) for w in words]), similarity)
+                longs, bits = longs_of(band, similarity), [b""] * len(words)
+                for size in np.unique(longs).tolist():
+                    own = np.flatnonzero(longs == size)
+                    for i, row in zip(own, word_bits([hashes[i] for i in own], size).reshape(len(own), -1), strict=True):
+                        bits[i] = row.tobytes()
+                made = pa.array(band), pa.array([f.tobytes() for f in firsts], pa.binary()), pa.array(bits, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(3)), *made], names=["node", "label", "n", "band", "firsts", "bits"])
 
-    return texts.select("text", "shared", "id", "label", "n").mapInArrow(work, "id long, label long, n long, feature long")
+    return texts.select("node", "label", "n", "text").mapInArrow(work, "node binary, label long, n long, band int, firsts binary, bits binary")
 
 
 # ---------------------------------------------------------------- alignment
@@ -525,16 +582,48 @@ def unlike_first(rows: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def by_features(features: DataFrame, similarity: float, most: int = FEW) -> DataFrame:
-    """a, b: pairs of ids of different classes by the features (id, label, n, feature) that at most ``most`` classes share.
+def unlike_in_blocks(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of nodes in different classes that share a first word and may be alike by lengths and words, each once (see ``with_firsts``).
 
-    Each class is held by one member for each feature, another one for another feature.
+    rows: stored; node, label, n, band, firsts, bits. Each band is dealt into blocks of a size in bytes, of which all pairs, within a band and
+    with the next, meet in a group of two blocks. So no group grows with the input, a pair that shares many words is marked and tried once,
+    and a row is copied once for each block that its own one meets.
     """
-    one = features.groupBy("feature", "label").agg(F.min(F.struct(F.xxhash64("id", "feature").alias("h"), "id", "n")).alias("one"))
-    counts = one.groupBy("feature").agg(F.count("*").alias("classes")).where(f"classes between 2 and {most}").select("feature")
-    few = one.join(counts, "feature").groupBy("feature").agg(F.collect_list(F.struct("one.id", "one.n")).alias("nodes"))  # ``most`` at most
-    pairs = few.select(F.explode("nodes").alias("x"), "nodes").select("x", F.explode("nodes").alias("y")).where("x.id < y.id")
-    return pairs.where(lengths_fit(F.col("x.n"), F.col("y.n"), similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sizes = dict(rows.groupBy("band").agg(F.count("*").alias("rows")).collect())  # a row for each fourth of a length
+    each = {b: -(-m * int(longs_of(b, similarity)) * 8 // BLOCK_BYTES) for b, m in sizes.items()}
+    if not each:
+        return rows.sparkSession.createDataFrame([], "a binary, b binary")
+    blocks = lambda band: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in each.items() for x in kv]), band), F.lit(0))
+    up_to = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+    meet = lambda lo, p, hi, q, side: F.struct(lo.alias("lo"), p.alias("p"), hi.alias("hi"), q.alias("q"), side.alias("side"))
+    band, part = F.col("band"), F.col("part")
+    pairs = F.concat(F.transform(up_to(blocks(band)), lambda q: meet(band, F.least(part, q), band, F.greatest(part, q), (q < part).cast("int"))),
+                     F.transform(up_to(blocks(band + 1)), lambda q: meet(band, part, band + 1, q, F.lit(0))), F.transform(up_to(blocks(band - 1)), lambda q: meet(band - 1, q, band, part, F.lit(1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), blocks(band)).cast("int")).select("node", "label", "n", "firsts", "bits", F.explode(pairs).alias("m")).select("node", "label", "n", "firsts", "bits", "m.*")
+    groups = sum(k * (k + 1) // 2 + k * each.get(b + 1, 0) for b, k in each.items())
+
+    def fits(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side = group.column("side").to_numpy()
+        one = group.column("lo")[0] == group.column("hi")[0] and group.column("p")[0] == group.column("q")[0]
+        halves = [group.filter(pa.array(side == k)) for k in ((0, 0) if one else (0, 1))]
+        if not all(h.num_rows for h in halves):
+            return group.slice(0, 0).select(["node", "node"]).rename_columns(["a", "b"])
+        joined = lambda h, c, kind: np.frombuffer(b"".join(h.column(c).to_pylist()), kind)
+        bits, words, owners = [joined(h, "bits", np.uint64).reshape(h.num_rows, -1) for h in halves], [], []
+        for h in halves:
+            first = joined(h, "firsts", np.int32)
+            order = np.argsort(first, kind="stable")
+            words.append(first[order])
+            owners.append(np.repeat(np.arange(h.num_rows), pc.binary_length(h.column("firsts")).to_numpy() // 4)[order])
+        n, labels = ([h.column(c).to_numpy() for h in halves] for c in ("n", "label"))
+        i, j = fitting(bits, sharing(words, owners, labels), n, labels, similarity, one)
+        ends = [h.column("node").take(pa.array(at)) for h, at in zip(halves, (i, j), strict=True)]
+        return pa.table(ends, names=["a", "b"])
+
+    keys = ["lo", "p", "hi", "q"]
+    found = dealt.repartition(max(1, min(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys).groupBy(*keys).applyInArrow(fits, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
@@ -603,7 +692,7 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
     # grouped by key too, by which the rows are dealt already: repeated rows have one key
     texts = materialise_by(some.select("key", "text").join(wanted.hint("merge"), "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("text", "n", "bins")]).drop("key"), "node")
 
-    def verified(few: DataFrame) -> DataFrame:
+    def verified(few: DataFrame, texts: DataFrame = texts) -> DataFrame:
         """The pairs that are alike."""
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -613,9 +702,10 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
                 if part.num_rows:
                     yield part
 
-        # texts alike have nearly equal counts of words in each bin; the others are not aligned
-        side = lambda c: texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("text", "n", "bins")])
-        near = few.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(bins_fit(similarity))
+        # texts alike have nearly equal counts of words in each bin; the others are not aligned, nor are their texts moved
+        side = lambda c, *of: texts.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in of])
+        near = few.select("a", "b").join(side("a", "n", "bins"), "a").join(side("b", "n", "bins"), "b").where(bins_fit(similarity)).select("a", "b")
+        near = near.join(side("a", "text"), "a").join(side("b", "text"), "b")
         return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary"))
 
     # first the likeliest pair of each node, then all pairs of a bucket that still lie in different classes
@@ -637,18 +727,17 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
         open_nodes = materialise(at.join(mixed.select("sample"), "sample", "left_semi").select("node", "n", F.xxhash64("label").alias("label")).distinct())
         if open_nodes.isEmpty():
             return labels
-        firsts = materialise(shared_first(texts.join(open_nodes.select("node"), "node"), similarity))
-        words = open_nodes.join(firsts.drop("bits"), "node").join(texts.select("node", "bins"), "node").select("node", "label", "n", "bins", F.slice(F.array_sort("firsts"), 1, LEAST_WORDS).alias("least"), F.explode("firsts").alias("word"))
-        shared = unlike_first(words.withColumn("least", F.filter("least", lambda w: w < F.col("word"))), similarity)
-        side = lambda c: open_nodes.join(firsts, "node").select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-        todo = materialise(shared.join(side("a"), "a").join(side("b"), "b").where(bits_fit(similarity)).select("a", "b"))
+        # their texts are read from among all of them once
+        own = materialise_by(texts.drop("n").join(open_nodes, "node"), "node")
+        firsts = materialise(with_firsts(own, similarity))
+        todo = materialise(unlike_in_blocks(firsts, similarity))
         # again one pair of each node comes first
         lead = materialise(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        labels = with_links(labels, verified(lead))
+        labels = with_links(labels, verified(lead, own))
         now = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         rest = todo.join(lead, ["a", "b"], "left_anti").join(now("a"), "a", "left").join(now("b"), "b", "left")
-        labels = with_links(labels, verified(rest.where("la is null or lb is null or la <> lb").select("a", "b")))
-        release(open_nodes, firsts, shared, todo, lead)
+        labels = with_links(labels, verified(rest.where("la is null or lb is null or la <> lb").select("a", "b"), own))
+        release(open_nodes, own, firsts, todo, lead)
         return labels
 
     some_large = (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("sample"), F.lit(THIN)) == 0)
@@ -668,23 +757,16 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
     left = unlike(members.where(F.col("size") <= SMALL).select("sample", "node", "label", "n"), "sample", similarity)
     brief = materialise(short.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     if brief.limit(1).count():
-        rare = shared_rare(texts.join(brief.select("node"), "node"), similarity).select("node", "words", F.explode(F.arrays_zip("rare", "longer")).alias("key")).select("node", "words", "key.rare", "key.longer")
+        # read from among all texts once
+        brief_texts = materialise(texts.select("node", "text").join(brief.select("node"), "node"))
+        rare = shared_rare(brief_texts, similarity).select("node", "words", F.explode(F.arrays_zip("rare", "longer")).alias("key")).select("node", "words", "key.rare", "key.longer")
         few = " and ".join(f"size(array_except(words_{x}, words_{y})) <= floor({1 - similarity} * greatest(n_a, n_b) + 1e-9)" for x, y in ("ab", "ba"))
         left = left.union(unlike_short(brief.join(rare, "node"), similarity, few))
-    # the samples in large buckets of the nodes that are in some such bucket with other classes
-    open_nodes = members.where(F.col("size") > SMALL).select("node", "label").distinct()
-    large = held.where(F.col("size") > SMALL).join(open_nodes, "node").groupBy("node").agg(F.collect_list("sample").alias("shared"), F.first("label").alias("label"), F.first("n").alias("n"))
-    large = materialise(large.select("node", "shared", "n", F.xxhash64("node").alias("id"), F.xxhash64("label").alias("label")))
-    behind = features_behind(texts.select("node", "text").join(large, "node"), rounds)
-    name = lambda c: large.select(F.col("id").alias(f"id_{c}"), F.col("node").alias(c))
-    found = by_features(behind, similarity).withColumnsRenamed({"a": "id_a", "b": "id_b"})
-    found = found.join(name("a"), "id_a").join(name("b"), "id_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = left.union(found)
     left = materialise(left.join(best, ["a", "b"], "left_anti").union(apart.select("a", "b")).distinct())
     labels = with_links(labels, verified(left))
     labels = behind_large(labels)
 
     named = materialise(rows.join(labels, "node", "left").select("doc_id", "key", "n_words", F.coalesce("label", "node").alias("label")))
-    release(rows, nodes, held, pairs, texts, left, brief, large, members, labels)
+    release(rows, nodes, held, pairs, texts, left, brief, members, labels)
     classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return hot_join(named, classes, "label").select("doc_id", "class_id", "class_size", "n_words", "key", "label")

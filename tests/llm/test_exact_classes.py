@@ -172,3 +172,38 @@ def test_only_passages_that_may_reach_the_threshold_are_aligned(monkeypatch):
     monkeypatch.setattr(decontam, "may_reach", lambda *a: True)
     assert got == decontam.score_texts(texts, items, seeds, decontam.THRESHOLD)
     assert len(got) >= 18 and few < (len(aligned) - few) / 2
+
+
+def test_pairs_by_first_words_meet_in_blocks_once(spark, monkeypatch):
+    """Families of texts just below the limit, and some alike, of 5 to 3,000 words, in many small blocks: all pairs alike are there, none twice, in few groups' rows."""
+    monkeypatch.setattr(omh, "BLOCK_BYTES", 4_000)
+    rng, texts = random.Random(47), []
+    for size in (5, 12, 60, 61, 75, 90, 400, 700, 3000):
+        base = [f"v{rng.randrange(5000)}" for _ in range(size)]
+        for i in range(12):
+            texts.append([f"n{rng.randrange(10**6)}" if rng.random() < (0.05 if i < 4 else 0.16) else w for w in base][rng.randint(0, size // 10):])
+    words = [" ".join(t) for t in texts]
+    labels = [i % 5 for i in range(len(words))]
+    frame = spark.createDataFrame([(bytearray(str(i), "utf8"), k, len(t), w) for i, (k, t, w) in enumerate(zip(labels, texts, words, strict=True))], "node binary, label long, n long, text string")
+    rows = omh.materialise(omh.with_firsts(frame, omh.SIMILARITY))
+    assert len({len(r["bits"]) for r in rows.collect()}) > 2
+    got = [tuple(sorted((int(bytes(r["a"])), int(bytes(r["b"]))))) for r in omh.unlike_in_blocks(rows, omh.SIMILARITY).collect()]
+    want = {(i, j) for j in range(len(words)) for i in range(j) if labels[i] != labels[j] and omh.alike(words[i], words[j])}
+    assert len(want) > 30 and want <= set(got) and len(got) == len(set(got)) and all(labels[i] != labels[j] for i, j in got)
+    assert len(got) < 1.5 * len(want)  # what is left to align
+    assert omh.unlike_in_blocks(rows.limit(0), omh.SIMILARITY).count() == 0
+
+
+def test_a_family_is_marked_once_a_pair(monkeypatch):
+    """200 texts that share 100 words: 19,900 pairs are marked and tried once each, where a join by words made 1,990,000 rows."""
+    rng = np.random.default_rng(48)
+    words, owners = np.sort(np.repeat(np.arange(100), 200)), np.tile(np.arange(200), 100)
+    labels = np.arange(200)
+    share = omh.sharing((words, words), (owners, owners), (labels, labels))
+    assert share.sum() == 200 * 200
+    bits = rng.integers(0, 2**62, (200, 64)).astype(np.uint64)
+    bits[1::2] = bits[::2]
+    n = np.full(200, 500)
+    i, j = omh.fitting((bits, bits), share, (n, n), (labels, labels), omh.SIMILARITY, True)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(2 * k, 2 * k + 1) for k in range(100)]
+    assert not omh.sharing((words, words), (owners, owners), (labels * 0, labels * 0)).any()
