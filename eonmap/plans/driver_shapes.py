@@ -152,6 +152,8 @@ def map_extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' relations as the viewer's files, read back: areas and tags from the files; those of every seventh size lack their way."""
     nodes, ways, relations = part_relations(spark, sf_dir)
     dated = relations.withColumn("tags", F.map_concat("tags", F.create_map(F.lit("start_date"), F.lit("1900"), F.lit("whmid"), F.col("id").cast("string"))))
+    # a small file would be one or two tasks
+    dated = tables.materialise(dated.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
     found = features.web_extract(dated, tables.way_points(ways, nodes).where("id % 7 <> 0"), "2", ring_m2=0.0, line_m=0.0)
     folder = f"{tables.shared_dir(spark)}/extract-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -701,10 +701,14 @@ def web_extract(relations: DataFrame, way_pts: DataFrame, level: str, nodes: Dat
             yield pd.DataFrame({"id": b["id"], "deltas": out, "before": b["pts"].map(len), "after": [len(o) // 2 for o in out]})
 
     ways = pts.mapInPandas(thin, "id bigint, deltas array<bigint>, before int, after int")
-    rings = relation_geometry(rows, way_pts, leave_open=True).select("id", F.posexplode("polygons").alias("polygon", "rings"))
+    # relations of the same ways are put together once, as the first of them
+    first = rows.groupBy(parts["outer"].alias("outer"), parts["inner"].alias("inner")).agg(F.min("id").alias("shape"))
+    drawn = rows.select("id", parts["outer"].alias("outer"), parts["inner"].alias("inner")).join(first, ["outer", "inner"]).select("id", "shape")
+    rings = relation_geometry(rows.join(first.select(F.col("shape").alias("id")), "id", "left_semi"), way_pts, leave_open=True).select("id", F.posexplode("polygons").alias("polygon", "rings"))
     coded = rings.select("id", "polygon", F.posexplode("rings").alias("n", "ring")).withColumn("code", F.base64(codecs.ring_to_varint("ring")))
     coded = coded.groupBy("id", "polygon").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]).alias("codes"))
     coded = coded.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("polygon", "codes"))), lambda x: x["codes"]).alias("ways"))
+    coded = drawn.join(coded.withColumnRenamed("id", "shape"), "shape").select("id", "ways")
     tagged = rows.select("id", relational.kept_tags(F.col("tags")).alias("tags"))
     dictionaries = codecs.tag_tables(tagged, "id", "tags")
     flat = codecs.encode_tags(tagged, "id", "tags", dictionaries)

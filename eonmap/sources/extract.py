@@ -1,7 +1,7 @@
 """The viewer's extract as files: written as one JSON object a file, read back in both of its forms.
 
-A file's members are written by all tasks and joined in one, in order, so that the driver sees names only.
-Ways are read in parallel, from any place in the file; relations as their file's one value.
+A file's members are written by all tasks and joined in one, in order, a line each, so that the driver sees names only.
+Ways are read in parallel, from any place in the file; relations too where each has a line, else as their file's one value.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eonmap.functions import codecs, dates
+from eonmap.operators.numbering import numbered
 from eonmap.plans.features import GEOM, measured
 from eonmap.sources.tables import shared_dir
 
@@ -24,11 +25,13 @@ CHRONOLOGY = "array<struct<id:bigint,name:string,prev:bigint,next:bigint>>"
 CODED = f"tagPairs array<array<string>>, tagKeys array<string>, tagVals array<string>, relations array<struct<id:bigint,tags:string,ways:array<array<string>>,nodes:array<bigint>,chronology:{CHRONOLOGY}>>"
 PLAIN = f"id bigint, tags map<string,string>, ways array<array<array<bigint>>>, nodes array<bigint>, chronology {CHRONOLOGY}"
 CHUNK = 8_000_000
+#: The texts around the members of a file of relations, each a line of its own in files that are written here.
+HEADS = ('{"tagPairs":[', '],"tagKeys":[', '],"tagVals":[', '],"relations":[', "]}")
 
 
 # ------------------------------------------------------------- writing
 def one_file(spark: SparkSession, path: str, sections: Sequence[tuple[str, DataFrame | None]]) -> None:
-    """One file of texts and members: for each section its text, then its rows (column value, no line ends) with commas.
+    """One file of texts and members: for each section its text, then its rows (column value, no line ends) with commas, a line each.
 
     Rows stand in the order of their frame. Parts are written by Spark; one task joins them under another
     name and renames the file when it is whole, so that a lost task leaves no half of it.
@@ -37,9 +40,9 @@ def one_file(spark: SparkSession, path: str, sections: Sequence[tuple[str, DataF
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     folder = hadoop.Path(stage)
     files = folder.getFileSystem(conf)
-    plan: list[tuple[str, list[str]]] = []
+    plan: list[tuple[str, list[str] | None]] = []
     for i, (text, rows) in enumerate(sections):
-        names: list[str] = []
+        names = None
         if rows is not None:
             rows.select("value").write.text(f"{stage}/{i}")
             names = sorted(s.getPath().toString() for s in files.listStatus(hadoop.Path(f"{stage}/{i}")) if s.getPath().getName().startswith("part-") and s.getLen())
@@ -51,15 +54,16 @@ def one_file(spark: SparkSession, path: str, sections: Sequence[tuple[str, DataF
             whole = f"{name}.{uuid.uuid4().hex}"
             with out.open_output_stream(whole) as sink:
                 for text, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    sink.write(text.encode())
-                    for k, part in enumerate(names):
+                    sink.write(text.encode() + (b"" if names is None else b"\n"))
+                    for k, part in enumerate(names or []):
                         source, place = pa.fs.FileSystem.from_uri(part)
                         with source.open_input_stream(place) as stream:
-                            held = b"," if k else b""  # a line's end becomes a comma once another line follows
+                            held = b",\n" if k else b""  # a line's end gets a comma once another line follows
                             while chunk := stream.read(CHUNK):
-                                chunk = held + chunk
-                                held = b"," if chunk.endswith(b"\n") else b""
-                                sink.write(chunk.removesuffix(b"\n").replace(b"\n", b","))
+                                sink.write(held)
+                                held = b",\n" if chunk.endswith(b"\n") else b""
+                                sink.write(chunk.removesuffix(b"\n").replace(b"\n", b",\n"))
+                    sink.write(b"\n" if names else b"")
             out.move(whole, name)
             yield pa.RecordBatch.from_pydict({"path": [name]})
 
@@ -81,8 +85,8 @@ def write_extract(found: dict[str, DataFrame], folder: str, level: str) -> None:
     some = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f',"{name}":'), F.to_json(c))).otherwise("")
     relation = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"tags":'), "flat", F.lit(',"ways":'), F.to_json("ways"), some("nodes", "nodes"), some("chronology", "chronology"), F.lit("}"))
     one_file(spark, f"{folder}/relations{level}.b64.json", [
-        ('{"tagPairs":[', found["pairs"].orderBy("index").select(text("key", "value").alias("value"))), ('],"tagKeys":[', found["keys"].orderBy("index").select(one("key"))),
-        ('],"tagVals":[', found["values"].orderBy("index").select(one("value"))), ('],"relations":[', found["relations"].select(relation.alias("value"))), ("]}", None)])
+        (HEADS[0], found["pairs"].orderBy("index").select(text("key", "value").alias("value"))), (HEADS[1], found["keys"].orderBy("index").select(one("key"))),
+        (HEADS[2], found["values"].orderBy("index").select(one("value"))), (HEADS[3], found["relations"].select(relation.alias("value"))), (HEADS[4], None)])
 
 
 # ------------------------------------------------------------- reading
@@ -104,20 +108,47 @@ def coded_sibling(spark: SparkSession, path: str) -> str:
     return other.toString() if there else path
 
 
+def has_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a file of relations has a line for each member, as ``write_extract`` makes them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(max(stream.read(), 0) for _ in range(len(HEADS[0]) + 1)) == f"{HEADS[0]}\n".encode()
+    finally:
+        stream.close()
+
+
+def coded_lines(spark: SparkSession, path: str) -> tuple[DataFrame, ...]:
+    """Relations, and the tables of tag pairs, keys and values with their index, of a file of lines: tasks read it from anywhere."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", at.alias("at"))
+    found = {r["value"]: F.struct(F.lit(r["at"]["block"]).alias("block"), F.lit(r["at"]["row"]).alias("row")) for r in lines.where(F.col("value").isin(*HEADS)).collect()}
+    part = lambda k: lines.where((F.col("at") > found[HEADS[k]]) & (F.col("at") < found[HEADS[k + 1]])).select("at", F.rtrim("value", F.lit(",")).alias("value"))
+    index = lambda rows: numbered(rows, ["at"], "number").withColumn("index", F.col("number") - 1)
+    text = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0]
+    pair = F.from_json("value", "array<string>")
+    one = f"id bigint, tags string, ways array<array<string>>, nodes array<bigint>, chronology {CHRONOLOGY}"
+    rows = part(3).select(F.from_json("value", one).alias("r")).select("r.*")
+    return rows, index(part(0)).select(pair[0].alias("key"), pair[1].alias("value"), "index"), index(part(1)).select(text.alias("key"), "index"), index(part(2)).select(text.alias("value"), "index")
+
+
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
     """id, tags, ways (signed ids by polygon and ring), nodes, chronology, from either form of the file.
 
     Which form it is the content says: an object with tag tables and coded rings, or a list of plain relations.
     """
     path = coded_sibling(spark, path)
-    whole = spark.read.schema(CODED).json(path, multiLine=True)
-    coded = not whole.where(F.col("relations").isNotNull()).isEmpty()
-    if not coded:
-        return spark.read.schema(PLAIN).json(path, multiLine=True).where("id is not null")
-    table = lambda c: whole.select(F.posexplode(c).alias("index", "x"))
-    pairs = table("tagPairs").select(F.col("x")[0].alias("key"), F.col("x")[1].alias("value"), "index")
-    keys, values = table("tagKeys").select(F.col("x").alias("key"), "index"), table("tagVals").select(F.col("x").alias("value"), "index")
-    rows = whole.select(F.explode("relations").alias("r")).select("r.*")
+    if has_lines(spark, path):
+        rows, pairs, keys, values = coded_lines(spark, path)
+    else:
+        whole = spark.read.schema(CODED).json(path, multiLine=True)
+        coded = not whole.where(F.col("relations").isNotNull()).isEmpty()
+        if not coded:
+            return spark.read.schema(PLAIN).json(path, multiLine=True).where("id is not null")
+        table = lambda c: whole.select(F.posexplode(c).alias("index", "x"))
+        pairs = table("tagPairs").select(F.col("x")[0].alias("key"), F.col("x")[1].alias("value"), "index")
+        keys, values = table("tagKeys").select(F.col("x").alias("key"), "index"), table("tagVals").select(F.col("x").alias("value"), "index")
+        rows = whole.select(F.explode("relations").alias("r")).select("r.*")
     tags = codecs.decode_tags(rows.select("id", F.col("tags").alias("flat")), (pairs, keys, values))
     rings = rows.select("id", F.posexplode("ways").alias("polygon", "codes")).select("id", "polygon", F.posexplode("codes").alias("n", "code"))
     rings = rings.withColumn("ring", codecs.varint_to_ring(F.unbase64("code")))

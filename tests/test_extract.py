@@ -76,6 +76,21 @@ def test_ways_are_read_from_any_place(spark, tmp_path):
     assert extract.read_ways(spark, f"file://{tmp_path}/none.json").count() == 0
 
 
+def test_relations_are_read_from_any_place(spark, folder, tmp_path):
+    """A file with a line for each member is read by many tasks; the same file without line ends, as one value, gives the same."""
+    path = f"file://{folder}/relations2.b64.json"
+    (tmp_path / "one.b64.json").write_text(json.dumps(json.loads((folder / "relations2.b64.json").read_text()), separators=(",", ":"), ensure_ascii=False))
+    assert extract.has_lines(spark, path) and not extract.has_lines(spark, f"file://{tmp_path}/one.b64.json")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    try:
+        assert extract.coded_lines(spark, path)[0].rdd.getNumPartitions() > 3
+        rows = {r["id"]: r for r in extract.read_relations(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {r["id"]: r for r in extract.read_relations(spark, f"file://{tmp_path}/one.b64.json").collect()} and len(rows) == 5
+
+
 def test_geometry_of_an_extract(spark):
     """A missing way is skipped; where it is the first of its ring, the next one still goes without its first point."""
     step = lambda *xy: np.diff(np.array(xy), axis=0, prepend=0).ravel().tolist()
